@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # Digits and marks of other scripts, and what they stand for.
 DIGITS_FROM = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९"
 DIGITS_TO = "0123456789" * 4
-MARKS_FROM = "٫٬．，’‘＇−–—‒－﹣    （）￥﹩＄￡"
+MARKS_FROM = "٫٬．，’‘＇−–—‒－﹣    （）￥＄﹩￡"
 MARKS_TO = ".,.,'''------    ()¥$$£"
 
 # Scales and the power of ten of each.
