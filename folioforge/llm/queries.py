@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.history import repeats
+from folioforge.llm.leakage import leaks
+from folioforge.llm.sentences import sentence_units
 from folioforge.llm.splitting import oversized, repaired_pages, split_oversized
 from folioforge.llm.tokens import encode
 from folioforge.plans.registry import Registry
@@ -36,3 +38,18 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents"))
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_items"))
+
+
+@registry.query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_units(table(spark, sf, "documents"))
+
+
+@registry.query("p9_units")
+def p9_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_units(table(spark, sf, "documents"), with_text=True)
