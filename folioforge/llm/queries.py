@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.history import repeats
 from folioforge.llm.leakage import leaks
+from folioforge.llm.privacy import labelled, mentions, redacted
+from folioforge.llm.scans import Findings, repaired
 from folioforge.llm.sentences import sentence_units
 from folioforge.llm.splitting import oversized, repaired_pages, split_oversized
 from folioforge.llm.tokens import encode
@@ -53,3 +55,45 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query("p9_units")
 def p9_units(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), with_text=True)
+
+
+def _pii_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(
+        [
+            ("documents_corpus", table(spark, sf, "documents_corpus"), "id", "text"),
+            ("rag_chunks", table(spark, sf, "rag_chunks"), "id", "chunk_text"),
+            ("doc_records", table(spark, sf, "doc_records"), "id", "text_preview"),
+        ]
+    )
+
+
+@registry.query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions(_pii_texts(spark, sf)).select("table_name", "row_key", "pii_type", "start_pos").distinct()
+
+
+@registry.query("p3_redacted")
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _pii_texts(spark, sf)
+    return redacted(texts.distinct(), mentions(texts)).select("table_name", "row_key", "text_redacted")
+
+
+def _scan_texts(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "rag_chunks").select(
+        F.lit("rag_chunks").alias("table_name"), F.col("id").cast("string").alias("row_key"), F.col("document_id").cast("string").alias("doc_key"), F.col("chunk_text").alias("text"), F.lit(True).alias("paged")
+    )
+    previews = table(spark, sf, "doc_records").select(
+        F.lit("doc_records").alias("table_name"), F.col("id").cast("string").alias("row_key"), F.col("id").cast("string").alias("doc_key"), F.col("text_preview").alias("text"), F.lit(False).alias("paged")
+    )
+    return chunks.unionByName(previews)
+
+
+@registry.query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return Findings(_scan_texts(spark, sf)).kinds()
+
+
+@registry.query("p6_repaired")
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _scan_texts(spark, sf)
+    return repaired(texts.distinct(), Findings(texts)).select("table_name", "row_key", "text_repaired")
