@@ -1,7 +1,628 @@
-"""Relational, text, extraction and retrieval queries of the document register."""
+"""Relational, text, extraction, validation and retrieval queries of the document register, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.functions import files as ff
+from folioforge.functions import textops as tx
+from folioforge.operators import chunking, classification, extraction, learning, repository, retrieval, validation
 from folioforge.plans.registry import Registry
+from folioforge.session import stored, table
 
 registry = Registry()
+query = registry.query
+
+WS = r"[ \t\n\r\f]"
+STRIP = rf"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def _hits_sql(text: str, words: list[str]) -> str:
+    return " + ".join(f"(CASE WHEN contains({text}, '{w}') THEN 1 ELSE 0 END)" for w in words)
+
+
+def _classify_sql(source: str, key: str, text: str, more: str = "") -> str:
+    counts = ", ".join(f"CASE WHEN length(trim(t)) >= 15 THEN {_hits_sql('t', w)} ELSE 0 END AS {k[:3].lower()}" for k, w in classification.CLASSES.items())
+    return f"""SELECT {key}, {more} CASE WHEN inv + res + oth = 0 THEN 'Other' WHEN inv >= res AND inv >= oth THEN 'Invoice'
+        WHEN res >= oth THEN 'Resume' ELSE 'Other' END AS predicted_type,
+        CASE WHEN inv + res + oth > 0 THEN round_even(greatest(inv, res, oth) / (inv + res + oth), 3) END AS confidence_predicted
+        FROM (SELECT *, {counts} FROM (SELECT *, lower(coalesce({text}, '')) AS t FROM {source}))"""
+
+
+# ---- classification ----------------------------------------------------------------------------
+
+
+@query("classify_documents", _classify_sql("doc_records", "id", "text_preview"))
+def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
+    df = classification.classify(table(spark, sf, "doc_records").select("id", "text_preview"), "text_preview")
+    return df.select("id", "predicted_type", "confidence_predicted")
+
+
+@query(
+    "classify_report",
+    f"""WITH p AS (SELECT category AS label, predicted_type AS predicted FROM ({_classify_sql("documents_corpus", "id", "text", "category,")}) WHERE category IN ('Invoice', 'Resume', 'Other')),
+    a AS (SELECT label, count(*) AS support, count(*) FILTER (WHERE label = predicted) AS tp FROM p GROUP BY label),
+    c AS (SELECT predicted AS label, count(*) AS claimed FROM p GROUP BY predicted)
+    SELECT a.label, a.support, round_even(coalesce(tp / claimed, 0), 6) AS precision, round_even(tp / support, 6) AS recall,
+    round_even(coalesce(2 * (tp / claimed) * (tp / support) / nullif(tp / claimed + tp / support, 0), 0), 6) AS f1
+    FROM a LEFT JOIN c ON a.label = c.label""",
+)
+def classify_report(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = table(spark, sf, "documents_corpus").filter(F.col("category").isin("Invoice", "Resume", "Other"))
+    return classification.class_report(classification.classify(corpus, "text"), "category", "predicted_type")
+
+
+@query("classify_occurrences")
+def classify_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    df = classification.classify(table(spark, sf, "documents_corpus"), "text", "occurrence")
+    return df.select("id", "predicted_type", F.bround("confidence_predicted", 6).alias("confidence_predicted"))
+
+
+@query(
+    "stratified_folds",
+    """SELECT category, CAST((row_number() OVER (PARTITION BY category ORDER BY md5(id), id) - 1) % 4 AS INTEGER) AS fold, count(*) OVER (PARTITION BY category) AS members, id
+    FROM documents_corpus""",
+)
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = table(spark, sf, "documents_corpus").select("id", "category")
+    sizes = corpus.groupBy("category").agg(F.count("*").alias("members"))
+    dealt = classification.folds(corpus, "category", "id").alias("d")
+    return dealt.join(sizes.alias("s"), F.col("d.category").eqNullSafe(F.col("s.category"))).select("d.category", "fold", "members", "id")
+
+
+@query("trained_models")
+def trained_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out confusion of each trained classifier; the labelled corpus is the training set."""
+    corpus = table(spark, sf, "documents_corpus").filter(F.col("category").isin("Invoice", "Resume", "Other") & F.col("text").isNotNull()).select("id", "category", "text")
+    dealt = stored(classification.folds(corpus, "category", "id"), "folds")
+    out = None
+    for name, (model, prepared) in learning.train_all(dealt.filter("fold > 0"), "text", "category").items():
+        scored = learning.evaluate(model, prepared.transform(dealt.filter("fold = 0"))).withColumn("model", F.lit(name))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+# ---- metrics -----------------------------------------------------------------------------------
+
+_TIMED = "CASE WHEN processing_time_ms > 0 THEN processing_time_ms END"
+
+
+@query(
+    "register_metrics",
+    "SELECT count(*) AS documents, "
+    + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower().replace(' ', '_')}" for s in repository.STATUSES)
+    + f""", coalesce(round_even(avg({_TIMED}), 2), 0) AS avg_ms, coalesce(min({_TIMED}), 0) AS min_ms, coalesce(max({_TIMED}), 0) AS max_ms,
+    count(*) FILTER (WHERE confidence < 0.75) AS low_confidence, round_even(avg(confidence), 6) AS avg_confidence FROM doc_records""",
+)
+def register_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.metrics(table(spark, sf, "doc_records"))
+
+
+@query("count_by_status", "SELECT status, count(*) AS n FROM doc_records GROUP BY status")
+def count_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.counts_by(table(spark, sf, "doc_records"), "status")
+
+
+@query("count_by_type", "SELECT document_type, count(*) AS n FROM doc_records GROUP BY document_type")
+def count_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.counts_by(table(spark, sf, "doc_records"), "document_type")
+
+
+@query(
+    "category_stats",
+    """SELECT k AS document_type, coalesce(n, 0) AS n, CAST(coalesce(b, 0) AS BIGINT) AS bytes FROM (SELECT unnest(['Invoice', 'Resume', 'Contract', 'Other']) AS k)
+    LEFT JOIN (SELECT document_type, count(*) AS n, sum(file_size) AS b FROM doc_records GROUP BY document_type) ON k = document_type""",
+)
+def category_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.category_stats(table(spark, sf, "doc_records"))
+
+
+@query(
+    "folder_counts",
+    """SELECT CASE WHEN document_type IN ('Invoice', 'Receipt') THEN 'invoices' WHEN document_type = 'Resume' THEN 'resumes' WHEN document_type = 'Contract' THEN 'contracts'
+    ELSE 'other' END AS category_dir, count(*) AS files FROM doc_records GROUP BY 1""",
+)
+def folder_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "doc_records").groupBy(ff.folder(F.col("document_type")).alias("category_dir")).agg(F.count("*").alias("files"))
+
+
+@query("value_summary", "SELECT count(value) AS n, round_even(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round_even(stddev_samp(value), 6) AS deviation FROM events")
+def value_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf, "events").agg(F.count(v).alias("n"), F.bround(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.bround(F.stddev_samp(v), 6).alias("deviation"))
+
+
+@query(
+    "document_frequency",
+    f"""SELECT term, count(DISTINCT id) AS chunks, count(*) AS uses FROM (SELECT id, unnest(regexp_extract_all(lower(chunk_text), '[a-z0-9_]{{2,}}')) AS term
+    FROM (SELECT DISTINCT id, chunk_text FROM rag_chunks)) WHERE term NOT IN {_in(retrieval.SHORT_STOP_WORDS)} GROUP BY term""",
+)
+def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "rag_chunks").select("id", "chunk_text").distinct()
+    per = chunks.select("id", F.explode(F.regexp_extract_all(F.lower("chunk_text"), F.lit("([a-z0-9_]{2,})"), F.lit(1))).alias("term")).filter(~F.col("term").isin(retrieval.SHORT_STOP_WORDS))
+    return per.groupBy("id", "term").agg(F.count("*").alias("u")).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("u").alias("uses"))
+
+
+# ---- lookups and searches ----------------------------------------------------------------------
+
+
+@query("point_lookup", "SELECT id, status, document_type FROM doc_records WHERE id = 42")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.by_id(table(spark, sf, "doc_records"), 42).select("id", "status", "document_type")
+
+
+@query(
+    "hash_lookup",
+    "SELECT b.id, b.file_hash FROM doc_records a JOIN doc_records b ON a.file_hash = b.file_hash WHERE a.id = 2 AND a.file_hash <> ''",
+)
+def hash_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records").select("id", "file_hash")
+    wanted = repository.by_id(docs, 2).filter("file_hash <> ''").select("file_hash").distinct()
+    return docs.join(wanted, "file_hash", "left_semi").select("id", "file_hash")
+
+
+@query("lookup_ids", "SELECT id, document_type FROM doc_records WHERE id IN (SELECT unnest(range(1, 100000, 97)))")
+def lookup_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.by_ids(table(spark, sf, "doc_records"), spark.range(1, 100000, 97)).select("id", "document_type")
+
+
+@query(
+    "requested_documents",
+    """SELECT r.id, d.document_type, d.status, CASE WHEN d.id IS NULL THEN 'Failed' ELSE 'Found' END AS outcome
+    FROM (SELECT unnest(range(1, 100000, 97)) AS id) r LEFT JOIN doc_records d ON r.id = d.id""",
+)
+def requested_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.requested(table(spark, sf, "doc_records"), spark.range(1, 100000, 97))
+
+
+_LIKE = " OR ".join(f"{c} ILIKE '%{{}}%'" for c in repository.SEARCHED)
+
+
+@query("search_documents", f"SELECT id, company, status FROM doc_records WHERE ({_LIKE.format(*['veltara'] * 5)}) AND status = 'Needs Review' AND document_type = 'Invoice'")
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.search(table(spark, sf, "doc_records"), "veltara", "Needs Review", "Invoice").select("id", "company", "status")
+
+
+@query(
+    "search_page",
+    f"""SELECT id, original_filename, confidence FROM doc_records WHERE ({_LIKE.format(*["ltd"] * 5)}) ORDER BY confidence DESC NULLS LAST, id LIMIT 50 OFFSET 20""",
+)
+def search_page(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.search(table(spark, sf, "doc_records"), "ltd", sort="confidence_desc", limit=50, offset=20).select("id", "original_filename", "confidence")
+
+
+@query(
+    "search_dates",
+    "SELECT id, status FROM doc_records WHERE upload_date >= DATE '2025-01-07' AND upload_date < DATE '2025-01-10' AND document_type = 'Resume'",
+)
+def search_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.search(table(spark, sf, "doc_records"), kind="Resume", since="2025-01-07", until="2025-01-09").select("id", "status")
+
+
+@query(
+    "anomalous_documents",
+    "SELECT id, document_type FROM doc_records WHERE CASE WHEN json_valid(anomaly_json) THEN json_extract_string(anomaly_json, '$.has_anomalies') END = 'true'",
+)
+def anomalous_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records")
+    valid = F.coalesce(F.try_parse_json("anomaly_json").isNotNull(), F.lit(False))
+    return repository.with_anomalies(docs.filter(valid)).select("id", "document_type")
+
+
+@query(
+    "document_list",
+    r"""SELECT id, coalesce(company, 'Not Found') AS title, CASE WHEN document_type = 'Resume' THEN CASE WHEN length(total_amount) > 28 THEN concat(left(total_amount, 28), '...') ELSE total_amount END
+    WHEN document_type = 'Contract' THEN invoice_number ELSE total_amount END AS detail,
+    coalesce(CAST(CAST(round_even(confidence * 100, 0) AS INTEGER) AS VARCHAR) || '%', 'N/A') AS confidence_text, strftime(upload_date, '%Y-%m-%d %H:%M') AS uploaded,
+    CASE WHEN length(review_reason) > 40 THEN concat(left(review_reason, 40), '...') ELSE review_reason END AS reason FROM doc_records""",
+)
+def document_list(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.display(table(spark, sf, "doc_records"))
+
+
+# ---- audit log ---------------------------------------------------------------------------------
+
+_AUDIT = "(SELECT * FROM audit_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1)"
+
+
+@query(
+    "latest_action",
+    """SELECT document_id, arg_max(action, id) AS action, arg_max(new_status, id) AS new_status, arg_max(logged_at, id) AS logged_at, count(DISTINCT id) AS events FROM audit_log GROUP BY document_id""",
+)
+def latest_action(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.latest_action(table(spark, sf, "audit_log"))
+
+
+@query(
+    "recent_audit",
+    f"""SELECT a.id, a.document_id, a.action, d.original_filename FROM (SELECT * FROM {_AUDIT} ORDER BY id DESC LIMIT 25) a LEFT JOIN doc_records d ON a.document_id = d.id""",
+)
+def recent_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.recent_audit(table(spark, sf, "audit_log"), table(spark, sf, "doc_records"), 25).select("id", "document_id", "action", "original_filename")
+
+
+@query("audit_transitions", f"SELECT previous_status, new_status, count(*) AS n FROM {_AUDIT} GROUP BY ALL")
+def audit_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.transitions(table(spark, sf, "audit_log"))
+
+
+@query(
+    "audit_display",
+    f"SELECT id, coalesce(previous_status, '') || ' -> ' || coalesce(new_status, '') AS change, strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS at FROM {_AUDIT}",
+)
+def audit_display(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.audit_display(table(spark, sf, "audit_log"))
+
+
+@query(
+    "status_sequence",
+    f"""SELECT document_id, new_status, lag(new_status) OVER (PARTITION BY document_id ORDER BY id) AS earlier, id FROM {_AUDIT}""",
+)
+def status_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    audit = table(spark, sf, "audit_log").select("id", "document_id", "new_status").dropDuplicates(["id"])
+    w = Window.partitionBy("document_id").orderBy("id")
+    return audit.select("document_id", "new_status", F.lag("new_status").over(w).alias("earlier"), "id")
+
+
+@query(
+    "audit_trail",
+    f"""SELECT d.id, d.status, coalesce(string_agg(a.action, ' > ' ORDER BY a.id), '') AS trail FROM doc_records d LEFT JOIN {_AUDIT} a ON a.document_id = d.id GROUP BY d.id, d.status""",
+)
+def audit_trail(spark: SparkSession, sf: str) -> DataFrame:
+    trail = repository.audit_trail(table(spark, sf, "doc_records").select("id", "status"), table(spark, sf, "audit_log"))
+    return trail.select("id", "status", F.coalesce(F.array_join(F.transform("events", lambda e: e["action"]), " > "), F.lit("")).alias("trail"))
+
+
+@query("stream_latest_state", "SELECT document_id, arg_max(new_status, id) AS status, max(id) AS last_event FROM audit_log GROUP BY document_id")
+def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    from folioforge.streaming import audit
+
+    return audit.run_once(audit.latest_state(audit.read_events(spark, sf, "audit_log.parquet")), "state")
+
+
+# ---- joins and changes -------------------------------------------------------------------------
+
+
+@query(
+    "chunks_of_documents",
+    "SELECT c.document_id, c.id, c.chunk_index, d.original_filename, d.document_type FROM rag_chunks c JOIN doc_records d ON c.document_id = d.id",
+)
+def chunks_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    j = repository.chunks_of_documents(table(spark, sf, "rag_chunks"), table(spark, sf, "doc_records"))
+    return j.select("document_id", "id", "chunk_index", "original_filename", "document_type")
+
+
+@query(
+    "repeated_identifiers",
+    f"""WITH k AS (SELECT id, invoice_number, file_hash FROM doc_records WHERE lower(trim(coalesce(invoice_number, ''))) NOT IN {_in(repository.PLACEHOLDERS)}),
+    g AS (SELECT invoice_number, arg_min_null(file_hash, id) AS first_hash, min(id) AS first_id, count(*) AS documents FROM k GROUP BY invoice_number HAVING count(*) > 1)
+    SELECT k.id, k.invoice_number, first_id, documents FROM k JOIN g ON k.invoice_number = g.invoice_number WHERE k.id > first_id AND k.file_hash <> first_hash""",
+)
+def repeated_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.repeated_identifiers(table(spark, sf, "doc_records"))
+
+
+@query(
+    "duplicates_by_hash",
+    """SELECT id, first_id FROM (SELECT id, min(id) OVER (PARTITION BY file_hash) AS first_id FROM doc_records WHERE trim(coalesce(file_hash, '')) <> '') WHERE id > first_id""",
+)
+def duplicates_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.duplicates_by_hash(table(spark, sf, "doc_records"))
+
+
+@query(
+    "fresh_files",
+    """SELECT min(id) AS id, file_hash FROM doc_records WHERE batch_no > 0 AND file_hash NOT IN (SELECT file_hash FROM doc_records WHERE batch_no = 0 AND file_hash IS NOT NULL) GROUP BY file_hash""",
+)
+def fresh_files(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records").select("id", "file_hash", "batch_no").filter("file_hash IS NOT NULL")
+    fresh, _ = repository.fresh_and_known(docs.filter("batch_no > 0"), docs.filter("batch_no = 0").select("file_hash"))
+    return fresh.select("id", "file_hash")
+
+
+@query(
+    "delete_cascade",
+    """SELECT 'documents' AS part, count(*) AS n FROM doc_records WHERE NOT coalesce(status = 'Failed', false) UNION ALL
+    SELECT 'chunks', count(*) FROM rag_chunks WHERE document_id NOT IN (SELECT id FROM doc_records WHERE status = 'Failed') UNION ALL
+    SELECT 'audit', count(*) FROM audit_log WHERE document_id NOT IN (SELECT id FROM doc_records WHERE status = 'Failed')""",
+)
+def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records")
+    left, (chunks, audit) = repository.delete_cascade(docs, [table(spark, sf, "rag_chunks"), table(spark, sf, "audit_log")], docs.filter("status = 'Failed'"))
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count(left, "documents").unionByName(count(chunks, "chunks")).unionByName(count(audit, "audit"))
+
+
+@query(
+    "update_status",
+    """WITH last AS (SELECT document_id, arg_max_null(new_status, id) AS s FROM audit_log GROUP BY document_id)
+    SELECT d.id, coalesce(CASE WHEN s <> '' THEN s END, d.status) AS status FROM doc_records d LEFT JOIN last ON d.id = document_id""",
+)
+def update_status(spark: SparkSession, sf: str) -> DataFrame:
+    last = table(spark, sf, "audit_log").groupBy(F.col("document_id").alias("id")).agg(F.max_by("new_status", "id").alias("status"))
+    return repository.update(table(spark, sf, "doc_records").select("id", "status"), last, ["status"])
+
+
+@query("long_form", "UNPIVOT (SELECT id, CAST(confidence AS DOUBLE) AS confidence, processing_time_ms FROM doc_records) ON confidence, processing_time_ms INTO NAME measure VALUE value")
+def long_form(spark: SparkSession, sf: str) -> DataFrame:
+    df = repository.long_form(table(spark, sf, "doc_records"), "id", ["confidence", "processing_time_ms"])
+    return df.filter("value IS NOT NULL")
+
+
+@query(
+    "arithmetic_mismatch",
+    """WITH t AS (SELECT l_orderkey AS o_orderkey, round_even(sum(l_extendedprice * (1 - l_discount)), 2) AS subtotal, round_even(sum(l_extendedprice * (1 - l_discount) * l_tax), 2) AS tax
+    FROM lineitem GROUP BY l_orderkey) SELECT o.o_orderkey, abs(subtotal + tax - o_totalprice) > 0.05 AS mismatch FROM orders o JOIN t ON o.o_orderkey = t.o_orderkey""",
+)
+def arithmetic_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bround(F.sum(net), 2).alias("subtotal"), F.bround(F.sum(net * F.col("l_tax")), 2).alias("tax"))
+    return table(spark, sf, "orders").join(t, "o_orderkey").select("o_orderkey", (F.abs(F.col("subtotal") + F.col("tax") - F.col("o_totalprice")) > 0.05).alias("mismatch"))
+
+
+# ---- texts and files ---------------------------------------------------------------------------
+
+_STRIPPED = STRIP.format("coalesce(text_preview, '')")
+_WORDS = rf"len(list_filter(string_split_regex({{}}, '{WS}+'), lambda x: x <> ''))"
+
+
+@query(
+    "text_quality",
+    f"""SELECT id, length(t) AS chars, {_WORDS.format("t")} AS words, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS lines,
+    CASE WHEN length(t) = 0 THEN 'EMPTY' WHEN length(t) < 25 THEN 'VERY_SHORT' ELSE 'VALID' END AS quality FROM (SELECT id, {_STRIPPED} AS t FROM doc_records)""",
+)
+def text_quality(spark: SparkSession, sf: str) -> DataFrame:
+    q = tx.quality(F.col("text_preview"))
+    df = table(spark, sf, "doc_records").select("id", q.alias("q"))
+    return df.select("id", F.col("q.chars").cast("long").alias("chars"), F.col("q.words").cast("long").alias("words"), F.col("q.lines").cast("long").alias("lines"), F.col("q.status").alias("quality"))
+
+
+@query("text_preview", f"SELECT doc_id, left(array_to_string(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> ''), ' '), 1200) AS preview FROM documents")
+def text_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+
+
+@query(
+    "text_normalised",
+    rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9.-]+', ' ', 'g'),
+    '(https?://|www\.)[^ \t\n\r\f]+', ' ', 'g'), '[^a-z0-9 \t\n\r\f]', ' ', 'g'), '{WS}+', ' ', 'g')) AS normalised FROM documents_corpus""",
+)
+def text_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents_corpus").select("id", tx.normalised(F.col("text")).alias("normalised"))
+
+
+@query("text_cleaned")
+def text_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = tx.clean_lines(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", cleaned.alias("cleaned")).withColumn("characters", F.length("cleaned"))
+
+
+@query(
+    "file_names",
+    r"""WITH b AS (SELECT id, file_hash, regexp_extract(original_filename, '([^/\\]*)$', 1) AS f FROM doc_records),
+    s AS (SELECT id, file_hash, lower(regexp_extract(f, '\.([^./\\]+)$', 1)) AS ext, regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '\.[^.]+$', ''), '[^A-Za-z0-9_\-.]', '_', 'g'), '_+', '_', 'g'),
+    '^[._]+|[._]+$', '', 'g') AS stem FROM b)
+    SELECT id, CASE WHEN stem = '' THEN 'document' ELSE stem END || CASE WHEN ext = '' THEN '' ELSE '.' || ext END AS safe_name, ext AS extension,
+    CASE WHEN ext = 'pdf' THEN 'application/pdf' WHEN ext = 'png' THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM s""",
+)
+def file_names(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("original_filename")
+    return table(spark, sf, "doc_records").select("id", ff.safe_name(name, fold=False).alias("safe_name"), ff.extension(name).alias("extension"), ff.mime_type(name).alias("mime"))
+
+
+@query("content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", ff.digest(F.col("text")).alias("digest"))
+
+
+# ---- extraction and validation -----------------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _group_sql(t: str, p: str, n: int = 1) -> str:
+    return f"nullif(trim(regexp_extract({t}, {_q(p)}, {n})), '')"
+
+
+def _after_sql(t: str, p: str) -> str:
+    return f"CASE WHEN regexp_extract({t}, {_q(p)}, 2) <> '' THEN trim(regexp_extract({t}, {_q(p)}, 1) || ' ' || regexp_extract({t}, {_q(p)}, 2)) END"
+
+
+_NUMBERS_SQL = ", ".join(
+    f"list_filter(regexp_extract_all(text, {_q(p)}, 1), lambda x: lower(trim(x)) NOT IN {_in(extraction.NOT_NUMBERS)} AND length(trim(x)) >= 3)[1]" for p in extraction.INVOICE_NUMBER
+)
+
+
+@query(
+    "invoice_fields",
+    f"""SELECT id, trim(coalesce({_NUMBERS_SQL})) AS invoice_number, coalesce({", ".join(_group_sql("text", p) for p in extraction.INVOICE_DATE)}) AS invoice_date,
+    {_after_sql("text", extraction.SUBTOTAL)} AS subtotal, {_after_sql("text", extraction.TAX)} AS tax FROM documents_corpus WHERE category = 'Invoice'""",
+)
+def invoice_fields(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return (
+        table(spark, sf, "documents_corpus")
+        .filter("category = 'Invoice'")
+        .select(
+            "id",
+            extraction.invoice_number(t).alias("invoice_number"),
+            extraction.invoice_date(t).alias("invoice_date"),
+            extraction.amount_after(t, extraction.SUBTOTAL).alias("subtotal"),
+            extraction.amount_after(t, extraction.TAX).alias("tax"),
+        )
+    )
+
+
+@query("invoice_totals")
+def invoice_totals(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf, "documents_corpus").filter("category = 'Invoice'").select("id", extraction.total_amount(t).alias("total_amount"), extraction.company(t).alias("company"))
+
+
+_PHONE_SQL = ", ".join(
+    f"""CASE WHEN length(regexp_replace(regexp_replace({_group_sql("text", p)}, '[,;[:space:]]+$', ''), '[^0-9]', '', 'g')) >= 7 THEN regexp_replace({_group_sql("text", p)}, '[,;[:space:]]+$', '') END"""
+    for p in extraction.PHONES
+)
+_SKILLS_SQL = ", ".join(
+    "CASE WHEN regexp_matches(lower(text), '\\b" + "".join("\\" + c if c in ".+#/-" else c for c in s.lower()) + f"\\b') THEN '{s}' END" for s in extraction.SKILLS
+)
+
+
+@query(
+    "resume_fields",
+    f"""SELECT id, {_group_sql("text", extraction.EMAIL)} AS email, coalesce({_PHONE_SQL}) AS phone,
+    array_to_string(list_sort(list_filter([{_SKILLS_SQL}], lambda x: x IS NOT NULL)), ', ') AS skills FROM documents_corpus WHERE category = 'Resume' AND text IS NOT NULL""",
+)
+def resume_fields(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    df = table(spark, sf, "documents_corpus").filter("category = 'Resume' AND text IS NOT NULL")
+    return df.select("id", extraction.email(t).alias("email"), extraction.phone(t).alias("phone"), F.array_join(extraction.skills(t), ", ").alias("skills"))
+
+
+@query("candidate_names")
+def candidate_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents_corpus").filter("category = 'Resume'").select("id", extraction.candidate_name(F.col("text")).alias("name"))
+
+
+@query(
+    "other_fields",
+    f"""SELECT id, {_group_sql("text", extraction.CONTRACT_DATE)} AS effective_date, {_group_sql("text", extraction.ISO_DATE)} AS iso_date,
+    coalesce({_group_sql("text", extraction.SUBJECT_LINE)}, 'General Correspondence') AS subject FROM documents_corpus""",
+)
+def other_fields(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    df = table(spark, sf, "documents_corpus")
+    return df.select("id", extraction.contract_date(t).alias("effective_date"), extraction.other_date(t).alias("iso_date"), extraction.other_subject(t).alias("subject"))
+
+
+@query("extracted_values")
+def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of every labelled document as a row."""
+    df = table(spark, sf, "documents_corpus").select("id", F.explode(extraction.extract(F.col("text"), F.col("category"))).alias("field", "value"))
+    return df
+
+
+_MISSING = f"(v IS NULL OR lower(trim(v)) IN {_in(validation.PLACEHOLDERS)})"
+
+
+@query(
+    "validate_numbers",
+    f"""SELECT id, CASE WHEN {_MISSING} THEN 'missing' WHEN length(trim(v)) < 3 THEN 'short' WHEN length(trim(v)) > 35 THEN 'long' WHEN lower(trim(v)) IN {_in(validation.NOT_NUMBERS)} THEN 'header'
+    WHEN NOT regexp_matches(v, '[A-Za-z0-9]') THEN 'characters' END AS number_error,
+    CASE WHEN {_MISSING.replace("(v", "(c").replace("trim(v", "trim(c")} THEN 'missing' WHEN length(trim(c)) < 2 THEN 'short' WHEN length(trim(c)) > 80 THEN 'long'
+    WHEN lower(trim(c)) IN {_in(validation.NOT_COMPANIES)} THEN 'header' END AS company_error
+    FROM (SELECT id, invoice_number AS v, company AS c FROM doc_records)""",
+)
+def validate_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records")
+    return docs.select("id", validation.invoice_number_error(F.col("invoice_number")).alias("number_error"), validation.company_error(F.col("company")).alias("company_error"))
+
+
+@query(
+    "validate_amounts",
+    f"""SELECT id, CASE WHEN {_MISSING} THEN 'missing' WHEN n IS NULL THEN 'format' WHEN n <= 0 THEN 'range' END AS amount_error FROM (SELECT id, v,
+    TRY_CAST(regexp_extract(replace(regexp_replace(trim(v), '(?i)\\b(USD|PKR|EUR|GBP|Rs\\.?|AUD|CAD)\\b', '', 'g'), ',', ''), '[-+]?[0-9]*\\.?[0-9]+', 0) AS DOUBLE) AS n
+    FROM (SELECT id, total_amount AS v FROM doc_records WHERE document_type = 'Invoice'))""",
+)
+def validate_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records").filter("document_type = 'Invoice'")
+    return docs.select("id", validation.amount_error(F.col("total_amount")).alias("amount_error"))
+
+
+@query(
+    "validate_emails",
+    f"""SELECT id, CASE WHEN {_MISSING} THEN 'missing' WHEN NOT regexp_full_match(trim(v), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+') THEN 'format'
+    WHEN length(regexp_extract(split_part(trim(v), '@', 2), '\\.([^.]*)$', 1)) < 2 THEN 'domain' END AS email_error FROM (SELECT id, invoice_number AS v FROM doc_records WHERE document_type = 'Resume')""",
+)
+def validate_emails(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records").filter("document_type = 'Resume'")
+    return docs.select("id", validation.email_error(F.col("invoice_number")).alias("email_error"))
+
+
+@query("validation_report")
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_records").filter("document_type = 'Contract'")
+    r = validation.report({"contract_title": F.col("company"), "effective_date": F.col("total_amount"), "governing_law": F.col("invoice_number")}, "Contract")
+    return docs.select("id", r.alias("r")).select("id", "r.is_valid", F.array_join("r.failed_fields", ",").alias("failed"), "r.passed_count")
+
+
+# ---- chunks, retrieval, answers ----------------------------------------------------------------
+
+
+@query(
+    "chunk_sliding",
+    f"""SELECT doc_id, CAST(s / 290 AS INTEGER) AS chunk_index, c AS chunk_text, CAST({_WORDS.format("c")} AS INTEGER) AS token_count FROM (SELECT doc_id, s, {STRIP.format("substr(t, CAST(s AS BIGINT) + 1, 350)")} AS c
+    FROM (SELECT doc_id, t, unnest(range(0, length(t), 290)) AS s FROM (SELECT doc_id, {STRIP.format("coalesce(text, '')")} AS t FROM documents))) WHERE c <> ''""",
+)
+def chunk_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.sliding(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query("chunk_packed")
+def chunk_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.packed_chunks(table(spark, sf, "documents"), "text", "doc_id")
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "rag_chunks").groupBy("id").agg(F.min(F.struct("chunk_text", "document_id")).alias("c")).select("id", "c.chunk_text", "c.document_id")
+
+
+def _hits(spark: SparkSession, sf: str, longest: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    questions = table(spark, sf, "eval_items")
+    chunks = _chunks(spark, sf)
+    return retrieval.retrieve(questions, chunks, "item_id", "text", "id", "chunk_text", longest=longest, stops=retrieval.SHORT_STOP_WORDS), questions, chunks
+
+
+_TERMS = "SELECT {k}, term, 1 + ln(count(*)) AS tf FROM (SELECT {k}, unnest(regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9_]{{2,}}')) AS term FROM {s}) WHERE term NOT IN {stops} GROUP BY {k}, term"
+
+
+@query(
+    "tfidf_retrieve",
+    f"""WITH ch AS (SELECT id, min(chunk_text) AS chunk_text FROM rag_chunks GROUP BY id),
+    c AS ({_TERMS.format(k="id", t="chunk_text", s="ch", stops=_in(retrieval.SHORT_STOP_WORDS))}), q AS ({_TERMS.format(k="item_id", t="text", s="eval_items", stops=_in(retrieval.SHORT_STOP_WORDS))}),
+    i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM ch)) / (1.0 + count(*))) + 1 AS idf FROM c GROUP BY term),
+    cw AS (SELECT id, term, tf * idf AS v, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY id)) AS n FROM c JOIN i USING (term)),
+    qw AS (SELECT item_id, term, tf * idf AS v, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY item_id)) AS n FROM q JOIN i USING (term)),
+    s AS (SELECT item_id, id, round_even(sum(qw.v / qw.n * cw.v / cw.n), 4) AS score FROM qw JOIN cw USING (term) GROUP BY item_id, id)
+    SELECT item_id, id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS place FROM s WHERE score > 0.001) WHERE place <= 4""",
+)
+def tfidf_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    hits, _, _ = _hits(spark, sf)
+    return hits.select("item_id", "id", F.round("score", 3).alias("score"))
+
+
+@query("grounded_answers")
+def grounded_answers(spark: SparkSession, sf: str) -> DataFrame:
+    hits, questions, chunks = _hits(spark, sf, longest=3)
+    spoken = stored(retrieval.best_sentences(hits, questions, chunks, "item_id", "text", "id", "chunk_text"), "sentences")
+    out = retrieval.answers(spoken, chunks, "item_id", "id")
+    return out.select("item_id", "answer", F.size("citations").alias("cited"), "max_similarity", "is_grounded")
+
+
+@query("top_terms_by_class")
+def top_terms_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = table(spark, sf, "documents_corpus").filter(F.col("category").isin("Invoice", "Resume", "Other"))
+    counts = retrieval.term_counts(corpus, "id", "text", retrieval.SHORT_STOP_WORDS, 2)
+    return retrieval.top_terms(counts, retrieval.idf(counts, corpus), corpus, "id", "category")
+
+
+@query(
+    "shared_words",
+    """WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(chunk_text), '[a-z0-9_]{3,}')) AS s, document_id, chunk_index FROM (SELECT DISTINCT id, document_id, chunk_index, chunk_text FROM rag_chunks))
+    SELECT a.id AS id, b.id AS next_id, CAST(len(list_intersect(a.s, b.s)) AS INTEGER) AS shared FROM w a JOIN w b ON a.document_id = b.document_id AND a.chunk_index + 1 = b.chunk_index""",
+)
+def shared_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that consecutive chunks of a document share; the join is on document and position."""
+    chunks = table(spark, sf, "rag_chunks").select("id", "document_id", "chunk_index", "chunk_text").distinct()
+    w = chunks.select("id", "document_id", "chunk_index", F.array_distinct(F.regexp_extract_all(F.lower("chunk_text"), F.lit("([a-z0-9_]{3,})"), F.lit(1))).alias("s"))
+    b = w.select(F.col("id").alias("next_id"), "document_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("s").alias("t"))
+    return w.join(b, ["document_id", "chunk_index"]).select("id", "next_id", F.size(F.array_intersect("s", "t")).alias("shared"))
