@@ -27,30 +27,26 @@ MARKS_FROM = "٫٬．，’‘＇−–—‒－﹣    （）￥＄﹩￡
 MARKS_TO = ".,.,'''------    ()¥$$£"
 
 # Scales and the power of ten of each.
-SCALES = [
-    (3, r"k|thousands?|tsd|'?000s?"),
-    (5, r"lakhs?|lacs?"),
-    (7, r"crores?|cr"),
-    (6, r"m|mn|mio|mln|millions?"),
-    (9, r"b|bn|mrd|billions?"),
-]
-# Sub-units of a hundredth, and the currency that the word alone implies.
-SUBUNITS = r"us cents?|euro ?cents?|cents?|¢|paisas?|paise|pence|pennies|penny|p|fils|rappen|centimes?|sen"
-SUBUNIT_CURRENCY = [("USD", r"us cents?|¢"), ("EUR", r"euro ?cents?"), ("GBP", r"pence|pennies|penny"), ("AED", r"fils"), ("CHF", r"rappen")]
-# Signs of currencies.
-SIGNS = [("USD", r"\$"), ("EUR", "€"), ("GBP", "£"), ("INR", "₹"), ("PKR", r"₨|(?<![a-z])rs\.?(?![a-z])"), ("JPY", "¥")]
+SCALES = {
+    3: "k thousand thousands tsd".split(),
+    5: "lakh lakhs lac lacs".split(),
+    6: "m mn mio mln million millions".split(),
+    7: "crore crores cr".split(),
+    9: "b bn mrd billion billions".split(),
+}
+# Sub-units of a hundredth, with the currency that the word alone implies.
+SUBUNITS = {
+    "us cent": "USD", "us cents": "USD", "¢": "USD", "euro cent": "EUR", "euro cents": "EUR", "eurocent": "EUR", "eurocents": "EUR", "pence": "GBP", "penny": "GBP",
+    "pennies": "GBP", "p": "GBP", "fils": "AED", "rappen": "CHF", "cent": None, "cents": None, "paisa": None, "paisas": None, "paise": None, "centime": None,
+    "centimes": None, "sen": None,
+}
+# Codes, signs and first words of names of currencies.
 CODES = ["USD", "EUR", "GBP", "PKR", "JPY", "INR", "AED", "CHF"]
-# Names of currencies.
+SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "₨": "PKR", "¥": "JPY", "rs": "PKR"}
 NAMES = {
-    "USD": r"us dollars?|u\.s\. dollars?",
-    "EUR": r"euros?",
-    "GBP": r"pounds? sterling|british pounds?",
-    "PKR": r"pakistani? rupees?",
-    "JPY": r"japanese yen|yen",
-    "INR": r"indian rupees?",
-    "AED": r"(?:uae|emirati) dirhams?",
-    "CHF": r"swiss francs?",
-}
+    "USD": ["us dollar", "u.s. dollar"], "EUR": ["euro"], "GBP": ["pound sterling", "pounds sterling", "british pound"], "PKR": ["pakistan rupee", "pakistani rupee"],
+    "JPY": ["japanese yen", "yen"], "INR": ["indian rupee"], "AED": ["uae dirham", "emirati dirham"], "CHF": ["swiss franc"],
+}
 
 
 def plain(text: Column) -> Column:
@@ -61,16 +57,21 @@ def plain(text: Column) -> Column:
 NUMBER = r"(?:\d+(?:[.,']\d+| \d{3}(?!\d))*)"
 
 
+_CODE = "|".join(c.lower() for c in CODES)
+_NAME = "|".join(n.replace(".", r"\.") for names in NAMES.values() for n in names)
+_IMPLIED = "|".join(sorted((w for w, c in SUBUNITS.items() if c and w != "¢"), key=len, reverse=True))
+CURRENCY = rf"(?<![a-z])(?:{_CODE}|rs|(?:{_NAME})s?|{_IMPLIED})(?![a-z])|[$€£¥₹₨¢]"
+
+
 def currency_of(text: Column) -> Column:
-    """The currency that a short text states by code, sign or name, else null."""
-    tests = [(c, rf"(?i)(?<![a-z]){c}(?![a-z])") for c in CODES]
-    tests += [(c, rf"(?i)(?<![a-z])(?:{n})(?![a-z])") for c, n in NAMES.items()]
-    tests += [(c, rf"(?i)(?:{s})") for c, s in SIGNS]
-    tests += [(c, rf"(?i)(?<![a-z])(?:{s})(?![a-z])") for c, s in SUBUNIT_CURRENCY]
-    found = F.lit(None).cast("string")
-    for code, pattern in reversed(tests):
-        found = F.when(text.rlike(pattern), F.lit(code)).otherwise(found)
-    return found
+    """The currency that a short text states first by code, sign, name or sub-unit, else null."""
+    word = F.regexp_extract(F.lower(text), CURRENCY, 0)
+    found = F.when(word.isin([c.lower() for c in CODES]), F.upper(word))
+    for sign, code in SIGNS.items():
+        found = found.when(word == sign, code)
+    for code in CODES:
+        found = found.when(word.isin([w for w, c in SUBUNITS.items() if c == code] + [f for n in NAMES[code] for f in (n, n + "s")]), code)
+    return F.when(word != "", found)
 
 
 def reading(number: Column) -> Column:
@@ -92,11 +93,15 @@ def reading(number: Column) -> Column:
     return F.replace(decimal, F.lit("#"), F.lit("."))
 
 
-def _power(text: Column, shape: str) -> Column:
-    """The power of ten of the scale found by shape (with @ for the word), else null."""
+#: The word beside a number: a scale or sub-unit where it is one.
+UNIT_WORD = rf"{NUMBER}\s*\)?\s*(us cents?|euro ?cents?|[a-z]+|¢)(?![a-z])"
+
+
+def _power(word: Column) -> Column:
+    """The power of ten of a scale's word, else null."""
     found = F.lit(None).cast("int")
-    for power, words in reversed(SCALES):
-        found = F.when(text.rlike(shape.replace("@", words)), F.lit(power)).otherwise(found)
+    for power, words in SCALES.items():
+        found = F.when(word.isin(words), F.lit(power)).otherwise(found)
     return found
 
 
@@ -132,13 +137,15 @@ def normalise_amounts(records: DataFrame, rates: DataFrame, amount: str = "total
     text = plain(F.col(amount).cast("string"))
     df = records.withColumn("__t", text).withColumn("__raw", F.regexp_extract("__t", NUMBER, 0))
     df = df.withColumn("__n", F.regexp_replace("__raw", r"[' ]", ""))
-    after = rf"(?i){NUMBER}\s*\)?\s*(?:@)(?![a-z])"
     tail = F.col("__t")
+    df = df.withColumn("__low", F.lower(tail)).withColumn("__word", F.regexp_extract("__low", UNIT_WORD, 1))
+    before = F.col("__low").rlike(rf"(?<![a-z])(?:cents?|paisas?|paise|pence|fils|rappen)\s*{NUMBER}")
     df = (
-        df.withColumn("__power", _power(tail, after))
-        .withColumn("__sub", tail.rlike(rf"(?i)(?:{NUMBER}\s*(?:{SUBUNITS})(?![a-z])|(?<![a-z])(?:{SUBUNITS})\s*{NUMBER})"))
+        df.withColumn("__power", _power(F.col("__word")))
+        .withColumn("__sub", F.col("__word").isin(list(SUBUNITS)) | before)
         .withColumn("__cur", currency_of(tail))
-        .withColumn("__ctx", F.when(F.col("__raw") != "", stated_unit(F.col(context))))
+        # the statement counts only for what the amount itself leaves open
+        .withColumn("__ctx", F.when((F.col("__raw") != "") & (F.col("__cur").isNull() | (F.col("__power").isNull() & ~F.col("__sub"))), stated_unit(F.col(context))))
         .withColumn(
             "__neg",
             tail.rlike(r"-[^\d]*\d|\d\s*-\s*(?:$|[^\d])|\([^()]*\d[^()]*\)|\d\s*CR\s*$")
