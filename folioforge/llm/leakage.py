@@ -40,11 +40,11 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.{0,200}?-->", re.S)
 _DIVIDED = re.compile("[-\N{HYPHEN}\N{NON-BREAKING HYPHEN}\N{SOFT HYPHEN}][ \\t]*[\\r\\n\N{LINE SEPARATOR}]\\s*")
-_POINT = re.compile(r"(?<=\d)[.,](?=\d)")
+_POINT = re.compile(r"[.,](?<=\d.)(?=\d)")
 _MARKS = re.compile(r"[̀-ͯ҃-֑҇-ֽً-ٰٟ​-‏‪-‮⁠-⁤­﻿]+")
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("[ÃÂâÅÄ](?:[\x80-\xbf]|[^\x00-\xff]){1,3}")
-_DROP = {ord(c): None for c in "-'’‘‐‑*_`~"}
+_DROP = "-'’‘‐‑*_`~"
 
 
 def _mended(m: re.Match) -> str:
@@ -67,7 +67,11 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = _BROKEN.sub(_mended, text)
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _DIVIDED.sub("", text)))
-    text = _DIVIDED.sub("", text).translate(_DROP)
+    elif "-" in text:
+        text = _DIVIDED.sub("", text)
+    for c in _DROP:
+        if c in text:
+            text = text.replace(c, "")
     return _WORD.findall(_POINT.sub("", text.casefold()))
 
 
@@ -168,6 +172,8 @@ class Aligner:
         self.seeds: dict[int, list[int]] = {}
         self.places: list[dict[int, int]] = []
         self.member = np.zeros((len(items.words), len(items.code)), bool)
+        self.bag = np.zeros((len(items.words), len(items.code)), np.int16)
+        self.least = np.array([need(len(w)) for w in items.words], np.int64)
         for k, w in enumerate(items.words):
             for s in seeds(w, frequency):
                 self.seeds.setdefault(s, []).append(k)
@@ -176,6 +182,7 @@ class Aligner:
                 at[x] = at.get(x, 0) | 1 << i
             self.places.append(at)
             self.member[k, w] = True
+            np.add.at(self.bag[k], w, 1)
 
     def found(self, ids: np.ndarray) -> set[int]:
         """Numbers of the items in a document's dense stretches."""
@@ -186,7 +193,12 @@ class Aligner:
             hit = self.items.runs.get(ids[i : i + RUN].tobytes())
             if hit:
                 out.update(hit)
-        candidates = {k for w in np.unique(ids[ok]).tolist() for k in self.seeds.get(w, ())} - out
+        held, often = np.unique(ids[ok], return_counts=True)
+        candidates = {k for w in held.tolist() for k in self.seeds.get(w, ())} - out
+        if candidates:
+            # no alignment has more matches than there are common words
+            shared = np.minimum(self.bag[:, held], often.astype(np.int16)).sum(1)
+            candidates &= set(np.flatnonzero(shared >= self.least).tolist())
         if not candidates:
             return out
         for k in candidates:
