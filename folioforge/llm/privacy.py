@@ -57,11 +57,9 @@ FORM_WORDS = set(
     frau herr the a an no po ntn cnic ssn passport january february march april may june july august september october november december""".split()
 )
 
-_EMAIL = re.compile(
-    r"(?i)(?<![\w.+%-])(?:[a-z0-9](?:[\w.+%-]*[\w+%-])?)"
-    r"(?:\s?[@＠]\s?|\s?&#64;\s?|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({]\s*dot)))"
-    r"[a-z0-9-]+(?:(?:[.．](?=[a-z0-9-]+)|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[a-z0-9-]+)+"
-)
+_AT = re.compile(r"\s?[@＠]\s?|&#64;|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({]\s*dot))", re.I)
+_LOCAL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?$")
+_DOMAIN = re.compile(r"[a-z0-9-]+(?:(?:[.．](?=[a-z0-9-]+)|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[a-z0-9-]+)+", re.I)
 _PHONE = re.compile(
     r"(?<![\w+.,/(#-])(?:"
     r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{1,7}){1,6}"
@@ -115,6 +113,7 @@ _ADDRESS = re.compile(
 )
 _STEP = re.compile(rf"(?<![\w@.+'’\-])(?:{_NAME}(?![\w@])|[{_UP}]\.(?=[ \n{_UP}]))")
 _CUE = re.compile(rf"(?:(?<!\w)(?:{TITLES})\.?|(?:{LABELS})|(?:tacter|chez|par|à|de|et|que|Pourquoi|Cher)\s+M\.|(?:Dear|Hello|Hi)(?: (?:{TITLES})\.?)?)\s*(?:{TITLES})?\.?\s*$")
+_CUE_WORDS = set(TITLES.lower().split("|")) | set("attn attention contact person from name candidate signed by signatory to dear hello hi m".split()) | {""}
 _STRONG_TITLES = set(TITLES.split("|"))
 _FRENCH_BEFORE = re.compile(r"(?:tacter|chez|par|à|de|et|que|Pourquoi|Cher)\s+$")
 _FIRM_AFTER = re.compile(r"\s*(?:&|,? (?:and|et|und|y) (?:Sons|Partners|Co)\b)")
@@ -132,8 +131,11 @@ def shaped(text: str) -> list[tuple[str, int, int]]:
 
     low = "@" in text or "＠" in text or "&#64;" in text or "at]" in text.lower() or "at)" in text.lower() or " dot " in text.lower()
     if low:
-        for m in _EMAIL.finditer(text):
-            add("EMAIL", m.start(), m.end())
+        for m in _AT.finditer(text):
+            local = _LOCAL.search(text, max(0, m.start() - 80), m.start())
+            domain = local and _DOMAIN.match(text, m.end())
+            if domain:
+                add("EMAIL", local.start(), domain.end())
     for m in _LABELLED_ID.finditer(text):
         if sum(c.isdigit() for c in m.group(1)) >= 5:
             add("ID_NUMBER", m.start(1), m.end(1))
@@ -181,8 +183,9 @@ def runs(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[str],
         gap = text[last:a] if last >= 0 else None
         if not words or gap not in (" ", ", ", "\n", "\r\n"):
             close(last)
-            before = text[max(0, a - 34) : a]
-            cue = bool(_CUE.search(before))
+            before = text[max(0, a - 34) : a].rstrip()
+            last_word = before[max(before.rfind(" "), before.rfind("\n"), before.rfind("("), -1) + 1 :]
+            cue = last_word.rstrip(".:").lower() in _CUE_WORDS and bool(_CUE.search(before))
         w = m.group()
         if w in _STRONG_TITLES or (w == "M." and _FRENCH_BEFORE.search(text, max(0, a - 12), a)):
             close(last)
