@@ -6,8 +6,14 @@ by key and split into key ranges, in the shared folder. A new batch is turned
 into sorted entries and merged with the runs on the key; only records in the
 window of one key are compared, never the history itself. Accepted records of
 the batch become a further run; every COMPACT_AFTER runs they are merged into
-one. The window of a key is all entries with that key, so it drops nothing;
-copies of one record cost one entry, as only accepted records leave any.
+one. Copies of one record cost one entry, as only accepted records leave any.
+
+The company's name, which may differ by two letters, is the second half of the
+number's key. Cut into three parts, a name and another within two edits of it
+share one part unchanged, shifted by two places at most. So an entry stands in
+a run once for each part of its name (a slot), and a new record looks only into
+the slots where an equal or similar name can stand: the window drops nothing,
+and a number that thousands of companies use gives no pairs of all of them.
 
 Records count in ascending id: one that repeats an accepted record is not
 accepted itself. Inside a batch this is settled in rounds over classes of equal
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 from folioforge.session import scratch
 
 COMPACT_AFTER = 4
+LETTERS = 2  # wrong letters in a company's name
 
 # What stands for a missing value.
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "n.a.", "nil", "none", "null", "nan", "not found", "not specified", "not available", "unknown", "missing", "tbd", "undefined"]
@@ -101,10 +108,45 @@ def entries(records: DataFrame) -> DataFrame:
     return base.select("id", F.inline(either)).select("kind", "key", "name", "words", "id").dropDuplicates(["kind", "key", "name", "id"])
 
 
+def _slots(name: Column) -> list[Column]:
+    """The slots in which a name stands: its length, the number of a part, and the part."""
+    n = F.length(name)
+    third = F.floor(n / 3).cast("int")
+    parts = [F.substring(name, F.lit(1), third), F.substring(name, third + 1, third), F.substring(name, 2 * third + 1, n)]
+    return [F.concat_ws(":", n.cast("string"), F.lit(str(i)), p) for i, p in enumerate(parts)]
+
+
+def _probes(name: Column) -> list[Column]:
+    """The slots in which names within two edits of this one stand, one of them at least."""
+    out = []
+    for more in range(-LETTERS, LETTERS + 1):  # so much longer is this name than the one in the slot
+        n = F.length(name) - more
+        third = F.floor(n / 3).cast("int")
+        looks = [(0, F.lit(1), third), (2, 2 * third + 1 + more, n - 2 * third)]
+        looks += [(1, third + 1 + shift, third) for shift in range(max(-1, more - 1), min(1, more + 1) + 1)]
+        for i, start, size in looks:
+            fits = (n >= 1) & (start >= 1)
+            out.append(F.when(fits, F.concat_ws(":", n.cast("string"), F.lit(str(i)), F.substring(name, start, size))))
+    return out
+
+
+def _in_slots(df: DataFrame, slots: list[Column]) -> DataFrame:
+    """Each entry once for each of the slots; an entry without a name has the slot ''."""
+    every = F.array_distinct(F.array_compact(F.array(*slots)))
+    return df.withColumn("slot", F.explode(F.when(F.col("kind") == "number", every).otherwise(F.array(F.lit("")))))
+
+
 def _same(a: str, b: str) -> Column:
     """Whether two entries of one key name the same thing: at most two wrong letters, no other word."""
     x, y = F.col(f"{a}.name"), F.col(f"{b}.name")
-    return (x == y) | ((F.col(f"{a}.words") == F.col(f"{b}.words")) & (F.levenshtein(x, y, 2) >= 0))
+    return (x == y) | ((F.col(f"{a}.words") == F.col(f"{b}.words")) & (F.levenshtein(x, y, LETTERS) >= 0))
+
+
+def _met(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Pairs b of new and a of old, which stands in slots, that share a key and name the same."""
+    b = _in_slots(new, _probes(F.col("name"))).alias("b")
+    keys = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("kind", "key", "slot")]
+    return b.join(old.alias("a"), keys[0] & keys[1] & keys[2] & _same("a", "b"))
 
 
 class History:
@@ -112,7 +154,7 @@ class History:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.runs, self.count = spark, scratch(spark, "history"), [], 0
-        self.schema = "kind string, key string, name string, words int, id bigint"
+        self.schema = "kind string, key string, name string, words int, id bigint, slot string"
 
     def _path(self, what: str) -> str:
         self.count += 1
@@ -125,7 +167,7 @@ class History:
 
     def _run(self, df: DataFrame) -> str:
         path = self._path("run")
-        df.repartitionByRange("key").sortWithinPartitions("key", "name", "id").write.parquet(path)
+        df.repartitionByRange("key", "slot").sortWithinPartitions("key", "slot", "id").write.parquet(path)
         return path
 
     def accepted(self) -> DataFrame:
@@ -135,14 +177,13 @@ class History:
 
     def add(self, df: DataFrame) -> None:
         """Accepted entries become a run; old runs are compacted now and then."""
-        self.runs.append(self._run(df))
+        self.runs.append(self._run(_in_slots(df, _slots(F.col("name")))))
         if len(self.runs) > COMPACT_AFTER:
             self.runs = [self._run(self.accepted())]
 
     def _links(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """(id_a, id_b): new records b and the entries a of old that they repeat."""
-        pairs = new.alias("b").join(old.alias("a"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & _same("a", "b"))
-        return pairs.filter(F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+        return _met(new, old).filter(F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Accepts a batch; the result has a row (id_a, id_b) for each record b of it that repeats an accepted record a."""
@@ -152,18 +193,13 @@ class History:
         taken = []
         while True:
             classes = fresh.groupBy("kind", "key", "name", "words").agg(F.min("id").alias("id"))
-            least = (
-                classes.alias("a")
-                .join(classes.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & _same("a", "b"))
-                .groupBy("b.kind", "b.key", "b.name")
-                .agg(F.min("a.id").alias("least"))
-            )
+            least = _met(classes, _in_slots(classes, _slots(F.col("name")))).groupBy("b.kind", "b.key", "b.name").agg(F.min("a.id").alias("least"))
             first = fresh.join(least, ["kind", "key", "name"]).groupBy("id").agg(F.min("least").alias("least"))
             ranked = self._kept(fresh.join(first, "id").select(*new.columns, "least"), "ranked")
             now = ranked.filter("least = id").drop("least")
             taken.append(now)
             later = ranked.filter("least < id").drop("least")
-            links = self._kept(self._links(later, now), "links")
+            links = self._kept(self._links(later, _in_slots(now, _slots(F.col("name")))), "links")
             found.append(links)
             fresh = self._kept(later.join(links.select(F.col("id_b").alias("id")), "id", "left_anti").select(*new.columns), "open")
             if fresh.isEmpty():
