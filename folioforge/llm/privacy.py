@@ -16,8 +16,8 @@ replaced by typed placeholders, the rest of the text stays.
 The revealing terms are sent to the executors as a set while they are at most
 TERMS_TO_SEND; beyond that they are joined to the runs on the term.
 
-Defined results: null and empty texts hold nothing; repeated rows give each
-mention once; texts are read whole.
+Defined results: null and empty texts hold nothing; repeated rows repeat their
+mentions; texts are read whole.
 """
 
 from __future__ import annotations
@@ -324,7 +324,7 @@ def mentions(texts: DataFrame, terms_to_send: int = TERMS_TO_SEND) -> DataFrame:
 
     rows = rows.select("table_name", "row_key", "words", "starts", "cue", "firm", "known")
     names = rows.mapInArrow(decide, "table_name string, row_key string, pii_type string, start_pos int, end_pos int")
-    return shapes.unionByName(names).distinct()
+    return shapes.unionByName(names)
 
 
 def redacted(texts: DataFrame, found: DataFrame) -> DataFrame:
