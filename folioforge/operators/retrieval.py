@@ -26,11 +26,13 @@ def stop_words(df: DataFrame) -> list[str]:
 def ngrams(text: Column, stops: list[str], longest: int = 3) -> Column:
     """Words of at least two characters without stop words, and their sequences up to the longest."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]{2,})"), F.lit(1)), lambda w: ~w.isin(stops))
-    out = words
-    for n in range(2, longest + 1):
+
+    def sequences(n: int) -> Column:
         size = F.size(words) - (n - 1)
-        out = F.concat(out, F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return out
+        made = F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(size > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *(sequences(n) for n in range(2, longest + 1)))
 
 
 def term_counts(df: DataFrame, key: str, text: str, stops: list[str], longest: int = 3) -> DataFrame:

@@ -49,7 +49,7 @@ def read_text(files: DataFrame, extract: Callable[[bytes, str], str] | None = No
 
         return run
 
-    native = called(extract)(F.col("content"), F.col("name")) if extract else pdf_strings(F.decode(F.col("content"), F.lit("ISO-8859-1")))
+    native = called(extract)(F.col("content"), F.col("name")) if extract else pdf_strings(F.decode(F.col("content"), "ISO-8859-1"))
     df = files.withColumn("raw_text", F.coalesce(native, F.lit(""))).withColumn("method", F.lit("native"))
     if ocr:
         poor = F.length(F.trim("raw_text")) < least

@@ -27,7 +27,9 @@ def hourly_actions(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its table."""
+    """Runs a stream over what is there and gives its table; mode: complete or append."""
+    if mode not in ("complete", "append"):
+        raise ValueError(mode)
     spark = stream.sparkSession
     path = scratch(spark, f"stream-{name}")
     if mode == "append":
