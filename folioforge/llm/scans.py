@@ -86,8 +86,7 @@ def header_key(line: str) -> str | None:
 def repeated_header(text: str) -> list[tuple[int, int]]:
     """(start, end) of sequences of words that stand in a text several times and look like a running header."""
     tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    norm = [text[a:b].lower().translate(_PLAIN) for a, b in tokens]
-    norm = ["|" if x in ("|", "·", "•", "-", "–", "—") else x for x in norm]
+    norm = ["|" if x in ("|", "·", "•", "-", "–", "—") else x.lower().translate(_PLAIN) for x in (text[a:b] for a, b in tokens)]
     places: dict[tuple[str, ...], list[int]] = defaultdict(list)
     for i in range(len(norm) - 3):
         places[tuple(norm[i : i + 4])].append(i)
