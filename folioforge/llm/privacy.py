@@ -227,7 +227,9 @@ def names_in(words: list[str], starts: list[int], cue: bool, firm: bool, reveali
     return out
 
 
-FOUND = "table_name string, row_key string, pii_type string, start_pos int, end_pos int, words array<string>, starts array<int>, cue boolean, firm boolean"
+#: Words and starts of a run are kept as one string each: arrays of strings cost more between JVM and Python than the text pass itself.
+BETWEEN = "\x1f"
+FOUND = "table_name string, row_key string, pii_type string, start_pos int, end_pos int, words string, starts string, cue boolean, firm boolean"
 
 
 def scan(texts: DataFrame) -> DataFrame:
@@ -245,12 +247,12 @@ def scan(texts: DataFrame) -> DataFrame:
                     words.append(None), starts.append(None), cues.append(None), firms.append(None)
                 for w, s, c, f in runs(t, found):
                     take.append(i), kind.append("RUN"), start.append(s[0] + 1), end.append(s[-1] + len(w[-1]) + 1)
-                    words.append(w), starts.append(s), cues.append(c), firms.append(f)
+                    words.append(BETWEEN.join(w)), starts.append(",".join(map(str, s))), cues.append(c), firms.append(f)
             rows = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(rows), b.column(1).take(rows), pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                    pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(cues, pa.bool_()), pa.array(firms, pa.bool_()),
+                    pa.array(words, pa.string()), pa.array(starts, pa.string()), pa.array(cues, pa.bool_()), pa.array(firms, pa.bool_()),
                 ],
                 ["table_name", "row_key", "pii_type", "start_pos", "end_pos", "words", "starts", "cue", "firm"],
             )
@@ -259,7 +261,7 @@ def scan(texts: DataFrame) -> DataFrame:
 
 
 def _terms_of(words: Column) -> Column:
-    """The terms of a run in small letters, initials left out."""
+    """The terms of a run in small letters, initials left out; words: an array."""
     bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "^,", "")))
     return F.filter(F.flatten(F.transform(bare, lambda w: F.split(w, "-"))), lambda w: F.length(w) > 2)
 
@@ -268,7 +270,7 @@ def disclosure(found: DataFrame) -> DataFrame:
     """(term, n, protected, bits) of every term of the runs: how strongly it reveals a person."""
     # the surnames in a firm's name are the firm's
     firms = F.array(*(F.lit(w) for w in sorted(CORPORATE)))
-    runs_ = found.filter("pii_type = 'RUN' AND NOT firm").filter(~F.arrays_overlap(F.transform("words", lambda w: F.lower(F.regexp_replace(w, "^,", ""))), firms))
+    runs_ = found.filter("pii_type = 'RUN' AND NOT firm").select("cue", F.split("words", BETWEEN).alias("words")).filter(~F.arrays_overlap(F.transform("words", lambda w: F.lower(F.regexp_replace(w, "^,", ""))), firms))
     # of a run in a protected context the first words are the entity: a name has two besides initials
     whole = F.filter("words", lambda w: F.length(w) > 2)
     head = F.when(F.col("cue"), F.slice(whole, 1, 2)).otherwise(F.array().cast("array<string>"))
@@ -301,7 +303,7 @@ def mentions(texts: DataFrame, terms_to_send: int = TERMS_TO_SEND) -> DataFrame:
     else:
         keyed = candidates.withColumn("run", F.xxhash64("table_name", "row_key", F.col("starts")))
         hits = (
-            keyed.select("table_name", "row_key", "run", F.explode(F.array_distinct(_terms_of(F.col("words")))).alias("term"))
+            keyed.select("table_name", "row_key", "run", F.explode(F.array_distinct(_terms_of(F.split("words", BETWEEN)))).alias("term"))
             .join(terms, "term", "left_semi")
             .groupBy("table_name", "row_key", "run")
             .agg(F.collect_set("term").alias("known"))
@@ -314,7 +316,7 @@ def mentions(texts: DataFrame, terms_to_send: int = TERMS_TO_SEND) -> DataFrame:
             c = [b.column(k).to_pylist() for k in range(2, 7)]
             for i, (words, starts, cue, firm, known) in enumerate(zip(*c)):
                 reveal = lookup.value.__contains__ if lookup is not None else set(known or ()).__contains__
-                for x, y in names_in(words, starts, cue, firm, reveal):
+                for x, y in names_in(words.split(BETWEEN), list(map(int, starts.split(","))), cue, firm, reveal):
                     take.append(i), start.append(x + 1), end.append(y + 1)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
