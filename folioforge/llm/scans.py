@@ -39,7 +39,7 @@ RARER = 4  # and so many times as often as what it corrects
 WORDS_HELD = 400_000  # distinct words counted in a task before they are passed on
 
 # What scanned letters are misread as.
-SPOILT = {"e": ["€"], "i": ["1", "!"], "l": ["1", "|"], "o": ["0"], "s": ["5", "$"], "g": ["9"], "b": ["8"], "d": ["cl"], "m": ["rn"], "w": ["vv"]}
+SPOILT = {"fi": ["\ufb01"], "fl": ["\ufb02"], "ff": ["\ufb00"], "e": ["€"], "i": ["1", "!"], "l": ["1", "|"], "o": ["0"], "s": ["5", "$"], "g": ["9"], "b": ["8"], "d": ["cl"], "m": ["rn"], "w": ["vv"]}
 # Words that follow a hyphen which stands for a left-out part.
 SUSPENDED = set("and or und oder to bis et ou y o e bzw nor as".split())
 
@@ -150,15 +150,26 @@ class Editor:
 
     @staticmethod
     def choices(w: str, i: int) -> list[str]:
-        """The edits of a character: keep it, replace it, or replace it and delete the next."""
+        """The edits of a character: keep it, replace it, replace it and insert another, or replace it and delete the next."""
         out = ["keep"]
-        out += [f"replace {x}" for x in READ_AS.get(w[i], ())]
+        out += [f"replace {x}" if len(x) == 1 else f"replace {x[0]} insert {x[1]}" for x in READ_AS.get(w[i], ())]
         if i == 0 and FIRST.match(w):
             out.append("replace i")
         if i + 1 < len(w):
             out += [f"replace {x} delete" for x in READ_AS.get(w[i : i + 2], ())]
         return out
 
+    @staticmethod
+    def break_features(left: str, right: str, known: tuple[bool, bool, bool]) -> list[str]:
+        """Of a word divided at a line end: the letters at the break, and whether left, right and whole are known words."""
+        k = "".join("01"[x] for x in known)
+        return ["l" + left[-2:], "r" + right[:2], "b" + left[-1] + right[0], "k" + k, "w" + k[2], "p" + k[:2]]
+
+    def joins(self, left: str, right: str, known: tuple[bool, bool, bool]) -> bool:
+        """Whether the parts of a divided word are predicted to be joined."""
+        f = self.break_features(left, right, known)
+        return self.score(f, "join") > self.score(f, "keep break")
+
     def score(self, feats: list[str], edit: str) -> float:
         g = self.weights.get
         return sum(g((f, edit), 0.0) for f in feats)
@@ -166,19 +177,28 @@ class Editor:
     def train(self, words: list[str]) -> Editor:
         """Learns from plain words and their forms spoilt on purpose."""
         rng = random.Random(SEED)
+        vocabulary = set(words)
         samples: list[tuple[list[str], list[str], str]] = []
         for w in words:
-            spots = [i for i, c in enumerate(w) if c in SPOILT]
+            spots = [i for i in range(len(w)) if w[i] in SPOILT or w[i : i + 2] in SPOILT]
             for _ in range(2):
                 if spots:
                     i = rng.choice(spots)
-                    form = rng.choice(SPOILT[w[i]])
-                    spoilt = w[:i] + form + w[i + 1 :]
-                    gold = f"replace {w[i]}" + (" delete" if len(form) == 2 else "")
+                    part = w[i : i + 2] if w[i : i + 2] in SPOILT else w[i]
+                    form = rng.choice(SPOILT[part])
+                    spoilt = w[:i] + form + w[i + len(part) :]
+                    gold = f"replace {w[i]}" + (" delete" if len(form) == 2 else f" insert {part[1]}" if len(part) == 2 else "")
                     samples.append((self.features(spoilt, i), self.choices(spoilt, i), gold))
             for i in range(len(w)):
                 if len(options := self.choices(w, i)) > 1:
                     samples.append((self.features(w, i), options, "keep"))
+            if len(w) >= 4:
+                i = rng.randint(2, len(w) - 2)
+                a, b, other = w[:i], w[i:], rng.choice(words)
+                breaks = ["join", "keep break"]
+                # a part may be a word by chance, as in "way-bill"
+                samples.append((self.break_features(a, b, (a in vocabulary or rng.random() < 0.4, b in vocabulary or rng.random() < 0.4, True)), breaks, "join"))
+                samples.append((self.break_features(w, other, (True, True, w + other in vocabulary)), breaks, "keep break"))
         total: dict[tuple[str, str], float] = defaultdict(float)
         stamp: dict[tuple[str, str], int] = defaultdict(int)
         n = 0
@@ -186,7 +206,7 @@ class Editor:
             rng.shuffle(samples)
             for feats, options, gold in samples:
                 n += 1
-                best = max(options, key=lambda o: (self.score(feats, o), o != "keep"))
+                best = max(options, key=lambda o: (self.score(feats, o), o[:4] != "keep"))
                 if best != gold:
                     for f in feats:
                         for edit, by in ((gold, 1.0), (best, -1.0)):
@@ -226,7 +246,8 @@ class Editor:
                 if o == "keep":
                     out.append(c)
                 else:
-                    out.append(o.split()[1])
+                    edit = o.split()
+                    out.append(edit[1] + (edit[3] if edit[2:3] == ["insert"] else ""))
                     if size == 2:
                         pairs += 1
                         skip = True
@@ -283,7 +304,8 @@ def notes(texts: DataFrame) -> DataFrame:
                             last = y
                     body = "".join(parts) + t[last:].lstrip("\n") if parts else t
                 low = body.lower()
-                words = _WORDS.findall(low)
+                # the parts of divided words are no words of the corpus, however often they occur
+                words = _WORDS.findall(_DIVIDED.sub(" ", low) if "-" in low or "\u2010" in low or "\u00ad" in low else low)
                 counts.update(words)
                 for w in set(words):
                     hit = paired.get(w)
@@ -300,7 +322,7 @@ def notes(texts: DataFrame) -> DataFrame:
                     if right in SUSPENDED or left.isdigit() or right.isdigit():
                         continue
                     whole = left.lower() + right.lower()
-                    rows.append(("divided", i, whole, 1 if "\n" in gap or mark != "-" else 0))
+                    rows.append(("divided", i, f"{left.lower()}-{right.lower()}", 1 if "\n" in gap or mark != "-" else 0))
                     if any(c in _ODD for c in whole) or any(p in whole for p in PAIRS):
                         rows.append(("word", i, whole, 0))
                 if len(paired) > WORDS_HELD:
@@ -346,9 +368,26 @@ class Findings:
         )
         key = ["table_name", "row_key", "doc_key"]
         self.confusions = words.select(*key, "token").join(self.corrections, "token")
-        divided = seen.filter("kind = 'divided'").join(own.withColumnRenamed("own", "n_whole"), "token", "left")
-        spoilt = self.corrections.select("token", F.lit(True).alias("spoilt"))
-        self.divided = divided.join(spoilt, "token", "left").filter("n = 1 OR n_whole >= 2 OR spoilt").select(*key, "token")
+        divided = seen.filter("kind = 'divided'")
+        parts = F.split("token", "-")
+        breaks = divided.select("token").distinct().select("token", parts[0].alias("left"), parts[1].alias("right"), F.concat(parts[0], parts[1]).alias("whole"))
+        for c in ("left", "right", "whole"):
+            breaks = breaks.join(self.counts.select(F.col("token").alias(c), (F.col("n") >= 2).alias(f"{c}_known")), c, "left")
+        breaks = breaks.join(self.corrections.select(F.col("token").alias("whole"), F.lit(True).alias("spoilt")), "whole", "left")
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                columns = [b.column(k).to_pylist() for k in range(6)]
+                joined = [editor.value.joins(x, y, (bool(k), bool(m), bool(w))) for _, x, y, k, m, w in zip(*columns)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), b.column(6), pa.array(joined, pa.bool_()), b.column(7)], ["token", "whole_known", "spoilt", "joins", "whole"])
+
+        breaks = breaks.select("token", "left", "right", "left_known", "right_known", "whole_known", "spoilt", "whole").mapInArrow(
+            decide, "token string, whole_known boolean, spoilt boolean, joins boolean, whole string"
+        )
+        real = F.coalesce("whole_known", F.lit(False)) | F.coalesce("spoilt", F.lit(False))
+        # at a sure line end an unknown word may be new; where white space replaced the break it must be known
+        breaks = breaks.select("token", "whole", (F.col("joins") & real).alias("certain"), (F.col("joins") | real).alias("likely"))
+        self.divided = divided.join(breaks, "token").filter("certain OR (n = 1 AND likely)").select(*key, F.col("whole").alias("token"))
         lines = seen.filter("kind = 'line'")
         several = lines.groupBy("doc_key", "token").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).filter("a <> b")
         self.headers = lines.select(*key, "token").join(several.select("doc_key", "token"), ["doc_key", "token"], "left_semi").select(*key, "token")
