@@ -93,10 +93,28 @@ def latest_action(audit: DataFrame) -> DataFrame:
     return top.select("document_id", "x.action", "x.new_status", "x.logged_at", "events")
 
 
-def audit_trail(docs: DataFrame, audit: DataFrame) -> DataFrame:
-    """Each document with its events in order."""
-    events = audit.groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct(audit["id"], "action", "new_status"))).alias("events"))
-    return docs.join(events.withColumnRenamed("document_id", "id"), "id", "left")
+def audit_trail(docs: DataFrame, audit: DataFrame, key: int) -> DataFrame:
+    """One document with its events in order, as the detail view shows it."""
+    events = audit.filter(F.col("document_id") == key).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct(audit["id"], "action", "new_status"))).alias("events"))
+    return by_id(docs, key).join(events, "id", "left")
+
+
+IDS_TOGETHER = 4096
+
+
+def status_sequence(audit: DataFrame) -> DataFrame:
+    """(document_id, id, new_status, earlier): each event with the status before it in the order of ids.
+
+    Ids are cut into ranges. Inside a range a window gives the earlier event, between ranges the last
+    event of the one before; so a document of any number of events is spread over many tasks.
+    """
+    events = audit.select("id", "document_id", "new_status").dropDuplicates(["id"]).withColumn("_part", F.expr(f"id DIV {IDS_TOGETHER}"))
+    inner = Window.partitionBy("document_id", "_part").orderBy("id")
+    within = events.withColumn("_n", F.row_number().over(inner)).withColumn("_lag", F.lag("new_status").over(inner))
+    last = events.groupBy("document_id", "_part").agg(F.max_by("new_status", "id").alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("document_id").orderBy("_part"))).drop("_last")
+    j = within.join(before, ["document_id", "_part"])
+    return j.select("document_id", "id", "new_status", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag")).alias("earlier"))
 
 
 def repeated_identifiers(docs: DataFrame) -> DataFrame:

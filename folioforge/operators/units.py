@@ -144,12 +144,16 @@ def normalise_amounts(records: DataFrame, rates: DataFrame, amount: str = "total
         df.withColumn("__power", _power(F.col("__word")))
         .withColumn("__sub", F.col("__word").isin(list(SUBUNITS)) | before)
         .withColumn("__cur", currency_of(tail))
+        # "Cr" is a crore of rupees, but a credit in other currencies
+        .withColumn("__credit", (F.col("__word") == "cr") & F.col("__cur").isNotNull() & ~F.col("__cur").isin("INR", "PKR"))
+        .withColumn("__power", F.when(~F.coalesce("__credit", F.lit(False)), F.col("__power")))
         # the statement counts only for what the amount itself leaves open
         .withColumn("__ctx", F.when((F.col("__raw") != "") & (F.col("__cur").isNull() | (F.col("__power").isNull() & ~F.col("__sub"))), stated_unit(F.col(context))))
         .withColumn(
             "__neg",
-            tail.rlike(r"-[^\d]*\d|\d\s*-\s*(?:$|[^\d])|\([^()]*\d[^()]*\)|\d\s*CR\s*$")
-            | tail.rlike(r"(?i)(?<![a-z])(?:minus|negative|credit)(?![a-z])"),
+            tail.rlike(r"-[^\d]*\d|\d\s*-\s*(?:$|[^\d])|\([^()]*\d[^()]*\)")
+            | tail.rlike(r"(?i)(?<![a-z])(?:minus|negative|credit)(?![a-z])")
+            | F.coalesce("__credit", F.lit(False)),
         )
     )
     df = df.withColumn("__v", F.when(F.col("__raw") != "", reading(F.col("__raw"))))
@@ -184,7 +188,7 @@ def normalise_amounts(records: DataFrame, rates: DataFrame, amount: str = "total
     hundredfold = F.expr("CAST(pow(10, amount_power + 2) AS DECIMAL(14,0))")
     cents = F.round(F.col("amount_value") * hundredfold * F.col("__micro").cast("decimal(12,0)") / F.lit(1000000).cast("decimal(7,0)"), 0)
     df = df.withColumn("amount_usd_cents", F.when(F.col("amount_unique"), cents.cast("long")))
-    return df.drop("__t", "__raw", "__n", "__power", "__sub", "__cur", "__ctx", "__neg", "__v", "__best", "__micro")
+    return df.drop("__t", "__raw", "__n", "__power", "__sub", "__cur", "__ctx", "__neg", "__credit", "__low", "__word", "__v", "__best", "__micro")
 
 
 def reading_of(text: Column) -> Column:

@@ -264,19 +264,15 @@ def audit_display(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT document_id, new_status, lag(new_status) OVER (PARTITION BY document_id ORDER BY id) AS earlier, id FROM {_AUDIT}""",
 )
 def status_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    audit = table(spark, sf, "audit_log").select("id", "document_id", "new_status").dropDuplicates(["id"])
-    w = Window.partitionBy("document_id").orderBy("id")
-    return audit.select("document_id", "new_status", F.lag("new_status").over(w).alias("earlier"), "id")
+    return repository.status_sequence(table(spark, sf, "audit_log"))
 
 
 @query(
     "audit_trail",
-    f"""SELECT d.id, d.status, coalesce(string_agg(a.action, ' > ' ORDER BY a.id), '') AS trail FROM doc_records d LEFT JOIN {_AUDIT} a ON a.document_id = d.id GROUP BY d.id, d.status""",
+    f"""SELECT d.id, d.status, coalesce(string_agg(a.action, ' > ' ORDER BY a.id), '') AS trail FROM doc_records d LEFT JOIN {_AUDIT} a ON a.document_id = d.id WHERE d.id = 42 GROUP BY d.id, d.status""",
 )
 def audit_trail(spark: SparkSession, sf: str) -> DataFrame:
-    trail = repository.audit_trail(table(spark, sf, "doc_records").select("id", "status"), table(spark, sf, "audit_log"))
+    trail = repository.audit_trail(table(spark, sf, "doc_records").select("id", "status"), table(spark, sf, "audit_log"), 42)
     return trail.select("id", "status", F.coalesce(F.array_join(F.transform("events", lambda e: e["action"]), " > "), F.lit("")).alias("trail"))
 
 

@@ -10,7 +10,7 @@ CASES = [
     ("₹1 Cr", "", 11937000), ("PKR 1 lakh", "", 35930), ("USD ۶۲۰", "", 62000), ("USD １２.５０", "", 1250), ("Rs. 100", "", 36), ("¥ 100", "", 67),
     ("5.00", "All amounts in EUR.", 542), ("5", "(figures in USD '000)", 500000), ("USD 5", "(USD millions) x", 500000000), ("5", "Amounts stated in GBP thousand.", 633566),
     ("5", "Prices quoted in US dollars, tax included.", 500), ("5", "Currency: CHF Bill To", 566), ("USD 5k", "(figures in USD '000)", 500000),
-    ("5", "The rental amounts to EUR 9.", None), ("Net 30", "", None), ("see attached", "Currency: USD", None), ("", "", None), (None, None, None), ("-", "Currency: USD", None),
+    ("5", "The rental amounts to EUR 9.", None), ("USD 10.00 CR", "", -1000), ("Rs 1 CR", "", 3593000), ("minus EUR 1", "", -108), ("Net 30", "", None), ("see attached", "Currency: USD", None), ("", "", None), (None, None, None), ("-", "Currency: USD", None),
 ]
 
 
