@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.textops import excerpt, sentences, word_set
+from folioforge.session import stored
 
 LEAST_SCORE, GROUNDED, TOP = 0.001, 0.15, 4
 NO_ANSWER = "The documents hold no sufficient information on this question."
@@ -59,7 +60,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, qkey: str, qtext: str, cke
     """(qkey, ckey, score, place): of each question the k chunks of highest cosine, ties by chunk."""
     stops = stops if stops is not None else stop_words(chunks)
     q = term_counts(questions, qkey, qtext, stops, longest)
-    counts = term_counts(chunks, ckey, ctext, stops, longest)
+    # the chunk-term table serves counts, weights and lengths; it is written once
+    counts = stored(term_counts(chunks, ckey, ctext, stops, longest), "terms")
     inverse = idf(counts, chunks)
     cw = weights(counts, inverse, ckey)
     qw = weights(q, inverse, qkey).withColumnRenamed("w", "qw")
