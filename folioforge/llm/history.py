@@ -130,10 +130,18 @@ def _probes(name: Column) -> list[Column]:
     return out
 
 
-def _in_slots(df: DataFrame, slots: list[Column]) -> DataFrame:
-    """Each entry once for each of the slots; an entry without a name has the slot ''."""
-    every = F.array_distinct(F.array_compact(F.array(*slots)))
-    return df.withColumn("slot", F.explode(F.when(F.col("kind") == "number", every).otherwise(F.array(F.lit("")))))
+def slotted(df: DataFrame) -> DataFrame:
+    """Entries with slots, in which they stand, and probes, where they look; an entry without a name has the slot ''."""
+
+    def every(slots: list[Column]) -> Column:
+        return F.when(F.col("kind") == "number", F.array_distinct(F.array_compact(F.array(*slots)))).otherwise(F.array(F.lit("")))
+
+    return df.withColumns({"slots": every(_slots(F.col("name"))), "probes": every(_probes(F.col("name")))})
+
+
+def _in_slots(df: DataFrame) -> DataFrame:
+    """Each slotted entry once for each of its slots."""
+    return df.select("kind", "key", "name", "words", "id", F.explode("slots").alias("slot"))
 
 
 def _same(a: str, b: str) -> Column:
@@ -143,8 +151,8 @@ def _same(a: str, b: str) -> Column:
 
 
 def _met(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs b of new and a of old, which stands in slots, that share a key and name the same."""
-    b = _in_slots(new, _probes(F.col("name"))).alias("b")
+    """Pairs b of slotted new entries and a of old ones, which stand in slots, that share a key and name the same."""
+    b = new.select("kind", "key", "name", "words", "id", F.explode("probes").alias("slot")).alias("b")
     keys = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("kind", "key", "slot")]
     return b.join(old.alias("a"), keys[0] & keys[1] & keys[2] & _same("a", "b"))
 
@@ -177,7 +185,7 @@ class History:
 
     def add(self, df: DataFrame) -> None:
         """Accepted entries become a run; old runs are compacted now and then."""
-        self.runs.append(self._run(_in_slots(df, _slots(F.col("name")))))
+        self.runs.append(self._run(_in_slots(df)))
         if len(self.runs) > COMPACT_AFTER:
             self.runs = [self._run(self.accepted())]
 
@@ -187,19 +195,19 @@ class History:
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Accepts a batch; the result has a row (id_a, id_b) for each record b of it that repeats an accepted record a."""
-        new = self._kept(entries(batch), "entries")
+        new = self._kept(slotted(entries(batch)), "entries")
         found = [self._kept(self._links(new, self.accepted()), "links")]
         fresh = new.join(found[0].select(F.col("id_b").alias("id")), "id", "left_anti").select(*new.columns)
         taken = []
         while True:
-            classes = fresh.groupBy("kind", "key", "name", "words").agg(F.min("id").alias("id"))
-            least = _met(classes, _in_slots(classes, _slots(F.col("name")))).groupBy("b.kind", "b.key", "b.name").agg(F.min("a.id").alias("least"))
+            classes = fresh.groupBy("kind", "key", "name", "words").agg(F.min("id").alias("id"), F.first("slots").alias("slots"), F.first("probes").alias("probes"))
+            least = _met(classes, _in_slots(classes)).groupBy("b.kind", "b.key", "b.name").agg(F.min("a.id").alias("least"))
             first = fresh.join(least, ["kind", "key", "name"]).groupBy("id").agg(F.min("least").alias("least"))
             ranked = self._kept(fresh.join(first, "id").select(*new.columns, "least"), "ranked")
             now = ranked.filter("least = id").drop("least")
             taken.append(now)
             later = ranked.filter("least < id").drop("least")
-            links = self._kept(self._links(later, _in_slots(now, _slots(F.col("name")))), "links")
+            links = self._kept(self._links(later, _in_slots(now)), "links")
             found.append(links)
             fresh = self._kept(later.join(links.select(F.col("id_b").alias("id")), "id", "left_anti").select(*new.columns), "open")
             if fresh.isEmpty():
@@ -213,7 +221,7 @@ def repeats(records: DataFrame, batch: str = "batch_no", history: int = 0) -> Da
     """(id_a, id_b) of all batches after the history, taken one by one in their order."""
     spark = records.sparkSession
     store = History(spark)
-    store.add(entries(records.filter(F.col(batch) <= history)))
+    store.add(slotted(entries(records.filter(F.col(batch) <= history))))
     # the batches' numbers, a row for each batch
     numbers = sorted(r[0] for r in records.filter(F.col(batch) > history).select(batch).distinct().collect())
     out = [store.take(records.filter(F.col(batch) == n)) for n in numbers]

@@ -103,7 +103,8 @@ def test_slots_find_every_similar_name(spark):
     rng = random.Random(3)
     names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 13))) for _ in range(150)})
     df = spark.createDataFrame([("number", "k", n, 1, i) for i, n in enumerate(names)], "kind string, key string, name string, words int, id long")
-    met = history._met(df, history._in_slots(df, history._slots(F.col("name")))).select("a.id", "b.id").distinct().collect()
+    df = history.slotted(df)
+    met = history._met(df, history._in_slots(df)).select("a.id", "b.id").distinct().collect()
     assert {tuple(r) for r in met} == {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if edits(a, b) <= 2}
 
 
