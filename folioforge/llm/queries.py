@@ -10,7 +10,7 @@ from folioforge.llm.leakage import leaks
 from folioforge.llm.privacy import labelled, mentions, redacted
 from folioforge.llm.scans import Findings, repaired
 from folioforge.llm.sentences import sentence_units
-from folioforge.llm.splitting import oversized, repaired_pages, split_oversized
+from folioforge.llm.splitting import filled_pages, oversized, split_oversized
 from folioforge.llm.tokens import encode
 from folioforge.plans.registry import Registry
 from folioforge.session import table
@@ -32,9 +32,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query("p5_pieces")
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = repaired_pages(table(spark, sf, "rag_chunks").dropDuplicates(["id"]))
+    chunks = table(spark, sf, "rag_chunks").dropDuplicates(["id"])
+    pages = filled_pages(chunks.select("id", "document_id", "chunk_index", "page_number"))
+    long = oversized(chunks).drop("page_number").join(pages, "id")
     cols = ["id", "document_id", "page_number", "chunk_text"]
-    return split_oversized(chunks.select(*cols)).filter("piece_count > 1")
+    return split_oversized(long.select(*cols)).filter("piece_count > 1")
 
 
 @registry.query("p7_ids")

@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,3 +150,76 @@ def repaired_pages(chunks: DataFrame) -> DataFrame:
         .select(*chunks.columns)
     )
     return chunks.filter("page_number >= 1").unionByName(fixed)
+
+
+#: Chunk indexes in a range of filled_pages; known pages judged together, and those of the neighbours that judge with them.
+INDEXES_TOGETHER, PAGES_TOGETHER, PAGES_BESIDE = 1024, 256, 64
+
+
+def out_of_order(pages: list[int]) -> list[int]:
+    """The fewest places without which pages doesn't decrease; of equal choices the earlier page stays."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pages)
+    for i in range(len(pages) - 1, -1, -1):
+        at = bisect_right(tails, -pages[i])
+        before[i] = ends[at - 1] if at else -1
+        tails[at : at + 1], ends[at : at + 1] = [-pages[i]], [i]
+    kept = set()
+    i = ends[-1] if ends else -1
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return [i for i in range(len(pages)) if i not in kept]
+
+
+def filled_pages(chunks: DataFrame) -> DataFrame:
+    """(id, page_number) of chunks with unique id: pages that are missing, below 1 or break the order of the document's pages come from the nearest right page before, else after.
+
+    Chunk indexes are cut into ranges, and what lies before and after a range is carried from range to
+    range; so a document of any size is spread over many tasks. Pages are judged PAGES_TOGETHER at a
+    time with PAGES_BESIDE on either side. A chunk without document or index keeps its page.
+    """
+    kind = chunks.schema["page_number"].dataType
+    page = F.when(F.col("page_number") >= 1, F.col("page_number").cast("long"))
+    rows = chunks.select("id", "document_id", "chunk_index", page.alias("_page"))
+    placed = F.col("document_id").isNotNull() & F.col("chunk_index").isNotNull()
+    apart = rows.filter(~placed).select("id", F.col("_page").cast(kind).alias("page_number"))
+    rows = rows.filter(placed).withColumn("_part", F.expr(f"chunk_index DIV {INDEXES_TOGETHER}"))
+    parts = Window.partitionBy("document_id").orderBy("_part")
+    inner = Window.partitionBy("document_id", "_part").orderBy("chunk_index", F.col("_page").asc_nulls_last(), "id")
+    back = Window.partitionBy("document_id", "_part").orderBy(F.col("chunk_index").desc(), F.col("_page").desc_nulls_first(), F.col("id").desc())
+
+    # places of the known pages in their document, without gaps
+    known = rows.filter("_page IS NOT NULL")
+    counts = known.groupBy("document_id", "_part").agg(F.count("*").alias("_n"))
+    counts = counts.select("document_id", "_part", (F.sum("_n").over(parts) - F.col("_n")).alias("_first"))
+    at = known.withColumn("_at", F.row_number().over(inner)).join(counts, ["document_id", "_part"]).withColumn("_at", F.col("_at") + F.col("_first") - 1)
+    sides = F.array_distinct(F.array(*(F.floor((F.col("_at") + x) / PAGES_TOGETHER) for x in (-PAGES_BESIDE, 0, PAGES_BESIDE))))
+    groups = at.select("document_id", F.explode(sides).alias("_group"), F.struct("_at", "_page", "id").alias("_x")).filter("_group >= 0")
+    groups = groups.groupBy("document_id", "_group").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    falls = F.exists(F.arrays_zip(F.col("_xs._page").alias("a"), F.slice("_xs._page", F.lit(2), F.size("_xs")).alias("b")), lambda x: x["a"] > x["b"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wrong = []
+            for group, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                wrong += [xs[i]["id"] for i in out_of_order([x["_page"] for x in xs]) if xs[i]["_at"] // PAGES_TOGETHER == group]
+            yield pa.RecordBatch.from_arrays([pa.array(wrong, b.schema.field(1).type.value_type.field("id").type)], ["id"])
+
+    wrong = groups.filter(falls).select("_group", "_xs").mapInArrow(judge, T.StructType([T.StructField("id", rows.schema["id"].dataType)]))
+
+    right = rows.join(wrong.withColumn("_wrong", F.lit(True)), "id", "left").withColumn("_right", F.when(F.col("_wrong").isNull(), F.col("_page")))
+    order = F.struct("chunk_index", "_page", "id")
+    ends = right.groupBy("document_id", "_part").agg(
+        F.min_by("_right", F.when(F.col("_right").isNotNull(), order)).alias("_head"), F.max_by("_right", F.when(F.col("_right").isNotNull(), order)).alias("_tail")
+    )
+    carried = ends.select(
+        "document_id",
+        "_part",
+        F.last("_tail", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_head", ignorenulls=True).over(Window.partitionBy("document_id").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    near = right.withColumn("_up", F.last("_right", ignorenulls=True).over(inner)).withColumn("_down", F.last("_right", ignorenulls=True).over(back))
+    filled = near.join(carried, ["document_id", "_part"]).select("id", F.coalesce("_right", "_up", "_before", "_down", "_after").cast(kind).alias("page_number"))
+    return filled.unionByName(apart)
