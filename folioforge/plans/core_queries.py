@@ -77,14 +77,9 @@ def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("trained_models")
 def trained_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out confusion of each trained classifier; the labelled corpus is the training set."""
+    """Held-out confusion of each trained classifier over all folds of the labelled corpus."""
     corpus = table(spark, sf, "documents_corpus").filter(F.col("category").isin("Invoice", "Resume", "Other") & F.col("text").isNotNull()).select("id", "category", "text")
-    dealt = stored(classification.folds(corpus, "category", "id"), "folds")
-    out = None
-    for name, (model, prepared) in learning.train_all(dealt.filter("fold > 0"), "text", "category").items():
-        scored = learning.evaluate(model, prepared.transform(dealt.filter("fold = 0"))).withColumn("model", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    return learning.cross_validated(stored(classification.folds(corpus, "category", "id"), "folds"), "text", "category")
 
 
 # ---- metrics -----------------------------------------------------------------------------------

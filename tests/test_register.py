@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +170,49 @@ def test_forest_and_classifier(spark, tmp_path, sf):
     assert abs(sum(r.probabilities) - 1) < 0.01
 
 
+def test_calibrated_machines_are_saved_and_give_probabilities(spark, tmp_path):
+    words = {"Invoice": "invoice total due", "Resume": "skills education", "Other": "memo agenda"}
+    corpus = spark.createDataFrame([(k, f"{v} {i}") for k, v in words.items() for i in range(9)], "category string, text string").withColumn("id", F.monotonically_increasing_id())
+    model = learning.train(corpus, "text", "category", "linear_svm")
+    src.write_model(model, str(tmp_path / "m"))
+    a, b = (learning.probabilities(m, corpus, "id").orderBy("id").collect() for m in (model, src.read_model(str(tmp_path / "m"))))
+    assert a == b and all(abs(sum(r.probabilities) - 1) < 0.001 and 0.5 < r.confidence < 1 for r in a)
+    right = {r.id: ["Invoice", "Other", "Resume"].index(r.category) for r in corpus.collect()}
+    assert {r.id: r.predicted for r in a} == right
+
+
+def test_sigmoids_are_the_least_loss(spark):
+    rows = [(0, m, m > 0.3) for m in (-2.0, -1.0, -0.5, 0.2, 0.4, 1.0, 2.0)] + [(1, m, p) for m, p in ((-1.0, False), (1.0, False), (0.5, True), (2.0, True))]
+    got = learning.sigmoids(spark.createDataFrame([(g, 0, m, p) for g, m, p in rows], "part int, class int, margin double, positive boolean"))
+
+    def loss(g, a, b):
+        xs = [(m, p) for h, m, p in rows if h == g]
+        n = sum(p for _, p in xs)
+        hi, lo = (n + 1) / (n + 2), 1 / (len(xs) - n + 2)
+        return sum(math.log1p(math.exp(-(a * m + b))) + (1 - (hi if p else lo)) * (a * m + b) for m, p in xs)
+
+    for (g, _), (a, b) in got.items():
+        assert all(loss(g, a, b) <= loss(g, a + x, b + y) for x in (-0.01, 0, 0.01) for y in (-0.01, 0, 0.01))
+
+
+def test_every_labelled_row_is_held_out_once(spark):
+    words = {"Invoice": "invoice total due", "Resume": "skills education", "Other": "memo agenda"}
+    corpus = spark.createDataFrame([(f"{k}{i}", k, f"{v} {i}") for k, v in words.items() for i in range(12)], "id string, category string, text string")
+    got = learning.cross_validated(classification.folds(corpus, "category", "id", 2), "text", "category").collect()
+    for name in learning.models():
+        assert sum(r.n for r in got if r.model == name) == 36
+        assert {(r.label, r.predicted, r.n) for r in got if r.model == name} == {(i, i, 12) for i in range(3)}
+
+
+def test_rules_of_the_first_stage(spark):
+    cases = [("", "Other", 0.4), (None, "Other", 0.4), ("GPA", "Other", 0.4), ("INV-7", "Invoice", 0.85), ("qty qty cv", "Invoice", 0.73), ("tax cv", "Other", 0.5), ("Skills", "Resume", 0.87)]
+    df = spark.createDataFrame([(i, t, "Resume" if i else None) for i, (t, _, _) in enumerate(cases)], "id int, text string, m string")
+    got = {r.id: (r.predicted_type, r.confidence_predicted) for r in classification.classify_rules(df, "text").collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    got = [r.predicted_type for r in classification.classify_rules(df, "text", F.col("m")).orderBy("id").collect()]
+    assert got == ["Other", "Resume", "Resume", "Invoice", "Invoice", "Resume", "Resume"]
+
+
 def test_ngrams(spark):
     got = one(spark, "The red pump, the blue pump", lambda t: retrieval.ngrams(t, ["the"], 3))
     assert got == ["red", "pump", "blue", "pump", "red pump", "pump blue", "blue pump", "red pump blue", "pump blue pump"]
