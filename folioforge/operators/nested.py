@@ -233,12 +233,13 @@ def _scalars(value: object, steps: tuple[str, ...], plan: TablePlan, into: dict[
             into[".".join((*steps, k))] = x if isinstance(x, str) else json.dumps(x)
 
 
-def shred(df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id", with_values: bool = True) -> DataFrame:
+def shred(df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id", with_values: bool = True, with_root: bool = False) -> DataFrame:
     """All tables of some JSON columns as one stream of element rows, in one pass over the records.
 
     plans: source name -> (JSON column, its plan). Columns of the result: the key, source_column,
     child_path (the table), parent_key, child_key, key_path (all keys from the root; with it and the
     record's key every row has a unique name and a foreign key), values (inlined columns).
+    with_root: a row of the table '' too for each non-empty object of a column, with what the root inlines.
     """
     names = list(plans)
     trees = [plans[n][1] for n in names]
@@ -276,6 +277,8 @@ def shred(df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id
                     if not ok:
                         emit("unparseable", "", "", (), None, tree)
                     elif isinstance(value, dict):
+                        if with_root and value:
+                            emit("", "", "", (), value, tree)
                         rows_of(value, tree, "", "", (), emit)
             arrays = [pa.array(ids, b.schema.field(0).type), *(_strings(x) for x in (src, path, parent, child))]
             if with_values:
@@ -303,6 +306,31 @@ def _again(c: TablePlan, trees: list[TablePlan]) -> TablePlan:
     return TablePlan(c.node, c.steps, c.how, hit.inlined, hit.children, None) if hit else c
 
 
+def observed_columns(elements: DataFrame) -> DataFrame:
+    """(source_column, child_path, column, n) of the values that occur in each table: its columns, as the data have them."""
+    return elements.select("source_column", "child_path", F.explode(F.map_keys("values")).alias("column")).groupBy("source_column", "child_path", "column").agg(F.count("*").alias("n"))
+
+
+def observed_table(elements: DataFrame, source: str, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """One table with every column that occurs in it; kinds: SQL types of columns, string where not named.
+
+    One pass finds the columns, whose number is that of the schema's names. A column whose name is that of
+    another once its points are underlines, or that of a key, keeps its points; a named kind is there even if it doesn't occur.
+    """
+    rows = elements.filter((F.col("source_column") == source) & (F.col("child_path") == path))
+    kinds = kinds or {}
+    names = [*kinds, *sorted({r["column"] for r in observed_columns(rows).select("column").collect()} - set(kinds))]
+    keep = [c for c in elements.columns if c not in ("source_column", "child_path", "values")]
+    plain = [n.replace(".", "_").lower() for n in names]
+
+    def typed(name: str) -> Column:
+        clash = plain.count(name.replace(".", "_").lower()) > 1 or name.replace(".", "_").lower() in keep
+        value = F.element_at("values", F.lit(name)).try_cast(kinds.get(name, "string"))
+        return value.alias(f"values.{name}" if clash else name.replace(".", "_"))
+
+    return rows.select(*keep, *map(typed, names))
+
+
 def flat_table(elements: DataFrame, source: str, path: str, columns: dict[str, str]) -> DataFrame:
     """One relational table out of the element stream; columns: inlined column -> SQL type."""
 
@@ -358,6 +386,6 @@ def record_plans() -> dict[str, tuple[str, TablePlan]]:
     return {name: (column, analyse(edges, root)) for name, (column, edges, root) in RECORD_GRAPH.items()}
 
 
-def record_elements(doc_records: DataFrame, with_values: bool = True) -> DataFrame:
+def record_elements(doc_records: DataFrame, with_values: bool = True, with_root: bool = False) -> DataFrame:
     """Every nested element of the document register, with its parent and record."""
-    return shred(doc_records, record_plans(), "id", with_values)
+    return shred(doc_records, record_plans(), "id", with_values, with_root)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators.nested import flat_table, observed_edges, record_elements
+from folioforge.operators.nested import observed_edges, observed_table, record_elements
 from folioforge.operators.units import normalise_amounts
 from folioforge.plans.registry import Registry
 from folioforge.session import table
@@ -18,16 +18,40 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return record_elements(table(spark, sf, "doc_records"), with_values=False)
 
 
-@registry.query("p1_line_items")
-def p1_line_items(spark: SparkSession, sf: str) -> DataFrame:
-    elements = record_elements(table(spark, sf, "doc_records"))
-    return flat_table(elements, "extracted", "line_items", {"line_no": "int", "description": "string", "quantity": "bigint"})
-
-
-@registry.query("p1_anomalies")
-def p1_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    elements = record_elements(table(spark, sf, "doc_records"))
-    return flat_table(elements, "anomaly", "anomalies", {"code": "string", "severity": "string", "message": "string", "amount": "double"})
+# The other tables of the records: query -> (source, table, SQL types of columns that aren't strings).
+TABLES = {
+    "p1_line_items": ("extracted", "line_items", {"line_no": "int", "description": "string", "quantity": "bigint"}),
+    "p1_anomalies": (
+        "anomaly", "anomalies",
+        {"code": "string", "severity": "string", "message": "string", "amount": "double", "confidence": "double", "subtotal": "double", "tax": "double", "discrepancy": "double", "text_length": "bigint"},
+    ),
+    "p1_extractions": ("extracted", "", {}),
+    "p1_fields": ("extracted", "fields", {}),
+    "p1_candidates": ("extracted", "fields.candidates", {}),
+    "p1_skills": ("extracted", "fields.skills_list", {}),
+    "p1_missing_fields": ("extracted", "missing_fields", {}),
+    "p1_taxes": ("extracted", "line_items.taxes", {}),
+    "p1_validations": ("validation", "", {}),
+    "p1_passed_fields": ("validation", "passed_fields", {}),
+    "p1_failed_fields": ("validation", "failed_fields", {}),
+    "p1_field_errors": ("validation", "field_errors", {}),
+    "p1_field_results": ("validation", "field_results", {}),
+    "p1_checks": ("validation", "field_results.checks", {}),
+    "p1_reports": ("anomaly", "", {}),
+    "p1_matched_ids": ("anomaly", "anomalies.matched_ids", {}),
+    "p1_evidence": ("anomaly", "anomalies.details.evidence", {}),
+}
+
+
+def _register(name: str, source: str, path: str, kinds: dict[str, str]) -> None:
+    @registry.query(name)
+    def flat(spark: SparkSession, sf: str) -> DataFrame:
+        """A flat table of the records, with every column that occurs."""
+        return observed_table(record_elements(table(spark, sf, "doc_records"), with_root=path == ""), source, path, kinds)
+
+
+for _name, _table in TABLES.items():
+    _register(_name, *_table)
 
 
 @registry.query("p1_schema_edges")

@@ -80,3 +80,30 @@ def test_schema_graph_is_found_in_the_data(spark, sf):
     docs = spark.read.parquet(f"{sf}/doc_records.parquet")
     edges = {tuple(r) for r in n.observed_edges(docs, "extracted_json", "x", ["x.fields", "x.flat_values"]).collect()}
     assert ("x", "fields", "keyed") in edges and ("x.fields.*", "value", "one") in edges
+
+
+def test_tables_have_every_column_that_occurs_and_roots_have_rows(spark):
+    e = json.dumps({"document_type": "Invoice", "extractor": {"name": "x", "version": 2}, "fields": {"total": {"value": "5", "id": "7"}}})
+    a = json.dumps({"anomalies": [{"code": "A", "details": {"text_length": 9}}, {"code": "B", "confidence": 0.5}]})
+    df = spark.createDataFrame([(1, e, "{}", a, "", ""), (2, "{", None, None, "", "")], SCHEMA)
+    elements = n.record_elements(df, with_root=True)
+    root = n.observed_table(elements, "extracted", "").collect()
+    assert [(r.id, r.document_type, r.extractor_name, r.extractor_version) for r in root] == [(1, "Invoice", "x", "2")]
+    assert n.observed_table(elements, "validation", "").count() == 0
+    rows = n.observed_table(elements, "anomaly", "anomalies", {"confidence": "double"}).collect()
+    assert sorted((r.code, r.confidence, r.details_text_length) for r in rows) == [("A", None, "9"), ("B", 0.5, None)]
+    field = n.observed_table(elements, "extracted", "fields").first()
+    assert (field.child_key, field.value, field["id"], field["values.id"]) == ("total", "5", 1, "7")
+    assert n.record_elements(df).filter("child_path = ''").count() == 0
+
+
+def test_every_table_of_the_plan_is_registered():
+    from folioforge.plans.data_queries import TABLES
+
+    def paths(plan, path=""):
+        yield path
+        for c in plan.children:
+            yield from paths(c, f"{path}.{'.'.join(c.steps)}".strip("."))
+
+    want = {(source, p) for source, (_, plan) in n.record_plans().items() for p in paths(plan)}
+    assert {(s, p) for s, p, _ in TABLES.values()} == want
