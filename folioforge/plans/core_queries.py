@@ -591,6 +591,13 @@ def tfidf_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("item_id", "id", F.round("score", 3).alias("score"))
 
 
+@query("tfidf_retrieve_phrases")
+def tfidf_retrieve_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole operator: terms of one to three words, Spark's English stop words."""
+    hits = retrieval.retrieve(table(spark, sf, "eval_items"), _chunks(spark, sf), "item_id", "text", "id", "chunk_text", longest=3)
+    return hits.select("item_id", "id", F.round("score", 3).alias("score"))
+
+
 @query("grounded_answers")
 def grounded_answers(spark: SparkSession, sf: str) -> DataFrame:
     hits, questions, chunks = _hits(spark, sf, longest=3)

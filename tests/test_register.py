@@ -213,6 +213,37 @@ def test_rules_of_the_first_stage(spark):
     assert got == ["Other", "Resume", "Resume", "Invoice", "Invoice", "Resume", "Resume"]
 
 
+def test_retrieval_by_phrases_equals_brute_force(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    from folioforge.plans.core_queries import tfidf_retrieve_phrases
+
+    chunks = ["the red pump failed", "the pump, red and old", "red pump red pump invoice", "a blue valve", "old blue valve and red pump failed", ""]
+    items = ["red pump failed", "which old blue valve?", "nothing"]
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(chunks)], "id long, chunk_text string, document_id long").write.parquet(str(tmp_path / "rag_chunks.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    stops = set(retrieval.stop_words(spark.range(1)))
+
+    def terms(t):
+        w = [x for x in re.findall("[a-z0-9_]{2,}", t.lower()) if x not in stops]
+        return Counter(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+    df = Counter(x for c in chunks for x in terms(c))
+
+    def weights(t):
+        v = {x: (1 + math.log(n)) * (math.log((1 + len(chunks)) / (1 + df[x])) + 1) for x, n in terms(t).items() if x in df}
+        return {x: y / math.sqrt(sum(z * z for z in v.values())) for x, y in v.items()}
+
+    want = {}
+    for q, t in enumerate(items):
+        a = weights(t)
+        scores = sorted(((-round(sum(y * weights(c).get(x, 0) for x, y in a.items()), 4), i) for i, c in enumerate(chunks)))
+        want |= {(q, i): -s for s, i in scores[:4] if s < -0.001}
+    got = {(r.item_id, r.id): r.score for r in tfidf_retrieve_phrases(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.001 for k in want)
+
+
 def test_ngrams(spark):
     got = one(spark, "The red pump, the blue pump", lambda t: retrieval.ngrams(t, ["the"], 3))
     assert got == ["red", "pump", "blue", "pump", "red pump", "pump blue", "blue pump", "red pump blue", "pump blue pump"]
