@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
 import tempfile
 import uuid
+from contextlib import suppress
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,14 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+SCRATCH: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; what stands there is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.add(path)
+    return path
+
+
+@atexit.register
+def drop_scratch() -> None:
+    """Deletes the scratch tables of this process; results that read them must have been used."""
+    while SCRATCH:
+        with suppress(OSError):
+            system, at = file_system(SCRATCH.pop())
+            if system.get_file_info(at).type == fs.FileType.Directory:
+                system.delete_dir(at)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
