@@ -1,12 +1,19 @@
 """Duplicates of new batches against everything accepted before.
 
-Multi-key sorted-neighbourhood runs. Every accepted record leaves one entry for
-each of its keys (digest; invoice number with company) in a run: a table sorted
-by key and split into key ranges, in the shared folder. A new batch is turned
-into sorted entries and merged with the runs on the key; only records in the
-window of one key are compared, never the history itself. Accepted records of
-the batch become a further run; every COMPACT_AFTER runs they are merged into
-one. Copies of one record cost one entry, as only accepted records leave any.
+Multi-key sorted-neighbourhood runs. Every accepted record leaves an entry for
+each of its keys (digest; invoice number with company) in a run: files sorted by
+place, each a range of places, in a folder that outlives the session. A manifest
+names the runs, their files and the least and greatest place of each; a history
+is reopened from it. A new batch is sorted by place, and each of its ranges is
+merged with the runs: of the files only those whose range meets the batch's are
+opened, of these only the row groups in which a new entry falls, and only
+entries of one place (the window) are compared. The runs are never shuffled, nor
+read where the batch has no key. Links are written batch by batch and read back
+as one table.
+
+The batch's accepted records become a further run. Runs are kept in tiers by
+size: RUNS_PER_TIER runs of a tier are merged into one of the next, so an entry
+is rewritten once a tier, and the files of merged runs are deleted.
 
 The company's name, which may differ by two letters, is the second half of the
 number's key. Cut into three parts, a name and another within two edits of it
@@ -17,24 +24,36 @@ and a number that thousands of companies use gives no pairs of all of them.
 
 Records count in ascending id: one that repeats an accepted record is not
 accepted itself. Inside a batch this is settled in rounds over classes of equal
-keys, by minimum ids only, so a key that holds a third of the batch is
-pre-aggregated and never gathered in one task.
+keys, by minimum ids only, and only for records that share a key with another
+of the batch. New entries of one place are parted by id, so a key that holds a
+third of the batch is merged in many tasks.
 
 Defined results: null, blank and placeholder keys match nothing; records of the
-same id in several rows are one record; empty batches give no rows.
+same id in several rows are one record; empty batches give no rows; records
+without a batch number come after all numbered batches. Records of the history
+are accepted as they are, so a new record gives a row for each that it repeats.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import unicodedata
-from functools import reduce
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.session import scratch
+from folioforge.session import file_system, scratch
 
-COMPACT_AFTER = 4
+RUNS_PER_TIER = 4
+GROUP_BYTES = 4 << 20  # size of a row group of a run, the least that is read
+PAIRS_AT_ONCE = 1_000_000  # pairs of a window held in a task at a time
 LETTERS = 2  # wrong letters in a company's name
 
 # What stands for a missing value.
@@ -94,7 +113,8 @@ def entries(records: DataFrame) -> DataFrame:
     """(kind, key, name, words, id): an entry for each key of each record."""
     is_invoice = F.col("document_type") == "Invoice"
     words = F.when(is_invoice, company_words(F.col("company")))
-    base = records.select("id", digest_key(F.col("file_hash")).alias("h"), F.when(is_invoice, number_key(F.col("invoice_number"))).alias("n"), words.alias("w"))
+    keep = [c for c in ("_batch",) if c in records.columns]
+    base = records.select("id", *keep, digest_key(F.col("file_hash")).alias("h"), F.when(is_invoice, number_key(F.col("invoice_number"))).alias("n"), words.alias("w"))
     base = base.withColumn("s", skeleton(F.col("w")))
     either = F.array_compact(
         F.array(
@@ -105,7 +125,7 @@ def entries(records: DataFrame) -> DataFrame:
             ),
         )
     )
-    return base.select("id", F.inline(either)).select("kind", "key", "name", "words", "id").dropDuplicates(["kind", "key", "name", "id"])
+    return base.select("id", *keep, F.inline(either)).select("kind", "key", "name", "words", "id", *keep)
 
 
 def _slots(name: Column) -> list[Column]:
@@ -157,74 +177,225 @@ def _met(new: DataFrame, old: DataFrame) -> DataFrame:
     return b.join(old.alias("a"), keys[0] & keys[1] & keys[2] & _same("a", "b"))
 
 
-class History:
-    """The runs of one accepted history."""
+def _placed(df: DataFrame, slots: str) -> DataFrame:
+    """Slotted entries once for each of the slots or probes, as (place, name, words, id); places of a number are neighbours."""
+    e = df.select("kind", "key", "name", "words", "id", F.explode(slots).alias("slot"))
+    return e.select(F.concat_ws("\t", F.substring("kind", 1, 1), "key", "slot").alias("place"), "name", "words", "id")
+
+
+def _sorted(placed: DataFrame) -> DataFrame:
+    """In ranges of places, sorted; repeated entries once. The id parts a place that many entries share."""
+    return placed.repartitionByRange("place", "id").dropDuplicates().sortWithinPartitions("place", "id")
+
+
+class Windows:
+    """The stretches of some runs' files in which given places stand."""
+
+    def __init__(self, files: list[tuple[str, str, str]]) -> None:
+        """files: (path, least place, greatest place)."""
+        self.files = files
+        self.opened: dict[str, tuple[pq.ParquetFile, list[tuple[str, str]]]] = {}
+        self.held: dict[str, tuple[int, pa.Table]] = {}
+        self.groups_read = 0
+
+    def _open(self, path: str) -> tuple[pq.ParquetFile, list[tuple[str, str]]]:
+        if path not in self.opened:
+            fs, at = file_system(path)
+            f = pq.ParquetFile(fs.open_input_file(at))
+            self.opened[path] = f, [_bounds(f.metadata.row_group(g)) for g in range(f.metadata.num_row_groups)]
+        return self.opened[path]
+
+    def of(self, places: list[str]) -> Iterator[pa.Table]:
+        """Row groups of the runs, each where one of the sorted places may stand."""
+
+        def met(least: str, most: str) -> bool:
+            at = bisect_left(places, least)
+            return at < len(places) and places[at] <= most
+
+        for path, least, most in self.files:
+            if not met(least, most):
+                if path in self.opened and most < places[0]:
+                    self.held.pop(path, None)
+                continue
+            f, bounds = self._open(path)
+            for g, (x, y) in enumerate(bounds):
+                if met(x, y):
+                    if self.held.get(path, (-1, None))[0] != g:
+                        self.groups_read += 1
+                        self.held[path] = g, f.read_row_group(g, columns=["place", "name", "words", "id"], use_threads=False)
+                    yield self.held[path][1]
+
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.runs, self.count = spark, scratch(spark, "history"), [], 0
-        self.schema = "kind string, key string, name string, words int, id bigint, slot string"
+def _bounds(group) -> tuple[str, str]:
+    """The least and greatest place of a row group."""
+    s = group.column(0).statistics
+    return (s.min, s.max) if s is not None and s.has_min_max else ("", chr(0x10FFFF))
+
+
+def _meetings(new: pa.Table, old: pa.Table) -> Iterator[pa.Table]:
+    """The pairs of rows of one place."""
+    old = old.filter(pc.is_in(old["place"], value_set=new["place"].unique()))
+    if not old.num_rows:
+        return
+    most = max(pc.value_counts(old["place"]).field("counts").to_pylist())
+    new = new.filter(pc.is_in(new["place"], value_set=old["place"].unique()))
+    old = old.rename_columns(["place", "name_a", "words_a", "id_a"])
+    step = max(1, PAIRS_AT_ONCE // most)
+    for at in range(0, new.num_rows, step):
+        yield new.slice(at, step).join(old, "place", join_type="inner", use_threads=False)
+
+
+class History:
+    """An accepted history in a folder: opened where it is there, else begun."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        self.spark, self.root = spark, (root or scratch(spark, "history")).rstrip("/")
+        self.runs: list[dict] = []
+        self.count = self.version = 0
+        fs, at = file_system(f"{self.root}/manifest")
+        fs.create_dir(at, recursive=True)
+        known = sorted(f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".json"))
+        if known:
+            with fs.open_input_file(known[-1]) as f:
+                said = json.loads(f.read().decode())
+            self.runs, self.count, self.version = said["runs"], said["count"], said["version"]
+
+    def _commit(self) -> None:
+        """The state as a new version; the one before stays until it is written."""
+        self.version += 1
+        fs, at = file_system(f"{self.root}/manifest")
+        text = json.dumps({"version": self.version, "count": self.count, "runs": self.runs})
+        with fs.open_output_stream(f"{at}/new") as f:
+            f.write(text.encode())
+        fs.move(f"{at}/new", f"{at}/{self.version:09d}.json")
+        if self.version > 1:
+            old = f"{at}/{self.version - 1:09d}.json"
+            if fs.get_file_info(old).is_file:
+                fs.delete_file(old)
 
     def _path(self, what: str) -> str:
         self.count += 1
-        return f"{self.root}/{self.count:05d}-{what}"
+        return f"{self.root}/{what}/{self.count:06d}"
 
     def _kept(self, df: DataFrame, what: str) -> DataFrame:
         path = self._path(what)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _run(self, df: DataFrame) -> str:
-        path = self._path("run")
-        df.repartitionByRange("key", "slot").sortWithinPartitions("key", "slot", "id").write.parquet(path)
-        return path
-
-    def accepted(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*self.runs)
-
-    def add(self, df: DataFrame) -> None:
-        """Accepted entries become a run; old runs are compacted now and then."""
-        self.runs.append(self._run(_in_slots(df)))
-        if len(self.runs) > COMPACT_AFTER:
-            self.runs = [self._run(self.accepted())]
-
-    def _links(self, new: DataFrame, old: DataFrame) -> DataFrame:
-        """(id_a, id_b): new records b and the entries a of old that they repeat."""
-        return _met(new, old).filter(F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    def _run(self, df: DataFrame) -> dict:
+        """A run out of sorted entries, with the range of each of its files."""
+        path = self._path("runs")
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+        fs, at = file_system(path)
+        files, rows = [], 0
+        for f in fs.get_file_info(FileSelector(at)):
+            if f.base_name.endswith(".parquet"):
+                with fs.open_input_file(f.path) as x:
+                    meta = pq.read_metadata(x)
+                bounds = [_bounds(meta.row_group(g)) for g in range(meta.num_row_groups)]
+                rows += meta.num_rows
+                if meta.num_rows:
+                    files.append([f"{path}/{f.base_name}", min(b[0] for b in bounds), max(b[1] for b in bounds)])
+        return {"path": path, "rows": rows, "tier": int(math.log(max(rows, 1), RUNS_PER_TIER)), "files": sorted(files, key=lambda x: x[1])}
+
+    def files(self) -> list[tuple[str, str, str]]:
+        """(path, least place, greatest place) of every file of the runs."""
+        return [tuple(f) for r in self.runs for f in r["files"]]
+
+    def add(self, new: DataFrame) -> None:
+        """Accepted entries become a run; full tiers are merged."""
+        self.runs.append(self._run(_sorted(_placed(slotted(new), "slots"))))
+        self._commit()
+        while True:
+            tiers: dict[int, list[dict]] = {}
+            for r in self.runs:
+                tiers.setdefault(r["tier"], []).append(r)
+            full = next((rs for _, rs in sorted(tiers.items()) if len(rs) >= RUNS_PER_TIER), None)
+            if full is None:
+                return
+            old = self.spark.read.schema("place string, name string, words int, id bigint").parquet(*(r["path"] for r in full))
+            merged = self._run(_sorted(old))
+            merged["tier"] = max(merged["tier"], full[0]["tier"] + 1)
+            self.runs = [r for r in self.runs if r not in full] + [merged]
+            self._commit()
+            for r in full:
+                fs, at = file_system(r["path"])
+                fs.delete_dir(at)
+
+    def repeated(self, new: DataFrame) -> DataFrame:
+        """(id_a, id_b): new entries b and accepted ones a that they repeat, by a merge of the sorted batch with the runs."""
+        sent = self.spark.sparkContext.broadcast(self.files())
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(sent.value)
+            for b in batches:
+                table = pa.Table.from_batches([b])
+                places = table["place"].to_pylist()
+                if not places:
+                    continue
+                for old in windows.of(places):
+                    for t in _meetings(table, old):
+                        yield from t.select(["name", "words", "id", "name_a", "words_a", "id_a"]).combine_chunks().to_batches(max_chunksize=20_000)
+
+        met = _sorted(_placed(slotted(new), "probes")).mapInArrow(merge, "name string, words int, id bigint, name_a string, words_a int, id_a bigint")
+        same = (F.col("name") == F.col("name_a")) | ((F.col("words") == F.col("words_a")) & (F.levenshtein("name", "name_a", LETTERS) >= 0))
+        return met.filter(same & (F.col("id_a") < F.col("id"))).select("id_a", F.col("id").alias("id_b")).distinct()
 
     def take(self, batch: DataFrame) -> DataFrame:
-        """Accepts a batch; the result has a row (id_a, id_b) for each record b of it that repeats an accepted record a."""
-        new = self._kept(slotted(entries(batch)), "entries")
-        found = [self._kept(self._links(new, self.accepted()), "links")]
-        fresh = new.join(found[0].select(F.col("id_b").alias("id")), "id", "left_anti").select(*new.columns)
-        taken = []
-        while True:
+        """Accepts a batch of records; the result has a row (id_a, id_b) for each record b of it that repeats an accepted record a."""
+        return self.take_entries(self._kept(entries(batch), "entries"))
+
+    def take_entries(self, new: DataFrame) -> DataFrame:
+        links = self._path("links")
+        schema = "id_a bigint, id_b bigint"
+
+        def linked() -> DataFrame:
+            return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(links)
+
+        self.repeated(new).write.parquet(f"{links}/history")
+        # only records that share a key with another of the batch can repeat each other
+        shared = new.groupBy("kind", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("kind", "key")
+        among = self._kept(slotted(new.join(shared, ["kind", "key"], "left_semi").select(*new.columns).distinct()), "shared")
+        gone = linked().select(F.col("id_b").alias("id"))
+        fresh = self._kept(among.join(gone, "id", "left_anti").select(*among.columns), "open")
+        contested = not fresh.isEmpty()
+        while not fresh.isEmpty():
             classes = fresh.groupBy("kind", "key", "name", "words").agg(F.min("id").alias("id"), F.first("slots").alias("slots"), F.first("probes").alias("probes"))
             least = _met(classes, _in_slots(classes)).groupBy("b.kind", "b.key", "b.name").agg(F.min("a.id").alias("least"))
             first = fresh.join(least, ["kind", "key", "name"]).groupBy("id").agg(F.min("least").alias("least"))
-            ranked = self._kept(fresh.join(first, "id").select(*new.columns, "least"), "ranked")
-            now = ranked.filter("least = id").drop("least")
-            taken.append(now)
+            ranked = self._kept(fresh.join(first, "id").select(*fresh.columns, "least"), "ranked")
             later = ranked.filter("least < id").drop("least")
-            links = self._kept(self._links(later, _in_slots(now)), "links")
-            found.append(links)
-            fresh = self._kept(later.join(links.select(F.col("id_b").alias("id")), "id", "left_anti").select(*new.columns), "open")
-            if fresh.isEmpty():
-                break
-        run = reduce(DataFrame.unionByName, taken)
-        self.add(run)
-        return reduce(DataFrame.unionByName, found)
-
-
-def repeats(records: DataFrame, batch: str = "batch_no", history: int = 0) -> DataFrame:
-    """(id_a, id_b) of all batches after the history, taken one by one in their order."""
+            dropped = self._kept(_met(later, _in_slots(ranked.filter("least = id").drop("least"))).filter(F.col("a.id") < F.col("b.id")).select(F.col("b.id").alias("id")).distinct(), "dropped")
+            gone = gone.unionByName(dropped)
+            fresh = self._kept(later.join(dropped, "id", "left_anti").select(*fresh.columns), "open")
+        if contested:
+            # what was accepted now meets every record of the batch that was not
+            gone = self._kept(gone.distinct(), "gone")
+            taken, late = among.join(gone, "id", "left_anti").select(*among.columns), among.join(gone, "id", "left_semi").select(*among.columns)
+            met = _met(late, _in_slots(taken)).filter(F.col("a.id") < F.col("b.id"))
+            met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct().write.parquet(f"{links}/batch")
+        self.add(new.join(gone, "id", "left_anti").select("kind", "key", "name", "words", "id"))
+        return linked()
+
+    def links(self) -> DataFrame:
+        """(id_a, id_b) of all batches taken so far."""
+        fs, at = file_system(f"{self.root}/links")
+        if not fs.get_file_info(at).type.value:
+            return self.spark.createDataFrame([], "id_a bigint, id_b bigint")
+        return self.spark.read.schema("id_a bigint, id_b bigint").option("recursiveFileLookup", True).parquet(f"{self.root}/links")
+
+
+def repeats(records: DataFrame, batch: str = "batch_no", history: int = 0, root: str | None = None) -> DataFrame:
+    """(id_a, id_b) of all batches after the history, taken one by one in their order; root: the history's folder, one that exists is carried on."""
     spark = records.sparkSession
-    store = History(spark)
-    store.add(slotted(entries(records.filter(F.col(batch) <= history))))
-    # the batches' numbers, a row for each batch
-    numbers = sorted(r[0] for r in records.filter(F.col(batch) > history).select(batch).distinct().collect())
-    out = [store.take(records.filter(F.col(batch) == n)) for n in numbers]
-    if not out:
-        return spark.createDataFrame([], "id_a bigint, id_b bigint")
-    return reduce(DataFrame.unionByName, out)
+    store = History(spark, root)
+    # one pass over the records; each batch then reads its own entries only
+    path = store._path("entries")
+    number = F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 63) - 1))
+    cols = ["id", "document_type", "company", "invoice_number", "file_hash"]
+    entries(records.select(*cols, F.greatest(number, F.lit(history)).alias("_batch"))).write.partitionBy("_batch").parquet(path)
+    kept = spark.read.schema("kind string, key string, name string, words int, id bigint, _batch bigint").parquet(path)
+    for n in sorted(r[0] for r in kept.select("_batch").distinct().collect()):  # a row for each batch
+        now = kept.filter(F.col("_batch") == n).drop("_batch")
+        store.add(now) if n <= history else store.take_entries(now)
+    return store.links()

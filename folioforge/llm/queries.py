@@ -21,7 +21,7 @@ registry = Registry()
 @registry.query("p2_found")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["id", "document_type", "company", "invoice_number", "file_hash", "batch_no"]
-    return repeats(table(spark, sf, "doc_records").select(*cols)).distinct()
+    return repeats(table(spark, sf, "doc_records").select(*cols))
 
 
 @registry.query("p5_found")

@@ -306,3 +306,41 @@ def test_editor_restores_held_out_words():
     for w, s in spoilt:
         right += editor.corrections(s)[:1] == [w]
     assert right == len(spoilt)
+
+
+# ---- histories that outlive a session
+
+
+def test_a_history_is_reopened_and_carried_on(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, i // 30, "Invoice", rng.choice(["Alpha Works", "Alpha Worsk", "Beta Mills", "Gamma Tools"]), f"AA-2025-{rng.randint(1, 60)}", rng.choice(["a1", "b2", "c3", "d4", "e5"]) * 16 if rng.random() < 0.2 else None) for i in range(1, 330)]
+    df = spark.createDataFrame(rows, "id long, batch_no int, document_type string, company string, invoice_number string, file_hash string")
+    history.repeats(df.filter("batch_no < 10"), history=-1, root=f"file://{tmp_path}/h").count()
+    again = history.History(spark, f"file://{tmp_path}/h")
+    assert again.version > 0 and again.runs
+    got = {tuple(r) for r in again.take(df.filter("batch_no = 10")).collect()}
+    want = greedy(rows, lambda a, b: (a[5] and a[5] == b[5]) or (a[4] == b[4] and edits(a[3].replace(" ", ""), b[3].replace(" ", "")) <= 2))
+    assert got == {(a, b) for a, b in want if b >= 300} and {tuple(r) for r in again.links().collect()} == want
+    # merged runs leave no files, and tiers stay short
+    assert len(list((tmp_path / "h" / "runs").iterdir())) == len(again.runs) < 8
+
+
+def test_only_files_in_the_range_of_the_batch_are_read(spark, tmp_path):
+    store = history.History(spark, str(tmp_path / "h"))
+    schema = "kind string, key string, name string, words int, id long"
+    for k in range(3):
+        store.add(spark.createDataFrame([("digest", f"{i:08d}", "", 0, i) for i in range(k * 4000, k * 4000 + 4000)], schema))
+    files = store.files()
+    windows = history.Windows(files)
+    places = [f"d\t{i:08d}\t" for i in range(5000, 5010)]
+    rows = sum(t.filter(history.pc.is_in(t["place"], value_set=history.pa.array(places))).num_rows for t in windows.of(places))
+    assert rows == 10 and len(windows.opened) <= 2 < len(files)
+    new = spark.createDataFrame([("digest", f"{i:08d}", "", 0, 20000 + i) for i in (7, 4100, 11999, 12000)], schema)
+    assert {tuple(r) for r in store.repeated(new).collect()} == {(7, 20007), (4100, 24100), (11999, 31999)}
+    assert "Exchange rangepartitioning" in store.repeated(new)._jdf.queryExecution().toString()
+
+
+def test_records_without_batch_come_last(spark):
+    rows = [(1, 0, "ab"), (2, None, "ab"), (3, 1, "cd"), (4, None, "cd"), (5, None, "ef"), (6, None, "ef")]
+    df = spark.createDataFrame([(i, b, "Other", None, None, h * 32) for i, b, h in rows], "id long, batch_no int, document_type string, company string, invoice_number string, file_hash string")
+    assert {tuple(r) for r in history.repeats(df).collect()} == {(1, 2), (3, 4), (5, 6)}
