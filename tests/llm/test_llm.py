@@ -205,6 +205,24 @@ def test_alignment_score():
     assert leakage.smith_waterman(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4, 9])) == 4 * leakage.MATCH + leakage.GAP
 
 
+def test_markup_of_any_length_is_left_out():
+    assert leakage.words_of('a <div class="' + "long " * 100 + '">b</div> <!-- ' + "x " * 300 + "--> c < d") == ["a", "b", "c", "d"]
+    assert len(leakage.words_of("<!-- " * 20_000)) == 0
+
+
+def test_twenty_thousand_items_take_little_memory():
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(80_000)]
+    rows = [(k, " ".join(names[i] for i in rng.integers(0, 80_000, 150))) for k in range(20_000)]
+    items = leakage.Items(rows)
+    aligner = leakage.Aligner(items, rng.integers(1, 1000, len(items.code)))
+    arrays = [items.flat, items.starts, items.runs, items.run_item, items.run_at, aligner.seed_item, aligner.seed_start, aligner.bag_word, aligner.bag_count, aligner.bag_start]
+    assert sum(a.nbytes for a in arrays) < 150 * 2**20
+    edited = items.words(777).copy()
+    edited[::7] = items.words(5)[0]
+    assert aligner.found(edited) == {777} and aligner.found(items.words(9)[20:33]) == {9} and aligner.found(np.sort(edited)) == set()
+
+
 # ---- sentences
 
 
