@@ -3,46 +3,64 @@
 A text is parted into blocks at blank lines. In a block made up of headings,
 "label: value" lines and list items every line is a unit. In other blocks line
 breaks are white space and the sentence-break rules on character properties
-apply: terminators of all scripts end a sentence unless the rules find that it
-goes on (a small letter, a comma or a colon follows), that the full stop
-belongs to an abbreviation, an initial, an ordinal or a number, or that it
-stands within quotation marks or brackets. After a closing quotation mark the
+apply: every character with the property Sentence_Terminal ends a sentence
+unless the rules find that it goes on (a small letter, a comma or a colon
+follows), that the full stop belongs to an abbreviation, an initial, an ordinal
+or a number, or that it stands within quotation marks or brackets. Terminators,
+brackets and what may close a sentence come from the character properties, not
+from lists; abbreviations are listed by language, and all lists hold for every
+text, since documents mix languages and their codes are unsure. After a closing quotation mark the
 sentence ends where the quotation ended with a terminator and no continuation
 follows; after a closing bracket only where the bracket opened the sentence. In
 Thai, white space between two Thai letters parts sentences.
 
 Defined results: null, empty and blank texts have no units; positions are
-1-based and count code points; repeated rows give repeated units.
+1-based and count code points; repeated rows give repeated units. Each block is
+read in time proportional to its length.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Terminators that end a sentence in their scripts whatever follows.
-STRONG = "。！？｡।॥۔؟።፧։᙮។៕၊။"
-# Terminators after which a small letter continues the sentence.
-SOFT = ".!?…‼⁇⁈⁉⋯"
-# Brackets and quotation marks and what closes them.
-BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "〈": "〉", "《": "》"}
+_EVERY = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+# Terminators of scripts with small letters, and ellipses; a small letter after them continues the sentence.
+SOFT = ".!?…‼⁇⁈⁉⋯‽⸮⸼"
+#: Full stops that may belong to a number or an abbreviation.
+STOPS = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _EVERY))
+SOFT += "".join(c for c in STOPS if c not in SOFT)
+#: All other characters with the property Sentence_Terminal end a sentence whatever follows.
+STRONG = "".join(c for c in regex.findall(r"\p{Sentence_Terminal}", _EVERY) if c not in SOFT)
+# Quotation marks and what closes them.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "‘": "’", "‚": "‘’", '"': '"', "”": "“", "'": "'"}
-CLOSERS = set(")]}）］】〕〉》”“»›」』’\"'")
+#: Brackets: opening punctuation that is mirrored, with the closing one of the next code or the next but one.
+BRACKETS = {
+    c: d
+    for c in regex.findall(r"\p{Ps}", _EVERY)
+    if c not in QUOTES and unicodedata.mirrored(c)
+    for d in [next((d for d in (chr(ord(c) + 1), chr(ord(c) + 2)) if unicodedata.category(d) == "Pe"), None)]
+    if d
+}
+CLOSERS = {*BRACKETS.values(), *"”“»›」』’\"'"}
 GOES_ON = set(",;:،؛、，；：)]}）］】）»›」』/–—‐-")
 
-# Abbreviations that never end a sentence.
-NEVER = set(
-    """mr mrs ms dr prof messrs st rev hon capt col gen lt sgt vs viz cf approx incl excl e.g i.e eg ie sec fig figs app art ch vol
-    pp p ed eds est ext tel dept encl ref resp
-    hr hrn fr dipl ing z.b d.h u.a o.ä u.u z.t i.d.r bzw ca ggf inkl exkl zzgl gem abs vgl evtl abzgl str bspw sog insb s
-    m mm mme mlle env art chap av bd éd
-    sr sra srta dra d dña ud uds aprox ej pág págs núm avda c p.ej
-    डॉ श्री पं प्रो कु""".split()
-)
+# Abbreviations that never end a sentence, by language.
+ABBREVIATIONS = {
+    "en": "mr mrs ms dr prof messrs st rev hon capt col gen lt sgt vs viz cf approx incl excl e.g i.e eg ie sec fig figs app art ch vol pp p ed eds est ext tel dept encl ref resp".split(),
+    "de": "hr hrn fr dipl ing z.b d.h u.a o.ä u.u z.t i.d.r bzw ca ggf inkl exkl zzgl gem abs vgl evtl abzgl str bspw sog insb s".split(),
+    "fr": "m mm mme mlle env art chap av bd éd".split(),
+    "es": "sr sra srta dra d dña ud uds aprox ej pág págs núm avda c p.ej".split(),
+    "hi": "डॉ श्री पं प्रो कु".split(),
+}
+NEVER = {w for words in ABBREVIATIONS.values() for w in words}
 # Abbreviations that a figure follows; they don't end a sentence then.
 BEFORE_FIGURE = set("no nos nr nrn núm num n art sec fig p pp ch vol lot ref §".split())
 # Abbreviations that end a sentence where a capital follows.
@@ -68,14 +86,14 @@ AFTER_ORDINAL = set(
 # Characters after a Chinese quotation that continue its sentence.
 ZH_ON = set("的说道问喊答是和与")
 
-_BLANK = re.compile(r"(?:[^\S\r\n  ]*(?:\r\n|[\r\n \x85])){2,}| ")
+_BLANK = re.compile(r"(?<![^\S\r\n\x85\u2028\u2029])(?:[^\S\r\n  ]*(?:\r\n|[\r\n \x85])){2,}| ")
 _LINE = re.compile(r"\r\n|[\r\n \x85]")
 _ITEM = re.compile(r"(?:[-–—*•·‣▪◦●○■□➤→✓]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S")
 _LABEL = re.compile(r"[^\W\d_][^:：\n]{0,34}?\s?:\s+(?![\"“„«”'‘])\S|[^\W\d_][^:：\n]{0,34}:$")
-_ENDS = re.compile(r"[.!?…。！？।॥۔؟][\"”“»’')\]）」』]*$")
+_ENDS = re.compile(rf"[{re.escape(STRONG + SOFT)}][{re.escape(''.join(sorted(CLOSERS)))}]*$")
 _OPEN = "".join(map(re.escape, {**BRACKETS, **QUOTES}))
 _EVENT = re.compile(rf"[{re.escape(STRONG + SOFT)}]+|[{_OPEN}]|(?<=[฀-๿])\s+(?=[฀-๿])")
-_WORD_BEFORE = re.compile(r"[^\W\d_](?:[^\W\d_]|[ऀ-෿]|\.(?=[^\W\d_]))*$")
+_LONGEST = max(map(len, NEVER | BEFORE_FIGURE | MAY_END | BEFORE_ORDINAL))
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s*")
 
@@ -100,39 +118,70 @@ def _heading(word: str) -> bool:
     return not word[0].isalpha() or word[0].isupper() or len(word) <= 3
 
 
-def _closing(text: str, i: int, end: int) -> int:
-    """The index of what closes the bracket or quotation that opens at i, -1 where nothing opens or closes."""
-    c = text[i]
-    if c in BRACKETS:
-        shut, depth = BRACKETS[c], 0
-        for j in range(i, end):
-            if text[j] == c:
-                depth += 1
-            elif text[j] == shut:
-                depth -= 1
-                if not depth:
-                    return j
-        return -1
-    before = text[i - 1] if i else " "
-    after = text[i + 1] if i + 1 < end else " "
-    if c == "»" or c == "”":
-        if not (before.isspace() or before in ":：،") or after.isspace():
-            return -1
-    if c in "'‘‚":
-        if before.isalnum() or not (after.isalnum() or after in "¿¡"):
+class Pairs:
+    """What closes the brackets and quotation marks of a block; each kind is looked through once."""
+
+    def __init__(self, text: str, a: int, end: int) -> None:
+        self.text, self.a, self.end = text, a, end
+        self.closed: dict[str, dict[int, int]] = {}
+        self.ahead: dict[str, int] = {}
+
+    def of(self, i: int) -> int:
+        """The index of what closes the bracket or quotation that opens at i, -1 where nothing opens or closes; asked for rising i."""
+        text, end = self.text, self.end
+        c = text[i]
+        if c in BRACKETS:
+            if c not in self.closed:
+                self.closed[c] = self._matched(c, BRACKETS[c])
+            return self.closed[c].get(i, -1)
+        before = text[i - 1] if i else " "
+        after = text[i + 1] if i + 1 < end else " "
+        if c == "»" or c == "”":
+            if not (before.isspace() or before in ":：،") or after.isspace():
+                return -1
+        if c in "'‘‚" and (before.isalnum() or not (after.isalnum() or after in "¿¡")):
             return -1
-        j = i + 1
-        while (j := _first(text, QUOTES[c], j, end)) >= 0:
-            if not (j + 1 < end and text[j + 1].isalnum()) and not text[j - 1].isspace():
-                return j
-            j += 1
-        return -1
-    return _first(text, QUOTES[c], i + 1, end)
+        return self._next(c, i + 1)
+
+    def _matched(self, opens: str, shuts: str) -> dict[int, int]:
+        out, stack = {}, []
+        for m in re.finditer(f"[{re.escape(opens + shuts)}]", self.text[self.a : self.end]):
+            if m.group() == opens:
+                stack.append(m.start())
+            elif stack:
+                out[stack.pop() + self.a] = m.start() + self.a
+        return out
+
+    def _next(self, c: str, start: int) -> int:
+        """The first place from start that closes the quotation mark c; the end where none is left is kept."""
+        at = self.ahead.get(c, 0)
+        if 0 <= at < start:
+            text, end = self.text, self.end
+            at = start
+            while (at := min((j for m in QUOTES[c] if (j := text.find(m, at, end)) >= 0), default=-1)) >= 0:
+                # an apostrophe closes nothing
+                if c not in "'‘‚" or not (at + 1 < end and text[at + 1].isalnum()) and not text[at - 1].isspace():
+                    break
+                at += 1
+            self.ahead[c] = at
+        return at
+
 
+def _word_before(text: str, a: int, i: int) -> str:
+    """The word that ends before i, in small letters, with the points inside it; longer ones than any abbreviation may lack their first parts."""
 
-def _first(text: str, marks: str, start: int, end: int) -> int:
-    found = [j for m in marks if (j := text.find(m, start, end)) >= 0]
-    return min(found, default=-1)
+    def letters(k: int) -> int:
+        while k > a and (text[k - 1].isalpha() or "ऀ" <= text[k - 1] <= "ॿ"):
+            k -= 1
+        return k
+
+    s = letters(i)
+    most = i - s + _LONGEST
+    while s < i and text[s].isalpha() and s - 1 > a and text[s - 1] == "." and i - s <= most and (k := letters(s - 1)) < s - 1:
+        s = k
+    while s < i and not text[s].isalpha():
+        s += 1
+    return text[s:i].lower()
 
 
 def _hiragana(c: str) -> bool:
@@ -161,8 +210,7 @@ def _ends(text: str, a: int, i: int, j: int, k: int, quoted: bool) -> bool:
     before = text[i - 1] if i > a else " "
     if before.isspace():
         return False
-    m = _WORD_BEFORE.search(text, max(a, i - 24), i)
-    word = m.group().lower() if m else ""
+    word = _word_before(text, a, i)
     if not gap:
         if not (letter or nxt in "¿¡“«„「"):
             return False
@@ -182,7 +230,7 @@ def _ends(text: str, a: int, i: int, j: int, k: int, quoted: bool) -> bool:
     if word in NEVER:
         return False
     if len(word) == 1 and text[i - 1].isupper() or (len(word) == 1 and word not in "y"):
-        return _starter(text, k) and not _initial(text, a, m.start())
+        return _starter(text, k) and not _initial(text, a, i - 1)
     if word in MAY_END:
         return not (nxt.isdigit() and word in MONTHS)
     if "." in word:
@@ -197,23 +245,38 @@ def _starter(text: str, k: int) -> bool:
     return bool(m) and m.group().lower() in STARTERS or text[k] in "¿¡"
 
 
+# Titles before an initial.
+TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "M", "Hr", "Sr", "Sra"}
+
+
 def _initial(text: str, a: int, at: int) -> bool:
     """Whether another initial or a title stands before the letter at."""
-    return bool(re.search(r"(?:\b[A-Z]\.|\b(?:Mr|Mrs|Ms|Dr|Prof|M|Hr|Sr|Sra)\.)\s*$", text[max(a, at - 8) : at]))
+    while at > a and text[at - 1].isspace():
+        at -= 1
+    if at <= a or text[at - 1] != ".":
+        return False
+    s = at - 1
+    while s > a and at - 1 - s < 6 and (text[s - 1].isalnum() or text[s - 1] == "_"):
+        s -= 1
+    word = text[s : at - 1]
+    return len(word) == 1 and "A" <= word <= "Z" or word in TITLES
 
 
 def _ordinal(text: str, a: int, i: int, k: int) -> bool:
     """Whether the full stop after a figure marks an ordinal."""
     s = i
-    while s > a and text[s - 1].isdigit():
+    while s > a and text[s - 1].isdigit() and i - s <= 2:
         s -= 1
     if i - s > 2:
         return False
     m = _NEXT_WORD.match(text, k)
     if m and m.group().lower() in AFTER_ORDINAL:
         return True
-    b = _WORD_BEFORE.search(text[max(a, s - 14) : s].rstrip())
-    return s == a or bool(b) and b.group().lower() in BEFORE_ORDINAL
+    if s == a:
+        return True
+    while s > a and text[s - 1].isspace():
+        s -= 1
+    return _word_before(text, a, s) in BEFORE_ORDINAL
 
 
 def _continues(text: str, k: int, shut: str) -> bool:
@@ -229,6 +292,7 @@ def _sentences(text: str, a: int, b: int) -> list[int]:
     out = [a]
     pos = a
     start = a
+    pairs = Pairs(text, a, b)
     while (m := _EVENT.search(text, pos, b)) is not None:
         i, j = m.span()
         c = text[i]
@@ -237,7 +301,7 @@ def _sentences(text: str, a: int, b: int) -> list[int]:
             start = pos = j
             continue
         if c in BRACKETS or c in QUOTES:
-            shut = _closing(text, i, b)
+            shut = pairs.of(i)
             if shut < 0:
                 pos = j
                 continue
