@@ -101,7 +101,8 @@ _SPACE = re.compile(r"\s*")
 def _structured(lines: list[str]) -> bool:
     """Whether a block is made up of headings, label lines and list items."""
     for s in lines:
-        if _ITEM.match(s):
+        # a capital with a point may also be an initial or a title, which begins prose of several sentences
+        if _ITEM.match(s) and not (s[0].isupper() and s[1] == "." and len(_sentences(s, 0, len(s))) > 1):
             continue
         if _LABEL.match(s) and len(s.split(":", 1)[0].split()) <= 4:
             continue
@@ -219,7 +220,7 @@ def _ends(text: str, a: int, i: int, j: int, k: int, quoted: bool) -> bool:
         if "." in word:
             return False
         if nxt.isupper() or nxt in "¿¡“«„「":
-            return (before.islower() and len(word) > 1 and not (word in NEVER)) or before.isdigit() or before in CLOSERS or before == "%" or (before.isalpha() and not before.isupper() and len(word) > 1) or word in MAY_END
+            return (before.islower() and len(word) > 1 and not (word in NEVER)) or before.isdigit() or before in CLOSERS or before == "%" or (before.isalpha() and not before.isupper() and len(word) > 1) or word in MAY_END or (len(word) >= 3 and word not in NEVER)
         return before.isalpha() and not before.islower() and not before.isupper() and word not in NEVER and len(word) > 1
     if not word:
         if before.isdigit():

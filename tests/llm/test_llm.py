@@ -362,3 +362,39 @@ def test_records_without_batch_come_last(spark):
     rows = [(1, 0, "ab"), (2, None, "ab"), (3, 1, "cd"), (4, None, "cd"), (5, None, "ef"), (6, None, "ef")]
     df = spark.createDataFrame([(i, b, "Other", None, None, h * 32) for i, b, h in rows], "id long, batch_no int, document_type string, company string, invoice_number string, file_hash string")
     assert {tuple(r) for r in history.repeats(df).collect()} == {(1, 2), (3, 4), (5, 6)}
+
+
+# ---- sentence properties
+
+
+def test_every_sentence_terminal_ends_a_sentence():
+    import sys
+
+    import regex
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and regex.match(r"\p{Sentence_Terminal}", chr(c))]
+    assert len(every) == 172
+    assert [c for c in every if sentences.unit_starts(f"Some words here{c} More words there{c}") != [0, 17]] == []
+
+
+@pytest.mark.parametrize("text", ["(" * 100_000, "“" * 100_000, "'a " * 50_000, "a." * 50_000, " " * 100_000 + "x.", "“a ‘b (c " * 20_000])
+def test_hostile_blocks_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    sentences.unit_starts(text)
+    assert time.process_time() - began < 0.5
+
+
+@pytest.mark.parametrize(
+    "text, units",
+    [
+        ("M. Holm et Mme Lee ont signé. Pourquoi M. Ruiz n'a-t-il pas reçu la relance ? Le stock reste.", 3),
+        ("See Mr." + " " * 40 + "B. Holm of " + "x" * 60 + ". He left.", 2),
+        ("Am" + " " * 30 + "9. Juni kam er. Dann ging er.", 2),
+        ("A. Scope of work\nB. Terms of payment", 2),
+        ("It rose by “five〕 (see A. Then B.) today. It fell.", 2),
+    ],
+)
+def test_units_beyond_short_look_back(text, units):
+    assert len(sentences.unit_starts(text)) == units
