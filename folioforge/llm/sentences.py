@@ -39,6 +39,7 @@ STOPS = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _EVERY))
 SOFT += "".join(c for c in STOPS if c not in SOFT)
 #: All other characters with the property Sentence_Terminal end a sentence whatever follows.
 STRONG = "".join(c for c in regex.findall(r"\p{Sentence_Terminal}", _EVERY) if c not in SOFT)
+_STRONG, _TERMINATORS = frozenset(STRONG), frozenset(STRONG + SOFT)
 # Quotation marks and what closes them.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "‘": "’", "‚": "‘’", '"': '"', "”": "“", "'": "'"}
 #: Brackets: opening punctuation that is mirrored, with the closing one of the next code or the next but one.
@@ -86,13 +87,16 @@ AFTER_ORDINAL = set(
 # Characters after a Chinese quotation that continue its sentence.
 ZH_ON = set("的说道问喊答是和与")
 
-_BLANK = re.compile(r"(?<![^\S\r\n\x85\u2028\u2029])(?:[^\S\r\n  ]*(?:\r\n|[\r\n \x85])){2,}| ")
+_END_OF_LINE = r"(?:\r\n|[\r\n \x85])"
+_BLANK = re.compile(rf"{_END_OF_LINE}(?:[^\S\r\n \x85]*{_END_OF_LINE})+| ")
 _LINE = re.compile(r"\r\n|[\r\n \x85]")
 _ITEM = re.compile(r"(?:[-–—*•·‣▪◦●○■□➤→✓]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S")
 _LABEL = re.compile(r"[^\W\d_][^:：\n]{0,34}?\s?:\s+(?![\"“„«”'‘])\S|[^\W\d_][^:：\n]{0,34}:$")
 _ENDS = re.compile(rf"[{re.escape(STRONG + SOFT)}][{re.escape(''.join(sorted(CLOSERS)))}]*$")
 _OPEN = "".join(map(re.escape, {**BRACKETS, **QUOTES}))
-_EVENT = re.compile(rf"[{re.escape(STRONG + SOFT)}]+|[{_OPEN}]|(?<=[฀-๿])\s+(?=[฀-๿])")
+_EVENT = re.compile(rf"[{re.escape(STRONG + SOFT)}{_OPEN}]")
+_THAI = re.compile("[\u0e00-\u0e7f]")
+_EVENT_OR_THAI = re.compile(rf"[{re.escape(STRONG + SOFT)}{_OPEN}]|(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])")
 _LONGEST = max(map(len, NEVER | BEFORE_FIGURE | MAY_END | BEFORE_ORDINAL))
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s*")
@@ -199,7 +203,7 @@ def _ends(text: str, a: int, i: int, j: int, k: int, quoted: bool) -> bool:
     if nxt.islower():
         return False
     last = run[-1]
-    if last in STRONG or (len(run) > 1 and run[0] in STRONG):
+    if last in _STRONG or (len(run) > 1 and run[0] in _STRONG):
         return True
     gap = k > j
     letter = nxt.isalpha()
@@ -294,7 +298,8 @@ def _sentences(text: str, a: int, b: int) -> list[int]:
     pos = a
     start = a
     pairs = Pairs(text, a, b)
-    while (m := _EVENT.search(text, pos, b)) is not None:
+    event = (_EVENT_OR_THAI if _THAI.search(text, a, b) else _EVENT).search
+    while (m := event(text, pos, b)) is not None:
         i, j = m.span()
         c = text[i]
         if c.isspace():
@@ -312,11 +317,11 @@ def _sentences(text: str, a: int, b: int) -> list[int]:
                 t -= 1
             j = shut + 1
             pos = j
-            if text[t] in STRONG or text[t] in SOFT:
+            if text[t] in _TERMINATORS:
                 k = _SPACE.match(text, j, b).end()
                 if k >= b:
                     break
-                if text[k] in STRONG or text[k] in SOFT:
+                if text[k] in _TERMINATORS:
                     continue
                 if c in BRACKETS and i != start:
                     continue
@@ -324,6 +329,8 @@ def _sentences(text: str, a: int, b: int) -> list[int]:
                     out.append(k)
                     start = pos = k
             continue
+        while j < b and text[j] in _TERMINATORS:
+            j += 1
         # a run of terminators, with closing marks of nothing open behind it
         end = j
         while end < b and text[end] in "”»’」』" and not text[end].isspace():

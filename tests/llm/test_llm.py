@@ -398,3 +398,48 @@ def test_hostile_blocks_take_linear_time(text):
 )
 def test_units_beyond_short_look_back(text, units):
     assert len(sentences.unit_starts(text)) == units
+
+
+# ---- scans beyond the bounds of the first editor
+
+
+def test_words_with_any_number_of_misread_characters_are_found(spark):
+    words = "The indivisibility of commercial commitments and memoranda was confirmed in the settlement today."
+    chunks = [words] * 6 + ["The 1nd1v1s1b1l1ty of cornrnercial cornrnitrnents ancl rnernoranda vvas confirmed."]
+    got, fixed = kinds_of(spark, chunks)
+    assert got == {("rag_chunks", 6, "confusion")}
+    assert fixed["rag_chunks", 6] == "The indivisibility of commercial commitments and memoranda was confirmed."
+
+
+def test_the_editor_keeps_words_whose_edits_are_no_words():
+    counts = {"clause": 50, "corner": 40, "modern": 60, "statement": 90, "delivery": 80, "warehouse": 70, "committee": 75, "internal": 66, "include": 59, "return": 91}
+    editor = scans.Editor().train(counts)
+    assert all((editor.correction(w, x, counts[w], 0) or -1) < 0 for w, x in (("clause", "dause"), ("corner", "comer"), ("modern", "modem")))
+    assert editor.correction("staternent", "statement", 1, 90) > 0 and editor.correction("statement", "staternent", 90, 1) is None
+    assert editor.correction("corner", "comer", 40, 45) < 0  # two words of their own
+
+
+def test_long_headers_and_page_lines_count(spark):
+    head = "Veltara Insurance Inc | Lease Agreement 946 | " + " | ".join(f"Part {i} Confidential Matter" for i in range(8))
+    number = "-" * 20 + " Page 3 of 9 " + "-" * 20
+    got, fixed = kinds_of(spark, [f"{head}\nThe pump failed.\n{number}", f"{head}\nThe valve failed.", "A page of its own text."])
+    assert len(head) > 120 and got == {("rag_chunks", 0, "header"), ("rag_chunks", 0, "page_number"), ("rag_chunks", 1, "header")}
+    assert fixed["rag_chunks", 0] == "The pump failed."
+
+
+def test_repeated_headers_take_few_steps():
+    import time
+
+    head = "Veltara Insurance Inc | Lease Agreement | Confidential"
+    text = f"{head} some words {head} others {head} end"
+    assert [text[a:b] for a, b in scans.repeated_header(text)] == [head] * 3
+    began = time.process_time()
+    assert scans.repeated_header("word " * 5000) == [] and scans.repeated_header("a b c d e f " * 2000) == []
+    assert time.process_time() - began < 3
+
+
+def test_furniture_is_told_by_place_and_shape():
+    pages = [(f"d{d}", f"{d}-{p}", f"Acme Works Ltd | Memo {d} | Confidential\nThe pump of the plant failed and\nwas repaired by noon.\nTotal: 5\n- {p} -") for d in range(8) for p in range(3)]
+    told = scans.Furniture().train(pages)
+    assert told.says("Beta Mills Ltd | Report 3 | Confidential", "top 0") and told.says("- 7 -", "foot 0")
+    assert not told.says("The valve of the plant failed and", "body") and not told.says("Total: 9", "foot 1")
