@@ -9,9 +9,10 @@ stands before it. From all runs of all texts each term gets its disclosure,
     log2( P(protected | term) / P(protected) ),
 
 the pointwise mutual information between the term and the event that it stands
-in a protected entity. Terms above DISCLOSURE bits reveal persons wherever they
-stand; runs made of them are names also without such a context. Mentions are
-replaced by typed placeholders, the rest of the text stays.
+in a protected entity. Terms above DISCLOSURE bits, or whose posterior itself is
+POSTERIOR or more (where protected entities are common, few bits remain), reveal
+persons wherever they stand; runs made of them are names also without such a
+context. Mentions are replaced by typed placeholders, the rest of the text stays.
 
 The revealing terms are sent to the executors as a set while they are at most
 TERMS_TO_SEND; beyond that they are joined to the runs on the term.
@@ -23,6 +24,7 @@ mentions; texts are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from folioforge.session import stored
 
-DISCLOSURE = 1.0
+DISCLOSURE = 1.0  # bits above which a term reveals persons
+POSTERIOR, LEAST_POSTERIOR = 0.3, 0.1  # probabilities from which it does without so many bits, and below which it does not with any
 LEAST_PROTECTED = 2
 TERMS_TO_SEND = 300_000
 
@@ -58,7 +61,7 @@ FORM_WORDS = set(
 )
 
 _AT = re.compile(r"\s?[@＠]\s?|&#64;|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({]\s*dot))", re.I)
-_LOCAL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?$")
+_LOCAL_CHARS = re.compile(r"[\w.+%-]")
 _DOMAIN = re.compile(r"[a-z0-9-]+(?:(?:[.．](?=[a-z0-9-]+)|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[a-z0-9-]+)+", re.I)
 _PHONE = re.compile(
     r"(?<![\w+.,/(#-])(?:"
@@ -115,27 +118,58 @@ _STEP = re.compile(rf"(?<![\w@.+'’\-])(?:{_NAME}(?![\w@])|[{_UP}]\.(?=[ \n{_UP
 _CUE = re.compile(rf"(?:(?<!\w)(?:{TITLES})\.?|(?:{LABELS})|(?:tacter|chez|par|à|de|et|que|Pourquoi|Cher)\s+M\.|(?:Dear|Hello|Hi)(?: (?:{TITLES})\.?)?)\s*(?:{TITLES})?\.?\s*$")
 _CUE_WORDS = set(TITLES.lower().split("|")) | set("attn attention contact person from name candidate signed by signatory to dear hello hi m".split()) | {""}
 _STRONG_TITLES = set(TITLES.split("|"))
-_FRENCH_BEFORE = re.compile(r"(?:tacter|chez|par|à|de|et|que|Pourquoi|Cher)\s+$")
+_FRENCH_BEFORE = re.compile(r"(?:tacter|chez|par|à|de|et|que|Pourquoi|Cher)$")
+_CUE_TOKENS, _TOKEN_LENGTH = 4, 24  # no cue has more or longer words
 _FIRM_AFTER = re.compile(r"\s*(?:&|,? (?:and|et|und|y) (?:Sons|Partners|Co)\b)")
 
 
+def _local_start(text: str, end: int) -> int | None:
+    """Where the local part of an address that ends there begins."""
+    at = end
+    while at and _LOCAL_CHARS.match(text[at - 1]):
+        at -= 1
+    first = text[at : at + 1]
+    return at if at < end and text[end - 1] != "." and first.isascii() and first.isalnum() else None
+
+
+def _tokens_before(text: str, a: int, most: int = _CUE_TOKENS) -> str:
+    """The words before a, parted by single blanks; none where a word is longer than those of any cue."""
+    out: list[str] = []
+    while len(out) < most:
+        while a and text[a - 1].isspace():
+            a -= 1
+        b = a
+        while a and not text[a - 1].isspace() and b - a <= _TOKEN_LENGTH:
+            a -= 1
+        if a == b:
+            break
+        out.append(text[a:b])
+        if b - a > _TOKEN_LENGTH:
+            break
+    return " ".join(reversed(out))
+
+
 def shaped(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of the mentions that have a shape, without overlaps."""
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []
+    ends: list[int] = []
 
     def add(kind: str, a: int, b: int) -> None:
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        # taken stretches don't overlap, so only the last that begins before b can meet this one
+        k = bisect_left(begins, b)
+        if not k or ends[k - 1] <= a:
+            begins.insert(k, a)
+            ends.insert(k, b)
             out.append((kind, a, b))
 
     low = "@" in text or "＠" in text or "&#64;" in text or "at]" in text.lower() or "at)" in text.lower() or " dot " in text.lower()
     if low:
         for m in _AT.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - 80), m.start())
-            domain = local and _DOMAIN.match(text, m.end())
-            if domain:
-                add("EMAIL", local.start(), domain.end())
+            domain = _DOMAIN.match(text, m.end())
+            local = _local_start(text, m.start()) if domain else None
+            if local is not None:
+                add("EMAIL", local, domain.end())
     for m in _LABELLED_ID.finditer(text):
         if sum(c.isdigit() for c in m.group(1)) >= 5:
             add("ID_NUMBER", m.start(1), m.end(1))
@@ -183,11 +217,11 @@ def runs(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[str],
         gap = text[last:a] if last >= 0 else None
         if not words or gap not in (" ", ", ", "\n", "\r\n"):
             close(last)
-            before = text[max(0, a - 34) : a].rstrip()
-            last_word = before[max(before.rfind(" "), before.rfind("\n"), before.rfind("("), -1) + 1 :]
-            cue = last_word.rstrip(".:").lower() in _CUE_WORDS and bool(_CUE.search(before))
+            last_word = _tokens_before(text, a, 1)
+            last_word = last_word[last_word.rfind("(") + 1 :]
+            cue = last_word.rstrip(".:").lower() in _CUE_WORDS and bool(_CUE.search(_tokens_before(text, a)))
         w = m.group()
-        if w in _STRONG_TITLES or (w == "M." and _FRENCH_BEFORE.search(text, max(0, a - 12), a)):
+        if w in _STRONG_TITLES or (w == "M." and text[a - 1 : a].isspace() and _FRENCH_BEFORE.search(_tokens_before(text, a, 1))):
             close(last)
             last = -1
             continue
@@ -287,7 +321,7 @@ def revealing_terms(found: DataFrame, bits: float = DISCLOSURE) -> DataFrame:
     d = disclosure(found)
     known = ~F.col("term").isin(sorted(FORM_WORDS | CORPORATE))
     share = (F.col("protected") + 0.5) / (F.col("n") + 1.0)
-    return d.filter((F.col("protected") >= LEAST_PROTECTED) & known & ((F.col("bits") >= bits) | (share >= 0.3)) & (share >= 0.1)).select("term")
+    return d.filter((F.col("protected") >= LEAST_PROTECTED) & known & ((F.col("bits") >= bits) | (share >= POSTERIOR)) & (share >= LEAST_POSTERIOR)).select("term")
 
 
 def mentions(texts: DataFrame, terms_to_send: int = TERMS_TO_SEND) -> DataFrame:
@@ -344,6 +378,7 @@ def redacted(texts: DataFrame, found: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))),
     )
+    # of one key both sides share a task, where repeated rows are dropped too
     return texts.join(spots, ["table_name", "row_key"], "left").withColumn("text_redacted", fold).drop("spots")
 
 

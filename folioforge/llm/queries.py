@@ -32,9 +32,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query("p5_pieces")
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "rag_chunks").dropDuplicates(["id"])
-    pages = filled_pages(chunks.select("id", "document_id", "chunk_index", "page_number"))
-    long = oversized(chunks).drop("page_number").join(pages, "id")
+    chunks = table(spark, sf, "rag_chunks")
+    pages = filled_pages(chunks.select("id", "document_id", "chunk_index", "page_number").dropDuplicates(["id"]))
+    long = oversized(chunks.select("id", "document_id", "chunk_text")).dropDuplicates(["id"]).join(pages.select("id", "page_number"), "id")
     cols = ["id", "document_id", "page_number", "chunk_text"]
     return split_oversized(long.select(*cols)).filter("piece_count > 1")
 
@@ -77,7 +77,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query("p3_redacted")
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     texts = _pii_texts(spark, sf)
-    return redacted(texts.distinct(), mentions(texts)).select("table_name", "row_key", "text_redacted")
+    # repeated rows meet where the join has brought them, so texts move once
+    return redacted(texts, mentions(texts)).select("table_name", "row_key", "text_redacted").distinct()
 
 
 def _scan_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,4 +99,4 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query("p6_repaired")
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     texts = _scan_texts(spark, sf)
-    return repaired(texts.distinct(), Findings(texts)).select("table_name", "row_key", "text_repaired")
+    return repaired(texts, Findings(texts)).select("table_name", "row_key", "text_repaired").distinct()

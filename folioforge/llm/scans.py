@@ -620,10 +620,14 @@ class Findings:
 def repaired(texts: DataFrame, found: Findings) -> DataFrame:
     """texts with text_repaired: continuous paragraphs without the noise."""
     key = ["table_name", "row_key"]
-    fixes = found.confusions.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("token", "correction"))).alias("fixes"))
-    heads = found.headers.groupBy(*key).agg(F.collect_set("token").alias("heads"))
-    wholes = found.divided.groupBy(*key).agg(F.collect_set("token").alias("wholes"))
-    df = texts.join(fixes, key, "left").join(heads, key, "left").join(wholes, key, "left")
+    none = F.lit(None).cast("string")
+    all_found = (
+        found.confusions.select(*key, "token", "correction", none.alias("head"), none.alias("whole"))
+        .unionByName(found.headers.select(*key, none.alias("token"), none.alias("correction"), F.col("token").alias("head"), none.alias("whole")))
+        .unionByName(found.divided.select(*key, none.alias("token"), none.alias("correction"), none.alias("head"), F.col("token").alias("whole")))
+    )
+    fixes = F.map_from_entries(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "correction"))))
+    df = texts.join(all_found.groupBy(*key).agg(fixes.alias("fixes"), F.collect_set("head").alias("heads"), F.collect_set("whole").alias("wholes")), key, "left")
     sent = texts.sparkSession.sparkContext.broadcast(found.furniture)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -443,3 +443,29 @@ def test_furniture_is_told_by_place_and_shape():
     told = scans.Furniture().train(pages)
     assert told.says("Beta Mills Ltd | Report 3 | Confidential", "top 0") and told.says("- 7 -", "foot 0")
     assert not told.says("The valve of the plant failed and", "body") and not told.says("Total: 9", "foot 1")
+
+
+# ---- privacy beyond short look-back
+
+
+def test_long_local_parts_and_distant_contexts_count(spark):
+    long = "a" * 200 + "@mail.example"
+    assert [(k, b - a) for k, a, b in privacy.shaped(f"write to {long} now")] == [("EMAIL", len(long))]
+    texts = [*PEOPLE, "Dear" + " " * 60 + "Ms. Talitha Vexley, hello", "Attention :" + "\n" * 50 + "Brannic Holmgren"]
+    got, _, _ = mentions_of(spark, texts)
+    assert {(6, "NAME", "Talitha Vexley"), (7, "NAME", "Brannic Holmgren")} <= got
+
+
+def test_many_mentions_take_linear_time():
+    import time
+
+    text = "call (580) 555-0130 or a.b@c.test " * 10_000
+    began = time.process_time()
+    assert len(privacy.shaped(text)) == 20_000 and time.process_time() - began < 3
+
+
+def test_the_join_gives_what_the_set_of_terms_gives_on_whole_tables(spark, sf):
+    from folioforge.llm.queries import _pii_texts
+
+    texts = _pii_texts(spark, sf)
+    assert {tuple(r) for r in privacy.mentions(texts, 0).collect()} == {tuple(r) for r in privacy.mentions(texts).collect()}
