@@ -149,6 +149,14 @@ def _tokens_before(text: str, a: int, most: int = _CUE_TOKENS) -> str:
     return " ".join(reversed(out))
 
 
+def _word_before(text: str, a: int) -> str:
+    """The last word before a, as _tokens_before has it; mostly in a short slice."""
+    near = text[max(0, a - _TOKEN_LENGTH) : a].rsplit(None, 1)
+    if len(near) == 2 or a <= _TOKEN_LENGTH:
+        return near[-1] if near else ""
+    return _tokens_before(text, a, 1)
+
+
 def shaped(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of the mentions that have a shape, without overlaps."""
     out: list[tuple[str, int, int]] = []
@@ -217,11 +225,11 @@ def runs(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[str],
         gap = text[last:a] if last >= 0 else None
         if not words or gap not in (" ", ", ", "\n", "\r\n"):
             close(last)
-            last_word = _tokens_before(text, a, 1)
+            last_word = _word_before(text, a)
             last_word = last_word[last_word.rfind("(") + 1 :]
             cue = last_word.rstrip(".:").lower() in _CUE_WORDS and bool(_CUE.search(_tokens_before(text, a)))
         w = m.group()
-        if w in _STRONG_TITLES or (w == "M." and text[a - 1 : a].isspace() and _FRENCH_BEFORE.search(_tokens_before(text, a, 1))):
+        if w in _STRONG_TITLES or (w == "M." and text[a - 1 : a].isspace() and _FRENCH_BEFORE.search(_word_before(text, a))):
             close(last)
             last = -1
             continue
