@@ -70,7 +70,7 @@ def _amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _amounts(spark, sf).filter(F.col("amount_usd_cents").isNotNull()).select("id", "amount_usd_cents")
+    return _amounts(spark, sf).filter("amount_stated AND amount_usd_cents IS NOT NULL").select("id", "amount_usd_cents")
 
 
 @registry.query("p4_amounts")
@@ -82,5 +82,16 @@ def p4_amounts(spark: SparkSession, sf: str) -> DataFrame:
         "amount_currency",
         "amount_power",
         F.bround("amount_residual", 6).alias("amount_residual"),
+        "amount_stated",
         "amount_unique",
     )
+
+
+@registry.query("p4_unstated")
+def p4_unstated(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts whose currency is stated nowhere, or whose stated reading doesn't fit: what the residuals alone choose."""
+    docs = table(spark, sf, "doc_records").filter("document_type = 'Invoice'").select("id", "total_amount", "text_preview", "extracted_json")
+    df = normalise_amounts(docs, table(spark, sf, "currency_rates"), trust=0.5)
+    return df.filter("amount_value IS NOT NULL AND (NOT amount_stated OR NOT amount_unique)").select(
+        "id", "total_amount", F.col("amount_value").cast("double").alias("amount_value"), "amount_currency", "amount_power", F.bround("amount_residual", 6).alias("amount_residual"), "amount_unique", "amount_usd_cents"
+    )

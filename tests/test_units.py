@@ -34,3 +34,83 @@ def test_extra_columns_stay_and_empty_tables_pass(spark, results):
     assert results[0].currency == "x"
     docs = spark.createDataFrame([], "id int, total_amount string, text_preview string, extracted_json string")
     assert normalise_amounts(docs, spark.createDataFrame(RATES, "currency string, micro_usd long")).count() == 0
+
+
+def solved(spark, rows, **options):
+    docs = spark.createDataFrame([(i, a, t, None if s is None else '{"flat_values": {"subtotal": "%s", "tax": "%s"}}' % s) for i, (a, t, s) in enumerate(rows)], "id int, total_amount string, text_preview string, extracted_json string")
+    return [r for r in normalise_amounts(docs, spark.createDataFrame(RATES, "currency string, micro_usd long"), **options).orderBy("id").collect()]
+
+
+PROBES = [("USD 1.234", "", ("1,200.00", "34.00")), ("USD 5", "", ("9,000.00", "0")), ("USD 1,234", "", ("1.20", "0.034")), ("USD 1.234", "", None), ("USD 1,234.00", "", ("1,200.00", "34.00"))]
+
+
+def test_amounts_that_an_identity_contradicts_are_flagged(spark):
+    got = solved(spark, PROBES)
+    assert [r.amount_usd_cents for r in got] == [123, 500, 123400, 123, 123400]  # as stated
+    assert [r.amount_unique for r in got] == [False, False, False, False, True]
+    assert got[0].amount_residual > 6 and got[3].amount_residual is None
+
+
+def test_residuals_choose_where_statements_count_little(spark):
+    got = solved(spark, PROBES, trust=0.5)
+    assert [r.amount_usd_cents for r in got] == [123400, 500, 123, 123, 123400]
+    assert [r.amount_unique for r in got] == [True, False, True, False, True]
+
+
+def test_currency_and_scale_come_from_the_parts_where_nothing_is_stated(spark):
+    rows = [("1,234", "", ("EUR 1,200", "EUR 34")), ("1.2", "", ("GBP 1.2 million", "0")), ("1,234", "", ("1,200", "34")), ("USD 1.2", "", ("USD 1.2 thousand", "0")), ("EUR 100.00", "", ("USD 108.34", "0.00"))]
+    got = solved(spark, rows, trust=0.5)
+    assert [(r.amount_currency, r.amount_power, r.amount_unique, r.amount_stated) for r in got] == [
+        ("EUR", 0, True, False), ("GBP", 6, True, False), (None, 0, False, False), ("USD", 3, True, True), ("EUR", 0, True, True),
+    ]
+    assert [r.amount_usd_cents for r in got] == [133694, 152055720, None, 120000, 10834]
+
+
+UNITS = {
+    "mass": {"kg": 1.0, "g": 0.001, "lb": 0.45359237},
+    "density": {"kg/m3": 1.0, "g/cm3": 1000.0},
+    "volume": {"m3": 1.0, "l": 0.001, "gal": 0.003785411784},
+}
+MASS = [{"mass": 1, "density": -1, "volume": -1}]
+
+
+def test_units_of_each_source_from_mass_density_and_volume(spark):
+    import math
+    import random
+
+    from folioforge.operators.units import Quantity, to_common_units, unit_solutions
+
+    rng = random.Random(4)
+    quantities = [Quantity(c, u) for c, u in UNITS.items()]
+    sources = {"a": ("kg", "kg/m3", "m3"), "b": ("lb", "g/cm3", "gal"), "c": ("g", "g/cm3", "l"), "d": ("kg", "kg/m3", "gal")}
+    rows, true = [], []
+    for n in range(2000):
+        s = "a" if n % 3 == 0 else rng.choice("abcd")  # a third of the rows and more from one source
+        volume, density = rng.uniform(0.01, 5), rng.uniform(600, 2000)
+        mass = volume * density * rng.uniform(0.99, 1.01)
+        u = sources[s]
+        rows.append((n, s, mass / UNITS["mass"][u[0]], density / UNITS["density"][u[1]], volume / UNITS["volume"][u[2]]))
+        true.append((mass, volume))
+    rows += [(2000, "e", None, 1.0, 2.0), (2001, "a", 0.0, 1.0, 1.0), (2002, None, 1.0, 2.0, 0.5), (2003, "f", 1.0, 7.0, 31.0)]
+    df = spark.createDataFrame(rows, "n int, source string, mass double, density double, volume double")
+
+    def brute(s):
+        costs = []
+        for m, fm in UNITS["mass"].items():
+            for d, fd in UNITS["density"].items():
+                for v, fv in UNITS["volume"].items():
+                    logs = [abs(math.log(r[2] * fm / (r[3] * fd * r[4] * fv))) for r in rows if r[1] == s and all(x and x > 0 for x in r[2:])]
+                    costs.append((sum(logs) / len(logs), (m, d, v)))
+        return sorted(costs)
+
+    got = {r.source: r for r in unit_solutions(df, "source", quantities, MASS).collect()}
+    for s in "abcdf":
+        want = brute(s)
+        assert abs(got[s].residual - want[0][0]) < 1e-6 and got[s].unique == (want[0][0] <= 0.05 and want[1][0] - want[0][0] > 0.05)
+    assert (got["b"].unit_mass, got["b"].unit_density, got["b"].unit_volume) == sources["b"] and got["b"].unique
+    assert not got["a"].unique and not got["c"].unique  # kg, kg/m3, m3 and g, g/cm3, l and others have the same residuals
+    assert got["e"].unit_mass is None and not got["e"].unique and not got["f"].unique
+    out = {r.n: r for r in to_common_units(df, "source", quantities, MASS).collect()}
+    assert len(out) == len(rows) and all(out[n].units_unique == (rows[n][1] in "bd" and got[rows[n][1]].unique) for n in range(2000))
+    assert all(abs(out[n].mass_common / true[n][0] - 1) < 1e-9 and abs(out[n].volume_common / true[n][1] - 1) < 1e-9 for n in range(2000) if rows[n][1] == "b")
+    assert unit_solutions(df.limit(0), "source", quantities, MASS).count() == 0
