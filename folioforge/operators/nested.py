@@ -5,8 +5,15 @@ way an element is nested in another. Following the shared-inlining scheme for
 semi-structured data, a node becomes a table of its own when it is the root,
 repeated (array or keyed map), shared by several parents, or recursive; every
 other node is a singleton descendant and is inlined into the columns of the
-nearest table above it. Each row keeps the record id, its own key, and its
-parent's key as a foreign key.
+nearest table above it. Each row keeps the record id, its own key path, and its
+parent's key path as a foreign key.
+
+The graph comes from the data: `schema_graph` walks all records and adds every
+nesting that occurs to the declared edges, which say what the data alone can't
+(where an array is expected though single elements stand there, which objects
+are maps whose names are data, what a shared or recursive element is called). An
+element named like one that encloses it is the same element, so undeclared
+recursion ends; an object with MAP_FROM names or more is a map.
 
 Defined results: a null, blank, ``null`` or ``{}`` column gives no rows; a
 column that is not valid JSON (RFC 8259) gives one row of the table
@@ -27,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ONE, MANY, KEYED = "one", "many", "keyed"
+MAP_FROM = 256  # names from which an undeclared object is a map
 
 
 @dataclass(frozen=True)
@@ -154,6 +162,84 @@ def observed_edges(df: DataFrame, column: str, root: str, keyed: Iterable[str] =
     return df.select(F.col(column)).mapInArrow(scan, "parent string, name string, how string").distinct()
 
 
+Declared = dict[str, tuple[str, list[Edge], str]]
+
+
+def schema_graph(df: DataFrame, declared: Declared) -> Declared:
+    """The declared graphs of some JSON columns with every nesting that occurs in them.
+
+    declared: source -> (column, edges, root), as the result. One pass over the records finds the edges of
+    all columns, one more where it finds a map; what comes to the driver are the names of the schema.
+    """
+    maps: dict[str, set[str]] = {name: {e.child for e in edges if e.how == KEYED} for name, (_, edges, _) in declared.items()}
+    known = {name: {(e.parent, e.name): e for e in edges} for name, (_, edges, _) in declared.items()}
+    inside = {name: {e.parent for e in edges} | {root} for name, (_, edges, root) in declared.items()}
+    names = list(declared)
+    columns = df.select(*(F.col(declared[n][0]).cast("string").alias(f"_{i}") for i, n in enumerate(names)))
+
+    def walk(value: object, node: str, above: tuple[tuple[str, str], ...], into: set, source: str) -> None:
+        value = opened(value)
+        if isinstance(value, list):
+            for x in value:
+                walk(x, node, above, into, source)
+        elif isinstance(value, dict):
+            for name, x in value.items():
+                x = opened(x)
+                nested = isinstance(x, (dict, list))
+                if node in maps[source] and node not in inside[source]:
+                    # an undeclared map: its elements are one node
+                    if nested:
+                        walk(x, f"{node}.*", above, into, source)
+                    continue
+                e = known[source].get((node, name))
+                if e is not None:
+                    child, how = e.child, e.how
+                elif nested:
+                    child = next((n for step, n in above if step == name), f"{node}.{name}")
+                    how = MANY if isinstance(x, list) else ONE
+                    into.add((source, node, name, child, how))
+                if not nested:
+                    continue
+                below = (*above, (name, child))
+                if e is not None and e.how == KEYED and isinstance(x, dict):
+                    for y in x.values():
+                        walk(y, child, below, into, source)
+                else:
+                    walk(x, child, below, into, source)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str, str, str, str]] = set()
+        for b in batches:
+            for i, source in enumerate(names):
+                for text in b.column(i).to_pylist():
+                    value, ok = read_json(text)
+                    if ok and isinstance(value, dict):
+                        walk(value, declared[source][2], (), seen, source)
+        rows = sorted(seen)
+        yield pa.RecordBatch.from_arrays([_strings([r[i] for r in rows]) for i in range(5)], ["source", "parent", "name", "child", "how"])
+
+    while True:
+        edges = columns.mapInArrow(scan, "source string, parent string, name string, child string, how string").distinct()
+        # names of one object beyond MAP_FROM stay on the executors
+        few = edges.groupBy("source", "parent").agg(F.slice(F.array_sort(F.collect_set(F.struct("name", "child", "how"))), 1, 2 * MAP_FROM).alias("e"), F.count_distinct("name").alias("n")).collect()
+        found = {(r["source"], r["parent"]) for r in few if r["n"] >= MAP_FROM}
+        if not found:
+            break
+        for source, node in found:
+            maps[source].add(node)
+    out: Declared = {}
+    for name, (column, edges, root) in declared.items():
+        merged = {(e.parent, e.name): e for e in edges}
+        for r in few:
+            if r["source"] == name:
+                for x in r["e"]:
+                    old = merged.get((r["parent"], x["name"]))
+                    how = MANY if old is not None and MANY in (old.how, x["how"]) else x["how"]
+                    merged[r["parent"], x["name"]] = Edge(r["parent"], x["name"], x["child"], KEYED if x["child"] in maps[name] else how)
+        out[name] = column, list(merged.values()), root
+    return out
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
@@ -233,13 +319,29 @@ def _scalars(value: object, steps: tuple[str, ...], plan: TablePlan, into: dict[
             into[".".join((*steps, k))] = x if isinstance(x, str) else json.dumps(x)
 
 
-def shred(df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id", with_values: bool = True, with_root: bool = False) -> DataFrame:
+def _maps(rows: list[list[tuple[str, str]]]) -> pa.Array:
+    kind = pa.map_(pa.string(), pa.string())
+    try:
+        return pa.array(rows, kind)
+    except UnicodeEncodeError:
+        return pa.array([[(k.encode("utf-8", "replace").decode(), v.encode("utf-8", "replace").decode()) for k, v in kv] for kv in rows], kind)
+
+
+def _pointer(key: str) -> str:
+    """A key as a part of a path."""
+    return key.replace("~", "~0").replace("/", "~1") if "/" in key or "~" in key else key
+
+
+def shred(
+    df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id", with_values: bool = True, with_root: bool = False, only: str | None = None
+) -> DataFrame:
     """All tables of some JSON columns as one stream of element rows, in one pass over the records.
 
     plans: source name -> (JSON column, its plan). Columns of the result: the key, source_column,
-    child_path (the table), parent_key, child_key, key_path (all keys from the root; with it and the
-    record's key every row has a unique name and a foreign key), values (inlined columns).
+    child_path (the table), parent_key, child_key, parent_path, key_path (all keys from the root, as in JSON
+    pointers; with the record's key they are the row's name and foreign key), values (inlined columns).
     with_root: a row of the table '' too for each non-empty object of a column, with what the root inlines.
+    only: the one table that is wanted; what doesn't lead to it isn't walked.
     """
     names = list(plans)
     trees = [plans[n][1] for n in names]
@@ -249,48 +351,52 @@ def shred(df: DataFrame, plans: dict[str, tuple[str, TablePlan]], key: str = "id
             if c.recursive_to is not None:
                 c = _again(c, trees)
             at = ".".join(c.steps) if not path else f"{path}.{'.'.join(c.steps)}"
+            if only is not None and only != at and not only.startswith(at + "."):
+                continue
             for k, x in _elements(_at(value, c.steps), c.how):
-                emit(at, parent, k, (*keys, k), x, c)
+                if only is None or only == at:
+                    emit(at, parent, k, keys, k, x, c)
                 if c.children:
-                    rows_of(x, c, at, k, (*keys, k), emit)
+                    rows_of(x, c, at, k, (*keys, _pointer(k)), emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, src, path, parent, child, full, values = [], [], [], [], [], [], []
+            ids, src, path, parent, child, above, full, values = [], [], [], [], [], [], [], []
             take = b.column(0).to_pylist()
             for j, (name, tree) in enumerate(zip(names, trees)):
                 for i, text in enumerate(b.column(j + 1).to_pylist()):
                     value, ok = read_json(text)
 
-                    def emit(at, up, k, keys, x, c, record=take[i]):
+                    def emit(at, up, k, keys, own, x, c, record=take[i], name=name):
                         ids.append(record)
                         src.append(name)
                         path.append(at)
                         parent.append(up)
                         child.append(k)
                         if with_values:
-                            full.append("/".join(keys))
+                            above.append("/".join(keys))
+                            full.append("/".join((*keys, _pointer(own))) if own else "")
                             into: dict[str, str] = {}
                             _scalars(x, (), c, into)
                             values.append(list(into.items()))
 
                     if not ok:
-                        emit("unparseable", "", "", (), None, tree)
+                        if only is None:
+                            emit("unparseable", "", "", (), "", None, tree)
                     elif isinstance(value, dict):
-                        if with_root and value:
-                            emit("", "", "", (), value, tree)
+                        if (with_root or only == "") and value:
+                            emit("", "", "", (), "", value, tree)
                         rows_of(value, tree, "", "", (), emit)
             arrays = [pa.array(ids, b.schema.field(0).type), *(_strings(x) for x in (src, path, parent, child))]
             if with_values:
-                clean = [[(k.encode("utf-8", "replace").decode(), v.encode("utf-8", "replace").decode()) for k, v in kv] for kv in values]
-                arrays += [_strings(full), pa.array(clean, pa.map_(pa.string(), pa.string()))]
+                arrays += [_strings(above), _strings(full), _maps(values)]
             yield pa.RecordBatch.from_arrays(arrays, cols)
 
     kind = df.schema[key].dataType.simpleString()
-    cols = [key, "source_column", "child_path", "parent_key", "child_key"] + (["key_path", "values"] if with_values else [])
+    cols = [key, "source_column", "child_path", "parent_key", "child_key"] + (["parent_path", "key_path", "values"] if with_values else [])
     schema = f"`{key}` {kind}, source_column string, child_path string, parent_key string, child_key string"
     if with_values:
-        schema += ", key_path string, values map<string,string>"
+        schema += ", parent_path string, key_path string, values map<string,string>"
     return df.select(key, *(F.col(plans[n][0]).cast("string").alias(f"_{i}") for i, n in enumerate(names))).mapInArrow(run, schema)
 
 
@@ -386,6 +492,36 @@ def record_plans() -> dict[str, tuple[str, TablePlan]]:
     return {name: (column, analyse(edges, root)) for name, (column, edges, root) in RECORD_GRAPH.items()}
 
 
-def record_elements(doc_records: DataFrame, with_values: bool = True, with_root: bool = False) -> DataFrame:
-    """Every nested element of the document register, with its parent and record."""
-    return shred(doc_records, record_plans(), "id", with_values, with_root)
+def observed_plans(doc_records: DataFrame, sources: Iterable[str] | None = None) -> dict[str, tuple[str, TablePlan]]:
+    """The plans of the register's columns by the nesting that its records have, beside the declared one."""
+    declared = {n: g for n, g in RECORD_GRAPH.items() if sources is None or n in sources}
+    return {name: (column, analyse(edges, root)) for name, (column, edges, root) in schema_graph(doc_records, declared).items()}
+
+
+def record_elements(doc_records: DataFrame, with_values: bool = True, with_root: bool = False, observed: bool = False) -> DataFrame:
+    """Every nested element of the document register, with its parent and record; observed: by the graph of the data, else by the declared one."""
+    plans = observed_plans(doc_records) if observed else record_plans()
+    return shred(doc_records, plans, "id", with_values, with_root)
+
+
+def table_elements(doc_records: DataFrame, source: str, path: str) -> DataFrame:
+    """The elements of one table; only its column is read, and only the way to it is walked."""
+    return shred(doc_records, observed_plans(doc_records, [source]), "id", only=path)
+
+
+def write_tables(elements: DataFrame, folder: str) -> DataFrame:
+    """Writes all tables below a folder, a part for each table; every row has its name (id, key_path) and foreign key (id, parent_path).
+
+    The result lists them: (source_column, child_path, n, columns).
+    """
+    spark = elements.sparkSession
+    path = F.when(F.col("child_path") == "", "_root").otherwise(F.col("child_path"))
+    elements.withColumn("child_path", path).write.partitionBy("source_column", "child_path").parquet(folder)
+    return inventory(spark.read.parquet(folder))
+
+
+def inventory(elements: DataFrame) -> DataFrame:
+    """(source_column, child_path, n, columns): the tables that there are, with the columns that occur."""
+    key = ["source_column", "child_path"]
+    columns = elements.select(*key, F.explode(F.map_keys("values")).alias("c")).distinct().groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("c")), ",").alias("columns"))
+    return elements.groupBy(*key).agg(F.count("*").alias("n")).join(columns, key, "left").select(*key, "n", F.coalesce("columns", F.lit("")).alias("columns"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators.nested import observed_edges, observed_table, record_elements
+from folioforge.operators.nested import inventory, observed_edges, observed_table, record_elements, record_plans, table_elements
 from folioforge.operators.units import normalise_amounts
 from folioforge.plans.registry import Registry
 from folioforge.session import table
@@ -13,9 +13,26 @@ from folioforge.session import table
 registry = Registry()
 
 
+def _paths(plan, path: str = "") -> list[str]:
+    out = []
+    for c in plan.children:
+        at = f"{path}.{'.'.join(c.steps)}".strip(".")
+        out += [at, *_paths(c, at)]
+    return out
+
+
 @registry.query("p1_found")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return record_elements(table(spark, sf, "doc_records"), with_values=False)
+    """The links of the tables that the problem lists, out of the whole tables that the data have."""
+    elements = record_elements(table(spark, sf, "doc_records"), observed=True)
+    listed = [f"{source} {path}" for source, (_, plan) in record_plans().items() for path in [*_paths(plan), "unparseable"]]
+    return elements.filter(F.concat_ws(" ", "source_column", "child_path").isin(listed)).select("id", "source_column", "child_path", "parent_key", "child_key")
+
+
+@registry.query("p1_tables")
+def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables that the records shed, with their columns."""
+    return inventory(record_elements(table(spark, sf, "doc_records"), with_root=True, observed=True))
 
 
 # The other tables of the records: query -> (source, table, SQL types of columns that aren't strings).
@@ -47,7 +64,7 @@ def _register(name: str, source: str, path: str, kinds: dict[str, str]) -> None:
     @registry.query(name)
     def flat(spark: SparkSession, sf: str) -> DataFrame:
         """A flat table of the records, with every column that occurs."""
-        return observed_table(record_elements(table(spark, sf, "doc_records"), with_root=path == ""), source, path, kinds)
+        return observed_table(table_elements(table(spark, sf, "doc_records"), source, path), source, path, kinds)
 
 
 for _name, _table in TABLES.items():

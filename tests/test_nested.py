@@ -107,3 +107,39 @@ def test_every_table_of_the_plan_is_registered():
 
     want = {(source, p) for source, (_, plan) in n.record_plans().items() for p in paths(plan)}
     assert {(s, p) for s, p, _ in TABLES.values()} == want
+
+
+def test_a_new_array_becomes_a_table_without_a_change_of_code(spark, tmp_path):
+    e = json.dumps({"approvals": [{"by": "x", "steps": [{"n": 1}, {"n": 2}]}, None], "origin": {"host": {"name": "h"}}, "fields": {"a/b~c": {"history": ["u", "v"]}}})
+    v = json.dumps({"parts": [{"name": "p", "parts": [{"name": "q", "parts": {"name": "r"}}]}]})
+    df = spark.createDataFrame([(1, e, v, None, "", "")], SCHEMA)
+    every = n.record_elements(df, observed=True, with_root=True).collect()
+    rows = {(r.child_path, r.parent_path, r.key_path): dict(r["values"]) for r in every if (r.source_column, r.child_path) != ("validation", "")}
+    assert rows["approvals.steps", "0", "0/1"] == {"n": "2"} and rows["approvals", "", "0"] == {"by": "x"}
+    assert rows["fields.history", "a~1b~0c", "a~1b~0c/1"] == {"value": "v"}
+    assert rows["", "", ""]["origin.host.name"] == "h"  # singletons are inlined
+    assert [k for k in rows if k[0].startswith("parts")] == [("parts", "", "0"), ("parts.parts", "0", "0/0"), ("parts.parts.parts", "0/0", "0/0/0")]
+    assert not any(p.startswith(("approvals", "parts")) for p in {r.child_path for r in n.record_elements(df).collect()})
+    listed = {(r.source_column, r.child_path): (r.n, r.columns) for r in n.write_tables(n.record_elements(df, observed=True), str(tmp_path / "t")).collect()}
+    assert listed["extracted", "approvals.steps"] == (2, "n")
+    # every foreign key has its row
+    t = spark.read.parquet(str(tmp_path / "t"))
+    keys = {(r.source_column, r.key_path) for r in t.collect()}
+    assert all(r.parent_path == "" or (r.source_column, r.parent_path) in keys for r in t.collect())
+
+
+def test_an_object_with_many_names_is_a_map(spark):
+    e = json.dumps({"prices": {f"item {i}": {"low": i} for i in range(400)}})
+    df = spark.createDataFrame([(1, e, None, None, "", "")], SCHEMA)
+    rows = n.record_elements(df, observed=True).collect()
+    assert len(rows) == 400 and {r.child_path for r in rows} == {"prices"}
+
+
+def test_one_table_alone_equals_its_part_of_all(spark, sf):
+    docs = spark.read.parquet(f"{sf}/doc_records.parquet")
+    every = n.record_elements(docs, observed=True, with_root=True)
+    for source, path in (("extracted", "line_items.taxes"), ("anomaly", "anomalies.details.evidence"), ("validation", "")):
+        cols = ["id", "child_key", "parent_path", "key_path", "values"]
+        want = every.filter((every.source_column == source) & (every.child_path == path)).select(*cols).collect()
+        got = n.table_elements(docs, source, path).select(*cols).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and got
