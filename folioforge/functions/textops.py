@@ -99,6 +99,15 @@ def reduction(raw: Column, cleaned: Column) -> Column:
     return F.when(n > 0, F.bround((n - F.length(F.coalesce(cleaned, F.lit("")))) * 100.0 / n, 1)).otherwise(F.lit(0.0))
 
 
+def cleaning_summary(raw: Column, cleaned: Column) -> Column:
+    """struct(raw_chars, clean_chars, raw_words, clean_words, removed_chars, reduction): what cleaning did."""
+    a, b = F.coalesce(raw, F.lit("")), F.coalesce(cleaned, F.lit(""))
+    return F.struct(
+        F.length(a).alias("raw_chars"), F.length(b).alias("clean_chars"), token_count(a).alias("raw_words"), token_count(b).alias("clean_words"),
+        (F.length(a) - F.length(b)).alias("removed_chars"), reduction(a, b).alias("reduction"),
+    )
+
+
 def sentences(c: Column) -> Column:
     """Parts after a point, question or exclamation mark or a line end that white space follows."""
     return F.filter(F.split(c, r"(?<=[.!?\n])\s+"), lambda x: F.trim(x) != "")

@@ -42,3 +42,13 @@ def packed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def packed_chunks(df: DataFrame, text: str, key: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     return df.select(key, F.posexplode(packed(F.col(text), size, overlap)).alias("chunk_index", "chunk_text")).withColumn("token_count", token_count(F.col("chunk_text")))
+
+
+def packed_pages(df: DataFrame, pages: str, key: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, chunk_index, page_number, chunk_text, token_count): each page of an array packed on its own, the counter runs on over the pages.
+
+    Pages without text give no chunk but count as pages.
+    """
+    made = F.transform(F.col(pages), lambda p, i: F.transform(packed(p, size, overlap), lambda c: F.struct((i + 1).alias("page_number"), c.alias("chunk_text"))))
+    flat = df.select(key, F.posexplode(F.flatten(made)).alias("chunk_index", "c")).select(key, "chunk_index", "c.page_number", "c.chunk_text")
+    return flat.withColumn("token_count", token_count(F.col("chunk_text")))

@@ -1,4 +1,4 @@
-"""Trained classifiers on TF-IDF features: logistic regression, naive Bayes, calibrated linear SVM; random forest."""
+"""Trained classifiers on TF-IDF features of words and word pairs (1 + ln(count), rows of length one): logistic regression, naive Bayes, calibrated linear SVM; random forest."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,31 @@ from folioforge.session import stored
 #: At most so many terms, the most frequent ones, are features of a text.
 VOCABULARY = 10_000
 
+#: Tasks that the bounded rows of a training set are read in.
+TRAIN_TASKS = 2
+
+
+def _few_tasks(bounded: DataFrame) -> DataFrame:
+    """At most TRAIN_ROWS rows in few tasks, as learning makes many passes."""
+    return bounded.coalesce(TRAIN_TASKS)
+
+
 #: Machines that learn at the same time.
 MACHINES_AT_ONCE = 4
 
 
+class Sublinear(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts of terms to 1 + ln(count), as vectors of the same terms."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        # no built-in function reaches the values of a sparse vector, and dense ones have VOCABULARY values a row
+        @F.udf(VectorUDT())
+        def damped(v):
+            return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+        return df.withColumn("_log_counts", damped("_counts"))
+
+
 def features(text: str, label: str, least: int = 2) -> list:
     """Stages from text to term weights of words and word pairs that stand in at least so many texts."""
     return [
@@ -34,7 +56,9 @@ def features(text: str, label: str, least: int = 2) -> list:
         NGram(n=2, inputCol="_w1", outputCol="_w2"),
         SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=VOCABULARY, minDF=least),
-        IDF(inputCol="_counts", outputCol="features"),
+        Sublinear(),
+        IDF(inputCol="_log_counts", outputCol="_weights"),
+        Normalizer(inputCol="_weights", outputCol="features", p=2.0),
     ]
 
 
@@ -97,7 +121,7 @@ class CalibratedSVM(Estimator):
         rows = df.select(F.col("label").alias("label", metadata={}), "features", key.alias("_key"))
         rows = stored(folds(rows, "label", "_key", self.parts).select("label", "features", "fold"), "parts")
         classes = int(rows.agg(F.max("label")).first()[0]) + 1
-        rows = rows.coalesce(2).persist()
+        rows = _few_tasks(rows).persist()
 
         def fit(at: tuple[int, int]) -> LinearSVCModel:
             learn = rows.filter(F.col("fold") != at[0]).withColumn("label", (F.col("label") == at[1]).cast("double"))
@@ -191,7 +215,8 @@ def train_all(df: DataFrame, text: str, label: str) -> dict[str, tuple[PipelineM
     """Every model, with the feature stages that all share; features are computed once and kept in the shared folder."""
     prepared = Pipeline(stages=features(text, label)).fit(df)
     ready = prepared.transform(df).select("label", "features", F.md5(F.col(text)).alias("_key")).orderBy("_key").limit(TRAIN_ROWS)
-    ready = stored(ready.coalesce(2), "features")
+    # a bounded sample, so a few tasks hold it; the features before it are computed in as many as the corpus has
+    ready = _few_tasks(stored(ready, "features"))
     return {name: (m.fit(ready), prepared) for name, m in models().items()}
 
 
@@ -228,3 +253,16 @@ def forest(df: DataFrame, inputs: list[str], label: str, trees: int = 50, seed:
     """A random forest on numbers, and its feature importances, greatest first."""
     m = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)]).fit(df)
     return m, sorted(zip(inputs, m.stages[-1].featureImportances.toArray().tolist()), key=lambda x: -x[1])
+
+
+def flowers() -> list[tuple[float, float, float, float, int]]:
+    """A stand-in for the public table of iris flowers: 50 of each class, drawn around the classes' published means with a fixed seed."""
+    # Means and deviations of sepal length and width, petal length and width of each class.
+    means = [(5.006, 3.428, 1.462, 0.246), (5.936, 2.770, 4.260, 1.326), (6.588, 2.974, 5.552, 2.026)]
+    spread = [(0.352, 0.379, 0.174, 0.105), (0.516, 0.314, 0.470, 0.198), (0.636, 0.322, 0.552, 0.275)]
+    rng = np.random.default_rng(42)
+    return [(*np.round(rng.normal(m, s), 1).tolist(), k) for k, (m, s) in enumerate(zip(means, spread)) for _ in range(50)]
+
+
+FLOWERS = "sepal_length double, sepal_width double, petal_length double, petal_width double, target int"
+FLOWER_NAMES = {0: "setosa", 1: "versicolor", 2: "virginica"}

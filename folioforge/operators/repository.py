@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.textops import excerpt, percent
+from folioforge.functions.textops import excerpt, parse_numeric, percent
+from folioforge.session import stored
 
 STATUSES = ["New", "Processing", "Needs Review", "Approved", "Rejected", "Completed", "Failed"]
 CATEGORIES = ["Invoice", "Resume", "Contract", "Other"]
 SEARCHED = ["original_filename", "company", "invoice_number", "total_amount", "text_preview"]
 PLACEHOLDERS = ["", "-", "n/a", "not found", "not specified"]
 
+#: What the earlier stages search in.
+SEARCHED_FIFTH = ["original_filename", "company", "invoice_number", "document_type", "text_preview", "review_reason"]
+SEARCHED_FOURTH = ["original_filename", "stored_filename", "company", "invoice_number", "document_type", "text_preview", "extracted_json"]
 # Sort orders of the search; what is not listed sorts as newest.
 SORTS: dict[str, list[Column] | None] = {
     "newest": None,
@@ -21,6 +25,11 @@ SORTS: dict[str, list[Column] | None] = {
     "status": ["status", "-upload_date", "id"],
     "confidence_asc": ["confidence", "id"],
     "confidence_desc": ["-confidence", "id"],
+    "newest_upload": ["-upload_date", "-id"],
+    "oldest_upload": ["upload_date", "id"],
+    "filename": ["original_filename", "id"],
+    "company": ["company", "id"],
+    "type": ["document_type", "-upload_date", "id"],
 }
 
 
@@ -50,8 +59,11 @@ def requested(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str = "", status: str = "All", kind: str = "All", since: str | None = None, until: str | None = None, sort: str = "newest",
-           limit: int | None = None, offset: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """Any of the searched columns contains the query (% and _ are wild); other conditions hold where they are set."""
+           limit: int | None = None, offset: int = 0, columns: list[str] | None = None, lexical: bool = False) -> DataFrame:
+    """Any of the searched columns contains the query (% and _ are wild); other conditions hold where they are set.
+
+    lexical: times are compared as texts to the second, as the fourth stage does, so one within the last second of the day is later.
+    """
     df = docs
     if query.strip():
         hit = F.lit(False)
@@ -62,6 +74,13 @@ def search(docs: DataFrame, query: str = "", status: str = "All", kind: str = "A
         df = df.filter(F.col("status") == status)
     if kind != "All":
         df = df.filter(F.col("document_type") == kind)
+    if lexical:
+        at = F.date_format("upload_date", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        if since:
+            df = df.filter(at >= f"{since} 00:00:00")
+        if until:
+            df = df.filter(F.regexp_replace(at, r"\.?0*$", "") <= f"{until} 23:59:59")
+        since = until = None
     if since:
         df = df.filter(F.col("upload_date") >= F.to_date(F.lit(since)).cast("timestamp_ntz"))
     if until:
@@ -72,12 +91,44 @@ def search(docs: DataFrame, query: str = "", status: str = "All", kind: str = "A
     return df if limit is None else df.limit(limit)
 
 
+def search_with_latest(docs: DataFrame, audit: DataFrame, **conditions) -> DataFrame:
+    """search, each document with its latest action and the time of it; conditions as those of search.
+
+    The page comes first, so only its documents' events are looked at.
+    """
+    conditions = {"columns": SEARCHED_FIFTH, "sort": "newest_upload", "limit": 100} | conditions
+    page = search(docs, **conditions)
+    wanted = page.select(F.col("id").alias("document_id"))
+    last = latest_action(audit.join(wanted, "document_id", "left_semi")).select(F.col("document_id").alias("id"), F.col("action").alias("latest_action"), F.col("logged_at").alias("latest_action_time"))
+    return page.join(last, "id", "left")
+
+
+def in_states(docs: DataFrame, states: list[str]) -> DataFrame:
+    """Documents in one of the states; all where none is named."""
+    return docs.filter(F.col("status").isin(states)) if states else docs
+
+
 def with_anomalies(docs: DataFrame) -> DataFrame:
     """Documents whose report says that it has anomalies."""
     return docs.filter(F.coalesce(F.get_json_object("anomaly_json", "$.has_anomalies"), F.lit("false")) == "true")
 
 
-def chunks_of_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def all_documents(docs: DataFrame) -> DataFrame:
+    return docs.orderBy(F.desc("id"))
+
+
+def chunks_of_document(chunks: DataFrame, key: int) -> DataFrame:
+    """The chunks of one document in order; repeated rows once."""
+    return chunks.filter(F.col("document_id") == key).dropDuplicates(["id"]).orderBy("chunk_index", "id")
+
+
+def chunks_of_documents(chunks: DataFrame, docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """Chunks with their document's name and type; ordered: by document and index."""
+    out = _chunks_of_documents(chunks, docs)
+    return out.orderBy("document_id", "chunk_index", "id") if ordered else out
+
+
+def _chunks_of_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs.select(F.col("id").alias("document_id"), "original_filename", "document_type"), "document_id")
 
 
@@ -130,6 +181,60 @@ def repeated_identifiers(docs: DataFrame) -> DataFrame:
     return known.join(groups, "invoice_number").filter((F.col("id") > F.col("first_id")) & (F.col("file_hash") != F.col("first_hash"))).select("id", "invoice_number", "first_id", "documents")
 
 
+#: Documents of a group whose ids are written in one line; larger groups stand in repeated_identifiers, a row for each document.
+LISTED = 1000
+
+
+def repeated_groups(docs: DataFrame, most: int = LISTED) -> DataFrame:
+    """(invoice_number, documents, first_id, ids): each number that several documents have; ids joined by ', ', null in groups of more than `most`."""
+    known = docs.filter(~F.lower(F.trim(F.coalesce("invoice_number", F.lit("")))).isin(PLACEHOLDERS)).select("id", "invoice_number").distinct()
+    groups = known.groupBy("invoice_number").agg(F.count("*").alias("documents"), F.min("id").alias("first_id")).filter("documents > 1")
+    few = known.join(groups.filter(F.col("documents") <= most).select("invoice_number"), "invoice_number", "left_semi")
+    listed = few.groupBy("invoice_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ", ").alias("ids"))
+    return groups.join(listed, "invoice_number", "left")
+
+
+#: How far subtotal and tax may be from the total.
+TOLERANCE = 0.05
+
+
+def arithmetic(values: Column) -> Column:
+    """struct(subtotal, tax, total, expected, discrepancy, mismatch) of a flat map of values; null where one of the numbers is missing."""
+    n = {k: parse_numeric(F.try_element_at(values, F.lit(k))) for k in ("subtotal", "tax", "total_amount")}
+    expected = n["subtotal"] + n["tax"]
+    gap = F.abs(expected - n["total_amount"])
+    return F.when(
+        gap.isNotNull(),
+        F.struct(
+            n["subtotal"].alias("subtotal"), n["tax"].alias("tax"), n["total_amount"].alias("total"), expected.alias("expected"),
+            F.bround(gap, 2).alias("discrepancy"), (gap > TOLERANCE).alias("mismatch"),
+        ),
+    )
+
+
+def flat_values(docs: DataFrame, column: str = "extracted_json") -> Column:
+    """The flat values of a document's extraction as a map; null where the column isn't valid JSON or has none."""
+    valid = F.try_parse_json(column).isNotNull()
+    return F.when(valid, F.from_json(F.get_json_object(column, "$.flat_values"), "map<string,string>"))
+
+
+def arithmetic_checks(docs: DataFrame) -> DataFrame:
+    """(id, subtotal, tax, total, expected, discrepancy, mismatch) of the invoices that state all three numbers."""
+    checked = docs.filter("document_type = 'Invoice'").select("id", arithmetic(flat_values(docs)).alias("a"))
+    return checked.filter("a IS NOT NULL").select("id", "a.*")
+
+
+SEVERITIES = ["HIGH", "MEDIUM", "LOW"]
+
+
+def highest_severity(severities: Column) -> Column:
+    """The highest of an array of severities, NONE of an empty or null one."""
+    out = F.lit("NONE")
+    for s in reversed(SEVERITIES):
+        out = F.when(F.array_contains(F.coalesce(severities, F.array().cast("array<string>")), s), F.lit(s)).otherwise(out)
+    return out
+
+
 def duplicates_by_hash(docs: DataFrame) -> DataFrame:
     """(id, first_id): documents whose file was stored before."""
     known = docs.filter(F.coalesce(F.trim("file_hash"), F.lit("")) != "").select("id", "file_hash")
@@ -166,11 +271,52 @@ def update(docs: DataFrame, changes: DataFrame, columns: list[str], blank_keeps:
     return j.select(*docs.columns)
 
 
+#: What the final stage writes where an edit names no value.
+EDIT_DEFAULTS = {"company": "Not Found", "invoice_number": "Not Found", "total_amount": "Not Found", "extracted_json": "{}"}
+
+
+def overwrite(docs: DataFrame, changes: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Changed documents get every one of the columns anew: the value of changes, else the default."""
+    defaults = defaults or EDIT_DEFAULTS
+    given = [F.coalesce(F.col(c), F.lit(d)).alias(f"_new_{c}") if c in changes.columns else F.lit(d).alias(f"_new_{c}") for c, d in defaults.items()]
+    j = docs.join(changes.select("id", *given, F.lit(True).alias("_changed")), "id", "left")
+    return j.select(*(F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in defaults else F.col(c) for c in docs.columns))
+
+
+def batch_outcomes(results: DataFrame) -> DataFrame:
+    """One row of (submitted, successes, failures, duplicates, total_ms, avg_ms) of (success, is_duplicate, processing_time_ms)."""
+    again, good = F.coalesce("is_duplicate", F.lit(False)), F.coalesce("success", F.lit(False))
+    total = F.coalesce(F.sum("processing_time_ms"), F.lit(0.0))
+    return results.agg(
+        F.count("*").alias("submitted"), F.count_if(good & ~again).alias("successes"), F.count_if(~good & ~again).alias("failures"), F.count_if(again).alias("duplicates"),
+        F.bround(total, 2).alias("total_ms"), F.bround(total / F.greatest(F.count("*"), F.lit(1)), 2).alias("avg_ms"),
+    )
+
+
+def evaluation_counts(results: DataFrame) -> DataFrame:
+    """One row of (selected, processed, completed, review, rejected, failed) of (new_status, success)."""
+    good = F.coalesce("success", F.lit(False))
+    of = lambda s: F.count_if(good & (F.col("new_status") == s))
+    return results.agg(
+        F.count("*").alias("selected"), F.count_if(good).alias("processed"), of("Completed").alias("completed"), of("Needs Review").alias("review"),
+        of("Rejected").alias("rejected"), F.count_if(~good | (F.col("new_status") == "Failed")).alias("failed"),
+    )
+
+
+def batch_rows(results: DataFrame) -> DataFrame:
+    """What a batch's table shows of each file, with a default for what is missing."""
+    return results.select(
+        F.coalesce("original_filename", F.lit("N/A")).alias("filename"), "status", F.coalesce("document_type", F.lit("Unknown")).alias("type"), F.coalesce("processing_time_ms", F.lit(0.0)).alias("time_ms")
+    )
+
+
 def appended(docs: DataFrame, new: DataFrame) -> DataFrame:
     """New rows get ids after the greatest one, in the order of their hash; numbered over range partitions without a global window."""
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     cols = [c for c in docs.columns if c != "id"]
+    # numbered once, so both uses see the same partitions
     part = new.select(*cols).repartitionByRange("file_hash").sortWithinPartitions("file_hash").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    part = stored(part, "appended")
     sizes = part.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # a row for each partition
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_p", "_first", "_before")
@@ -179,13 +325,40 @@ def appended(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], SCHEMAS.get(schema, schema))
+
+
+#: The declared tables of the register.
+SCHEMAS = {
+    "documents": """id bigint, original_filename string, stored_filename string, document_type string, upload_date timestamp_ntz, company string, invoice_number string, total_amount string,
+        file_path string, text_preview string, file_hash string, status string, file_size bigint, mime_type string, confidence double, extracted_json string, validation_json string,
+        anomaly_json string, review_reason string, notes string, processing_time_ms double, stage_timings_json string, updated_at timestamp_ntz""",
+    "audit_log": "id bigint, document_id bigint, action string, previous_status string, new_status string, logged_at timestamp_ntz, reason string, performed_by string",
+    "rag_chunks": "id bigint, document_id bigint, chunk_index int, page_number int, chunk_text string, token_count int, created_at timestamp_ntz",
+}
+
+
+def has_anomalies(column: str = "anomaly_json") -> Column:
+    """Whether a report says that it has anomalies; false where it isn't valid JSON."""
+    valid = F.coalesce(F.try_parse_json(column).isNotNull(), F.lit(False))
+    return valid & (F.coalesce(F.get_json_object(column, "$.has_anomalies"), F.lit("false")) == "true")
+
+
+def dashboard(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """metrics with the documents that have anomalies and the number of chunks: one pass over either table, joined as two single rows."""
+    timed = docs.withColumn("_anomalous", has_anomalies())
+    more = timed.agg(F.count_if("_anomalous").alias("anomalies"), *metric_columns())
+    return more.join(chunks.agg(F.count_distinct("id").alias("chunks")))
 
 
 def metrics(docs: DataFrame) -> DataFrame:
     """All counters of the register in one pass."""
+    return docs.agg(*metric_columns())
+
+
+def metric_columns() -> list[Column]:
     timed = F.when(F.col("processing_time_ms") > 0, F.col("processing_time_ms"))
-    return docs.agg(
+    return [
         F.count("*").alias("documents"),
         *(F.count_if(F.col("status") == s).alias(s.lower().replace(" ", "_")) for s in STATUSES),
         F.coalesce(F.bround(F.avg(timed), 2), F.lit(0.0)).alias("avg_ms"),
@@ -193,7 +366,7 @@ def metrics(docs: DataFrame) -> DataFrame:
         F.coalesce(F.max(timed), F.lit(0.0)).alias("max_ms"),
         F.count_if((F.col("confidence") < 0.75) & F.col("confidence").isNotNull()).alias("low_confidence"),
         F.bround(F.avg("confidence"), 6).alias("avg_confidence"),
-    )
+    ]
 
 
 def counts_by(docs: DataFrame, column: str) -> DataFrame:
@@ -220,6 +393,62 @@ def display(docs: DataFrame) -> DataFrame:
     )
 
 
+def register_columns(kind: Column, values: Column) -> Column:
+    """struct(company, invoice_number, total_amount): what the register keeps of a document's values, by its type."""
+
+    def value(name: str, default: str) -> Column:
+        return F.coalesce(F.try_element_at(values, F.lit(name)), F.lit(default))
+
+    skills = value("skills", "Not Found")
+    by_type = {
+        "Invoice": (value("company", "Not Found"), value("invoice_number", "Not Found"), value("total_amount", "Not Found")),
+        "Resume": (value("name", "Not Found"), value("email", "Not Found"), excerpt_short(skills)),
+        "Contract": (value("contract_title", "Agreement"), value("governing_law", "General"), value("effective_date", "Not Found")),
+    }
+    other = (value("document_title", "General Document"), value("subject", "N/A"), value("date", "N/A"))
+
+    def column(i: int) -> Column:
+        out = other[i]
+        for k, v in by_type.items():
+            out = F.when(kind == k, v[i]).otherwise(out)
+        return out
+
+    return F.struct(column(0).alias("company"), column(1).alias("invoice_number"), column(2).alias("total_amount"))
+
+
+def display_with_latest(found: DataFrame) -> DataFrame:
+    """What the fifth stage's list shows of the result of search_with_latest."""
+    minute = lambda c: F.substring(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), 1, 16)
+    return found.select(
+        "id", "original_filename", "document_type", "status", F.coalesce(percent(F.col("confidence")), F.lit("N/A")).alias("confidence_text"), "company", "invoice_number", "total_amount",
+        minute("upload_date").alias("uploaded"), F.coalesce("latest_action", F.lit("N/A")).alias("latest_action"), F.coalesce(minute("latest_action_time"), F.lit("N/A")).alias("action_time"),
+    )
+
+
+# The colour of each action.
+ACTION_COLOURS = {
+    "UPLOAD": "#3b82f6", "PROCESS_START": "#6366f1", "OCR_PERFORMED": "#0ea5e9", "CLASSIFIED": "#8b5cf6", "EXTRACTED": "#a855f7", "VALIDATION_FAILED": "#f59e0b",
+    "ANOMALY_DETECTED": "#ef4444", "AUTO_DECISION": "#8b5cf6", "ROUTE_TO_REVIEW": "#f59e0b", "APPROVE": "#10b981", "REJECT": "#ef4444", "FIELD_EDIT": "#06b6d4",
+    "RAG_INDEXED": "#14b8a6", "COMPLETE": "#059669", "BATCH_PROCESS": "#ec4899",
+}
+NO_COLOUR = "#6b7280"
+
+
+def looked_up(c: Column, table: dict, default: str | None = None) -> Column:
+    """What a table of fixed values has for a key, else the default."""
+    found = F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), c)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def action_colour(action: Column) -> Column:
+    return looked_up(action, ACTION_COLOURS, NO_COLOUR)
+
+
+def named(df: DataFrame, code: str, names: DataFrame, as_name: str = "name") -> DataFrame:
+    """df with the name of each code out of (code, name); null for an unknown one."""
+    return df.join(names.select(F.col("code").alias(code), F.col("name").alias(as_name)), code, "left")
+
+
 def excerpt_short(c: Column) -> Column:
     return F.when(F.length(c) > 28, F.concat(F.substring(c, 1, 28), F.lit("..."))).otherwise(c)
 

@@ -2,7 +2,9 @@
 
 The weights are relational: terms are counted per chunk, inverse document
 frequencies come from all chunks, rows are scaled to length one. Questions are a
-stated, small set against all chunks; they meet on shared terms only.
+stated set against all chunks; they meet on shared terms only. A chunk's length
+needs all its terms, but is added up per chunk; of the terms themselves only
+those that occur in a question move, and scores are divided by the lengths last.
 """
 
 from __future__ import annotations
@@ -15,11 +17,20 @@ from folioforge.functions.textops import excerpt, sentences, word_set
 from folioforge.session import stored
 
 LEAST_SCORE, GROUNDED, TOP = 0.001, 0.15, 4
+FEATURES = 10_000  # terms that the reference's vocabulary is limited to
+NO_QUESTION = "Please provide a valid question."
 NO_ANSWER = "The documents hold no sufficient information on this question."
 # A short list of English words that carry no subject; the long list comes from Spark.
 SHORT_STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
 
 
+# Spark's English stop words, those of letters only.
+ENGLISH = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until
+while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now cannot could ought would""".split()
+
+
 def stop_words(df: DataFrame) -> list[str]:
     return [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha()]
 
@@ -56,16 +67,45 @@ def weights(counts: DataFrame, inverse: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("v") / F.col("norm")).alias("w"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, qkey: str, qtext: str, ckey: str, ctext: str, k: int = TOP, longest: int = 3, stops: list[str] | None = None) -> DataFrame:
-    """(qkey, ckey, score, place): of each question the k chunks of highest cosine, ties by chunk."""
+def vocabulary(counts: DataFrame, features: int) -> DataFrame:
+    """The terms that occur most often over all chunks, as many as features; ties by the term."""
+    uses = F.round(F.sum(F.exp(F.col("tf") - 1)))  # tf is 1 + ln(uses)
+    return counts.groupBy("term").agg(uses.alias("uses")).orderBy(F.desc("uses"), "term").limit(features).select("term")
+
+
+def retrieve(
+    questions: DataFrame,
+    chunks: DataFrame,
+    qkey: str,
+    qtext: str,
+    ckey: str,
+    ctext: str,
+    k: int = TOP,
+    longest: int = 3,
+    stops: list[str] | None = None,
+    features: int | None = None,
+    scope: str | None = None,
+) -> DataFrame:
+    """(qkey, ckey, score, place): of each question the k chunks of highest cosine, ties by chunk.
+
+    features: only so many of the most frequent terms count. scope: a column of both, as the document that a
+    question is limited to; a question in which it is null looks into all chunks. Frequencies come from all chunks either way.
+    """
     stops = stops if stops is not None else stop_words(chunks)
     q = term_counts(questions, qkey, qtext, stops, longest)
-    # the chunk-term table serves counts, weights and lengths; it is written once
+    # the chunk-term table serves counts, lengths and scores; it is written once
     counts = stored(term_counts(chunks, ckey, ctext, stops, longest), "terms")
-    inverse = idf(counts, chunks)
-    cw = weights(counts, inverse, ckey)
-    qw = weights(q, inverse, qkey).withColumnRenamed("w", "qw")
-    score = qw.join(cw, "term").groupBy(qkey, ckey).agg(F.bround(F.sum(F.col("qw") * F.col("w")), 4).alias("score")).filter(F.col("score") > LEAST_SCORE)
+    if features is not None:
+        counts = stored(counts.join(vocabulary(counts, features), "term", "left_semi"), "features")
+    inverse = stored(idf(counts, chunks), "idf")
+    squares = counts.join(inverse, "term").groupBy(ckey).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    qw = weights(q, inverse, qkey)
+    asked = qw.join(inverse, "term").select(qkey, "term", (F.col("w") * F.col("idf")).alias("qw"))
+    dots = counts.join(asked, "term").groupBy(qkey, ckey).agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
+    if scope is not None:
+        dots = dots.join(chunks.select(ckey, F.col(scope).alias("_has")), ckey).join(questions.select(qkey, F.col(scope).alias("_wants")), qkey)
+        dots = dots.filter("_wants IS NULL OR _wants = _has").drop("_has", "_wants")
+    score = dots.join(squares, ckey).select(qkey, ckey, F.bround(F.col("dot") / F.col("norm"), 4).alias("score")).filter(F.col("score") > LEAST_SCORE)
     return best(score, [qkey], [F.desc("score"), F.asc(ckey)], k)
 
 
@@ -109,3 +149,23 @@ def answers(sentences_: DataFrame, documents: DataFrame, qkey: str, ckey: str, d
     answer = F.when(F.size("citations") > 1, many).otherwise(F.array_join(F.slice("lines", 1, 3), " "))
     grounded = F.col("max_similarity") >= GROUNDED
     return out.select(qkey, F.when(grounded, answer).otherwise(NO_ANSWER).alias("answer"), F.when(grounded, F.col("citations")).otherwise(F.array().cast(out.schema["citations"].dataType)).alias("citations"), "max_similarity", grounded.alias("is_grounded"))
+
+
+def every_answer(found: DataFrame, questions: DataFrame, qkey: str, qtext: str) -> DataFrame:
+    """The answers of all questions: those of `answers`, the fixed sentence where nothing was retrieved, and the request for a question where it is null or blank.
+
+    Adds success and reason: EMPTY_QUERY, INSUFFICIENT_CONTEXT or null.
+    """
+    j = questions.select(qkey, qtext).join(found, qkey, "left")
+    blank = F.coalesce(F.trim(F.regexp_replace(qtext, r"\s+", " ")), F.lit("")) == ""
+    grounded = F.coalesce("is_grounded", F.lit(False)) & ~blank
+    none = F.array().cast(found.schema["citations"].dataType)
+    return j.select(
+        qkey,
+        F.when(blank, NO_QUESTION).otherwise(F.coalesce("answer", F.lit(NO_ANSWER))).alias("answer"),
+        F.when(grounded, F.col("citations")).otherwise(none).alias("citations"),
+        F.when(~blank, F.coalesce("max_similarity", F.lit(0.0))).otherwise(0.0).alias("max_similarity"),
+        grounded.alias("is_grounded"),
+        (~blank).alias("success"),
+        F.when(blank, "EMPTY_QUERY").when(~grounded, "INSUFFICIENT_CONTEXT").alias("reason"),
+    )

@@ -89,26 +89,69 @@ def name_error(c: Column) -> Column:
 
 
 def skills_error(c: Column) -> Column:
-    n = F.size(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""))
-    return F.when(missing(c), "missing").when(n < 1, "short")
+    return presence_error(c)
 
 
-# Checks of each type: (field, check).
-RULES = {
-    "Invoice": [("invoice_number", invoice_number_error), ("date", date_error), ("company", company_error), ("total_amount", amount_error)],
-    "Resume": [("name", name_error), ("email", email_error), ("skills", skills_error)],
-    "Contract": [("contract_title", company_error), ("effective_date", date_error), ("governing_law", company_error)],
-    "Other": [("document_title", company_error), ("date", date_error)],
-}
+def presence_error(c: Column) -> Column:
+    return F.when(missing(c), "missing")
+
+
+def optional_phone_error(c: Column) -> Column:
+    """A phone number is checked only where one is given."""
+    return F.when(~missing(c), phone_error(c))
 
 
-def report(values: dict[str, Column], kind: str) -> Column:
-    """struct(is_valid, passed_fields, failed_fields, field_errors, total_fields_checked, passed_count)."""
-    made = [(n, check(values[n])) for n, check in RULES[kind] if n in values]
-    passed = F.array_compact(F.array(*(F.when(e.isNull(), F.lit(n)) for n, e in made)))
-    failed = F.array_compact(F.array(*(F.when(e.isNotNull(), F.lit(n)) for n, e in made)))
-    errors = F.map_from_entries(F.array_compact(F.array(*(F.when(e.isNotNull(), F.struct(F.lit(n).alias("field"), e.alias("error"))) for n, e in made))))
+# Checks of each type: (field, check, whether it counts where the field is missing).
+RULES = {
+    "Invoice": [("invoice_number", invoice_number_error, True), ("date", date_error, True), ("company", company_error, True), ("total_amount", amount_error, True)],
+    "Resume": [("name", name_error, True), ("email", email_error, True), ("skills", skills_error, True), ("phone", optional_phone_error, False)],
+    "Contract": [("contract_title", presence_error, True), ("effective_date", presence_error, True)],
+    "Other": [("document_title", lambda c: F.lit(None).cast("string"), True)],
+}
+# The earlier stage checks the title of other papers, and their date where one is given.
+DETAILED = RULES | {"Other": [("document_title", presence_error, True), ("date", lambda c: F.when(~missing(c), date_error(c)), False)]}
+
+
+def report(values: dict[str, Column], kind: str, rules: dict | None = None) -> Column:
+    """struct(document_type, is_valid, passed_fields, failed_fields, field_errors, parsed_amount, total_fields_checked, passed_count).
+
+    A field that isn't among the values counts as missing; other papers are always valid.
+    """
+    none = F.lit(None).cast("string")
+    made = []
+    for name, check, always in (rules or RULES)[kind]:
+        v = values.get(name, none)
+        made.append((name, check(v), F.lit(True) if always else ~missing(v)))
+    passed = F.array_compact(F.array(*(F.when(counts & e.isNull(), F.lit(n)) for n, e, counts in made)))
+    failed = F.array_compact(F.array(*(F.when(counts & e.isNotNull(), F.lit(n)) for n, e, counts in made)))
+    errors = F.map_from_entries(F.array_compact(F.array(*(F.when(counts & e.isNotNull(), F.struct(F.lit(n).alias("field"), e.alias("error"))) for n, e, counts in made))))
+    total = values.get("total_amount", none)
+    parsed = F.when(~missing(total), amount(total)) if kind == "Invoice" else F.lit(None).cast("double")
     return F.struct(
-        (F.size(failed) == 0).alias("is_valid"), passed.alias("passed_fields"), failed.alias("failed_fields"), errors.alias("field_errors"),
-        F.lit(len(made)).alias("total_fields_checked"), F.size(passed).alias("passed_count"),
+        F.lit(kind).alias("document_type"), (F.size(failed) == 0).alias("is_valid"), passed.alias("passed_fields"), failed.alias("failed_fields"), errors.alias("field_errors"),
+        parsed.alias("parsed_amount"), (F.size(passed) + F.size(failed)).alias("total_fields_checked"), F.size(passed).alias("passed_count"),
     )
+
+
+def validate(kind: Column, values: Column, rules: dict | None = None) -> Column:
+    """The report of a map of values by the document type of the row; unknown types count as Other."""
+
+    def of(k: str) -> Column:
+        return report({n: F.try_element_at(values, F.lit(n)) for n, _, _ in (rules or RULES)[k]}, k, rules)
+
+    return F.when(kind == "Invoice", of("Invoice")).when(kind == "Resume", of("Resume")).when(kind == "Contract", of("Contract")).otherwise(of("Other"))
+
+
+def detailed(kind: Column, values: Column) -> Column:
+    """The earlier stage's report: also field_results, a row for each checked field, and a summary in words."""
+    r = validate(kind, values, DETAILED)
+
+    def row(n: Column) -> Column:
+        e = F.try_element_at(r["field_errors"], n)
+        return F.struct(n.alias("field"), F.try_element_at(values, n).alias("value"), e.isNull().alias("valid"), F.coalesce(e, F.lit("valid")).alias("reason"))
+
+    bad = F.size(r["failed_fields"])
+    summary = F.when(bad == 0, F.format_string("All %d required fields successfully validated.", F.size(r["passed_fields"]))).otherwise(
+        F.format_string("Validation failed for %d field(s): %s.", bad, F.array_join(r["failed_fields"], ", "))
+    )
+    return r.withField("field_results", F.transform(F.concat(r["passed_fields"], r["failed_fields"]), row)).withField("summary", summary)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import files as ff
 from folioforge.functions.textops import clean, token_count
 from folioforge.operators.extraction import pdf_strings
+from folioforge.session import file_system
 
 LEAST_NATIVE_CHARS = 20
 CORPUS = "id string, category string, text string"
@@ -60,6 +61,26 @@ def read_text(files: DataFrame, extract: Callable[[bytes, str], str] | None = No
     return df.withColumn("token_count", token_count(F.col("clean_text")))
 
 
+#: What the stages take for a text good enough without recognition, and at how many dots an inch they recognise.
+STAGES = {"final": {"least": 20, "dpi": 200}, "fifth": {"least": 40, "dpi": 150}, "third": {"least": 40, "dpi": 200}}
+
+
+def read_document(files: DataFrame, stage: str = "final", extract: Callable[[bytes, str], str] | None = None, ocr: Callable[[bytes, str], str] | None = None) -> DataFrame:
+    """files with raw_text, clean_text and meta: struct(method, page_count, pages, char_count, token_count, dpi, is_readable).
+
+    pages are the texts between form feeds; page_count is that of the PDF's page objects where it names any.
+    """
+    s = STAGES[stage]
+    df = read_text(files, extract, ocr, s["least"])
+    objects = F.size(F.regexp_extract_all(F.decode(F.col("content"), "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![a-zA-Z])"), F.lit(0)))
+    pages = F.split("raw_text", "\f")
+    meta = F.struct(
+        F.col("method"), F.when(objects > 0, objects).otherwise(F.size(pages)).alias("page_count"), F.transform(pages, lambda p: clean(p, compose=False)).alias("pages"),
+        F.length("clean_text").alias("char_count"), F.col("token_count"), F.lit(s["dpi"]).alias("dpi"), (F.length("clean_text") >= s["least"]).alias("is_readable"),
+    )
+    return df.withColumn("meta", meta).drop("method", "token_count")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of {id, category, text}."""
     return spark.read.schema(CORPUS).option("multiLine", True).json(path)
@@ -82,5 +103,19 @@ def write_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def write_model_metadata(spark: SparkSession, path: str, facts: dict[str, str | float | int]) -> None:
+    """What is known of a model, one JSON line beside it."""
+    spark.range(1).select(*(F.lit(v).alias(k) for k, v in facts.items())).coalesce(1).write.mode("overwrite").json(path)
+
+
+def delete_file(path: str) -> bool:
+    """Deletes a stored file; False where there is none."""
+    system, at = file_system(path)
+    if not system.get_file_info(at).is_file:
+        return False
+    system.delete_file(at)
+    return True
+
+
 def read_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

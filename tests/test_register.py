@@ -248,3 +248,146 @@ def test_ngrams(spark):
     got = one(spark, "The red pump, the blue pump", lambda t: retrieval.ngrams(t, ["the"], 3))
     assert got == ["red", "pump", "blue", "pump", "red pump", "pump blue", "blue pump", "red pump blue", "pump blue pump"]
     assert one(spark, None, lambda t: retrieval.ngrams(t, [], 3)) == []
+
+
+# ---- further operators
+
+
+@pytest.mark.parametrize(
+    "text, confidence", [("Vendor: Acme Tools", 0.93), ("the bill of Acme Tools Ltd today", 0.88), ("Green Garden\nsome", 0.75), ("invoice", 0.0), (None, 0.0)]
+)
+def test_company_confidence(spark, text, confidence):
+    assert one(spark, text, extraction.company_confidence) == confidence
+
+
+def test_contracts_have_a_default_law_and_a_fixed_completeness(spark):
+    df = spark.createDataFrame([("Some text", "Contract"), ("Some text", "Invoice")], "t string, k string")
+    got = [r.v for r in df.select(extraction.extract(F.col("t"), F.col("k")).alias("v")).collect()]
+    assert got[0]["governing_law"] == "Not Specified" and got[0]["contract_title"] == "Service Agreement" and got[1]["company"] == "Some text"
+    r = one(spark, "Some text", lambda t: extraction.fields(t, "Contract"))
+    assert r.completeness == 90.0 and r.missing_fields == ["effective_date", "governing_law"]
+    assert one(spark, "Some text", lambda t: extraction.fields(t, "Resume", extraction.EARLIER)).missing_fields == ["email", "phone", "skills"]
+
+
+@pytest.mark.parametrize("text, want", [("Total: 50.00\nall in EUR", "EUR 50.00"), ("Total: $ 5.00", "$ 5.00"), ("Total: 7", "7")])
+def test_earlier_totals_take_the_documents_currency(spark, text, want):
+    assert one(spark, text, extraction.total_with_currency) == want
+
+
+def test_edited_values_win_over_old_ones(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": "4"}), (None, {"x": "y"}), ({"a": "1"}, None)], "v map<string,string>, c map<string,string>")
+    assert [r.e for r in df.select(extraction.edited(F.col("v"), F.col("c")).alias("e")).collect()] == [{"a": "1", "b": "3", "c": "4"}, {"x": "y"}, {"a": "1"}]
+
+
+def test_reports_by_type(spark):
+    rows = [
+        ("Resume", {"name": "Ann Lee", "email": "a@b.example", "skills": "SQL"}), ("Resume", {"name": "Ann Lee", "email": "a@b.example", "skills": "SQL", "phone": "12"}),
+        ("Contract", {"contract_title": "X", "effective_date": "soon"}), ("Memo", {}), ("Invoice", {"invoice_number": "A-1", "date": "2025-01-02", "company": "Acme", "total_amount": "USD 1,200.50"}), ("Invoice", None),
+    ]
+    df = spark.createDataFrame(rows, "k string, v map<string,string>")
+    got = [r.r for r in df.select(validation.validate(F.col("k"), F.col("v")).alias("r")).collect()]
+    assert [(r.is_valid, r.total_fields_checked, r.passed_count) for r in got] == [(True, 3, 3), (False, 4, 3), (True, 2, 2), (True, 1, 1), (True, 4, 4), (False, 4, 0)]
+    assert got[4].parsed_amount == 1200.5 and got[3].passed_fields == ["document_title"] and got[1].field_errors == {"phone": "short"}
+    told = [r.r for r in df.select(validation.detailed(F.col("k"), F.col("v")).alias("r")).collect()]
+    assert told[0].summary == "All 3 required fields successfully validated." and told[3].summary == "Validation failed for 1 field(s): document_title."
+    assert [(x.field, x.valid) for x in told[1].field_results] == [("name", True), ("email", True), ("skills", True), ("phone", False)]
+
+
+@pytest.mark.parametrize("name, content, error", [("", b"x", "NO_NAME"), ("a.tiff", b"x", "UNSUPPORTED"), ("a.pdf", b"", "EMPTY"), ("a.pdf", b"anything", None)])
+def test_uploads_of_the_earlier_stages(spark, name, content, error):
+    df = spark.createDataFrame([(name, bytearray(content))], "n string, c binary")
+    assert df.select(ff.upload_error_by_name(F.col("n"), F.col("c")).alias("x")).first().x == error
+
+
+def test_mime_types(spark):
+    assert [one(spark, x, ff.mime_type) for x in ("a.PDF", "b.jpg", "c")] == ["application/pdf", "image/png", "image/png"]
+
+
+def test_images_are_prepared_as_columns(spark):
+    grey = np.array([[10, 12, 200, 210]] * 6, np.uint8)
+    pgm = b"P5\n# made\n4 6\n255\n" + grey.tobytes()
+    df = spark.createDataFrame([(1, bytearray(pgm)), (2, bytearray(b"%PDF")), (3, None)], "id int, content binary")
+    got = {r.id: r.prepared_image for r in ff.prepared_images(df, contrast=1.8, scale=1.5).collect()}
+    assert got[2] is None and got[3] is None and bytes(got[1]).startswith(b"P5 6 9 255\n") and set(bytes(got[1])[11:]) == {0, 255}
+    assert (ff.scaled(grey, 1.0) == grey).all() and ff.scaled(grey, 2).shape == (12, 8)
+
+
+def test_documents_have_pages_and_facts(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF /Type /Page /Type /Pages /Type /Page BT (Hello there, this is long enough to count here) Tj ET")
+    r = src.read_document(src.read_files(spark, str(tmp_path)), "fifth").first()
+    assert (r.meta.page_count, r.meta.method, r.meta.dpi, r.meta.is_readable) == (2, "native", 150, True) and len(r.meta.pages) == 1
+    src.write_model_metadata(spark, str(tmp_path / "meta"), {"name": "svm", "f1": 0.5})
+    assert spark.read.json(str(tmp_path / "meta")).first().asDict() == {"name": "svm", "f1": 0.5}
+    assert src.delete_file(str(tmp_path / "a.pdf")) and not src.delete_file(str(tmp_path / "a.pdf"))
+
+
+def test_pages_are_packed_with_one_counter(spark):
+    pages = ["one\n\n" + "x" * 348 + "\n\ny", None, "", "z"]
+    got = chunking.packed_pages(spark.createDataFrame([(1, pages), (2, [])], "id int, pages array<string>"), "pages", "id").collect()
+    want = [(i, p + 1, c) for i, (p, c) in enumerate((p, c) for p, t in enumerate(pages) for c in packed_by_hand(t or "", 350, 60))]
+    assert [(r.chunk_index, r.page_number, r.chunk_text) for r in got] == want and len(want) > 2
+
+
+def test_scope_and_vocabulary_of_retrieval(spark):
+    chunks = spark.createDataFrame([(1, "red pump failed", 10), (2, "red pump red pump", 11), (3, "blue valve", 10)], "id long, chunk_text string, document_id long")
+    asked = spark.createDataFrame([(1, "red pump", None), (2, "red pump", 10), (3, "red pump", 12)], "q long, text string, document_id long")
+    every = {(r.q, r.id): r.score for r in retrieval.retrieve(asked, chunks, "q", "text", "id", "chunk_text", scope="document_id").collect()}
+    assert set(every) == {(1, 1), (1, 2), (2, 1)} and every[1, 1] == every[2, 1]  # frequencies come from all chunks
+    few = retrieval.retrieve(asked, chunks, "q", "text", "id", "chunk_text", longest=1, features=1).filter("q = 1").collect()
+    assert {(r.id, r.score) for r in few} == {(1, 1.0), (2, 1.0)}  # pump comes first among equals
+
+
+def test_every_question_gets_an_answer(spark):
+    from folioforge import api
+
+    chunks = spark.createDataFrame([(1, "The invoice number is INV-7. It was sent in May.", 10)], "id long, chunk_text string, document_id long")
+    questions = spark.createDataFrame([(1, "What is the invoice number?"), (2, "quantum servers"), (3, None), (4, " \n ")], "q long, text string")
+    got = {r.q: (r.success, r.reason, r.is_grounded, r.answer) for r in api.assistant(questions, chunks, "q", "text").collect()}
+    assert got == {
+        1: (True, None, True, "The invoice number is INV-7."), 2: (True, "INSUFFICIENT_CONTEXT", False, retrieval.NO_ANSWER),
+        3: (False, "EMPTY_QUERY", False, retrieval.NO_QUESTION), 4: (False, "EMPTY_QUERY", False, retrieval.NO_QUESTION),
+    }
+
+
+def test_uploads_batches_and_edits(spark, sf):
+    from folioforge import api
+
+    text = b"%PDF BT (Acme Tools Ltd TAX INVOICE Invoice Number: INV-2026-0814 Date: 2026-01-12 Total: $ 8,389.38 subtotal) Tj ET"
+    other = b"%PDF BT (Curriculum Vitae of a person with skills and education) Tj ET"
+    files = spark.createDataFrame([("a.pdf", bytearray(text)), ("b.pdf", bytearray(text)), ("c.pdf", bytearray(other)), ("d.pdf", bytearray(b"MZ")), ("e.pdf", None)], "name string, content binary")
+    import hashlib
+
+    docs = spark.createDataFrame([(7, hashlib.sha256(other).hexdigest(), "Invoice", '{"flat_values": {"company": "Old", "invoice_number": "N-12"}}')], "id long, file_hash string, document_type string, extracted_json string")
+    out, counts = api.batch_upload(files, docs)
+    got = {r.original_filename: r for r in out.collect()}
+    assert {n: (r.success, r.is_duplicate, r.error, r.document_id) for n, r in got.items()} == {
+        "a.pdf": (True, False, None, None), "b.pdf": (True, True, None, None), "c.pdf": (True, True, None, 7), "d.pdf": (False, False, "BAD_CONTENT", None), "e.pdf": (False, False, "EMPTY", None),
+    }
+    assert got["a.pdf"].document_type == "Invoice" and got["a.pdf"].invoice_number == "INV-2026-0814" and got["a.pdf"].chunks == 1
+    c = counts.first()
+    assert (c.submitted, c.successes, c.failures, c.duplicates) == (5, 1, 2, 2)
+    changed = api.edit(docs, spark.createDataFrame([(7, {"company": "New"})], "id long, changes map<string,string>")).first()
+    assert (changed.company, changed.invoice_number, changed.total_amount, changed.validation.passed_fields) == ("New", "N-12", "Not Found", ["invoice_number", "company"])
+    assert {r.part: r.ready for r in api.health(spark, {"docs": f"{sf}/doc_records.parquet", "no": f"{sf}/none"}).collect()} == {"docs": True, "no": False}
+    with pytest.raises(ValueError):
+        api.recent_audit(docs, docs, 500)
+
+
+def test_declared_tables_and_report_of_empty_ones(spark):
+    docs, chunks = repository.empty(spark, "documents"), repository.empty(spark, "rag_chunks")
+    r = repository.dashboard(docs, chunks).first()
+    assert (r.documents, r.anomalies, r.chunks, r.avg_ms) == (0, 0, 0, 0.0)
+    assert repository.search_with_latest(docs, repository.empty(spark, "audit_log"), query="x").count() == 0
+    assert repository.batch_outcomes(spark.createDataFrame([], "success boolean, is_duplicate boolean, processing_time_ms double")).first().avg_ms == 0.0
+
+
+def test_flowers_are_told_apart(spark):
+    df = spark.createDataFrame(learning.flowers(), learning.FLOWERS).withColumn("label", F.col("target").cast("double"))
+    m, weights = learning.forest(df, ["sepal_length", "sepal_width", "petal_length", "petal_width"], "label", 10)
+    assert {weights[0][0], weights[1][0]} == {"petal_length", "petal_width"}
+    assert m.transform(df).filter("label = prediction").count() > 140
+
+
+def test_batch_rows_have_defaults(spark):
+    df = spark.createDataFrame([("a", "Completed", None, None), (None, "Failed", "Invoice", 2.5)], "original_filename string, status string, document_type string, processing_time_ms double")
+    assert sorted(map(tuple, repository.batch_rows(df).collect())) == [("N/A", "Failed", "Invoice", 2.5), ("a", "Completed", "Unknown", 0.0)]
