@@ -23,10 +23,11 @@ the slots where an equal or similar name can stand: the window drops nothing,
 and a number that thousands of companies use gives no pairs of all of them.
 
 Records count in ascending id: one that repeats an accepted record is not
-accepted itself. Inside a batch this is settled in rounds over classes of equal
-keys, by minimum ids only, and only for records that share a key with another
-of the batch. New entries of one place are parted by id, so a key that holds a
-third of the batch is merged in many tasks.
+accepted itself. Inside a batch this concerns only records that share a key with
+another of it. Up to ROWS_TOGETHER of their entries are gone through in one
+task, in that order; more are settled in rounds over classes of equal keys, by
+minimum ids only. Both give the same. New entries of one place are parted by id,
+so a key that holds a third of the batch is merged in many tasks.
 
 Defined results: null, blank and placeholder keys match nothing; records of the
 same id in several rows are one record; empty batches give no rows; records
@@ -53,6 +54,7 @@ from folioforge.session import file_system, scratch
 
 RUNS_PER_TIER = 4
 GROUP_BYTES = 4 << 20  # size of a row group of a run, the least that is read
+ROWS_TOGETHER = 100_000  # entries of a batch that one task goes through
 PAIRS_AT_ONCE = 1_000_000  # pairs of a window held in a task at a time
 LETTERS = 2  # wrong letters in a company's name
 
@@ -245,10 +247,61 @@ def _meetings(new: pa.Table, old: pa.Table) -> Iterator[pa.Table]:
         yield new.slice(at, step).join(old, "place", join_type="inner", use_threads=False)
 
 
+def close(a: str, b: str, most: int = LETTERS) -> bool:
+    """Whether b comes of a by at most so many wrong, missing or additional letters."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            now[j] = min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != b[j - 1]))
+        if min(now) > most:
+            return False
+        before = now
+    return before[-1] <= most
+
+
+def _gone_through(among: DataFrame) -> DataFrame:
+    """(id_a, id_b): links inside a batch, of its slotted entries in ascending id; known: the record repeats one of the history."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stand: dict[tuple[str, str, str], list[tuple[int, str, int]]] = {}
+        out: list[tuple[int, int]] = []
+        record: list[tuple] = []
+
+        def settle() -> None:
+            hits = set()
+            for kind, key, name, words, at, _, probes, _ in record:
+                for slot in probes:
+                    for a, other, n in stand.get((kind, key, slot), ()):
+                        if a not in hits and a < at and (other == name or n == words and close(other, name)):
+                            hits.add(a)
+            if not hits and not record[0][7]:
+                for kind, key, name, words, at, slots, _, _ in record:
+                    for slot in slots:
+                        stand.setdefault((kind, key, slot), []).append((at, name, words))
+            out.extend((a, record[0][4]) for a in sorted(hits))
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(8))):
+                if record and row[4] != record[0][4]:
+                    settle()
+                    record.clear()
+                record.append(row)
+        if record:
+            settle()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["id_a", "id_b"])
+
+    columns = among.select("kind", "key", "name", "words", "id", "slots", "probes", F.coalesce("known", F.lit(False)).alias("known"))
+    return columns.coalesce(1).sortWithinPartitions("id").mapInArrow(run, "id_a bigint, id_b bigint")
+
+
 class History:
     """An accepted history in a folder: opened where it is there, else begun."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, together: int = ROWS_TOGETHER) -> None:
+        self.together = together
         self.spark, self.root = spark, (root or scratch(spark, "history")).rstrip("/")
         self.runs: list[dict] = []
         self.count = self.version = 0
@@ -303,8 +356,8 @@ class History:
         return [tuple(f) for r in self.runs for f in r["files"]]
 
     def add(self, new: DataFrame) -> None:
-        """Accepted entries become a run; full tiers are merged."""
-        self.runs.append(self._run(_sorted(_placed(slotted(new), "slots"))))
+        """Accepted slotted entries become a run; full tiers are merged."""
+        self.runs.append(self._run(_sorted(_placed(new, "slots"))))
         self._commit()
         while True:
             tiers: dict[int, list[dict]] = {}
@@ -323,7 +376,7 @@ class History:
                 fs.delete_dir(at)
 
     def repeated(self, new: DataFrame) -> DataFrame:
-        """(id_a, id_b): new entries b and accepted ones a that they repeat, by a merge of the sorted batch with the runs."""
+        """(id_a, id_b): new slotted entries b and accepted ones a that they repeat, by a merge of the sorted batch with the runs."""
         sent = self.spark.sparkContext.broadcast(self.files())
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,13 +390,13 @@ class History:
                     for t in _meetings(table, old):
                         yield from t.select(["name", "words", "id", "name_a", "words_a", "id_a"]).combine_chunks().to_batches(max_chunksize=20_000)
 
-        met = _sorted(_placed(slotted(new), "probes")).mapInArrow(merge, "name string, words int, id bigint, name_a string, words_a int, id_a bigint")
+        met = _sorted(_placed(new, "probes")).mapInArrow(merge, "name string, words int, id bigint, name_a string, words_a int, id_a bigint")
         same = (F.col("name") == F.col("name_a")) | ((F.col("words") == F.col("words_a")) & (F.levenshtein("name", "name_a", LETTERS) >= 0))
         return met.filter(same & (F.col("id_a") < F.col("id"))).select("id_a", F.col("id").alias("id_b")).distinct()
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Accepts a batch of records; the result has a row (id_a, id_b) for each record b of it that repeats an accepted record a."""
-        return self.take_entries(self._kept(entries(batch), "entries"))
+        return self.take_entries(self._kept(slotted(entries(batch)), "entries"))
 
     def take_entries(self, new: DataFrame) -> DataFrame:
         links = self._path("links")
@@ -355,27 +408,37 @@ class History:
         self.repeated(new).write.parquet(f"{links}/history")
         # only records that share a key with another of the batch can repeat each other
         shared = new.groupBy("kind", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("kind", "key")
-        among = self._kept(slotted(new.join(shared, ["kind", "key"], "left_semi").select(*new.columns).distinct()), "shared")
+        among = new.join(shared, ["kind", "key"], "left_semi").select(*new.columns).distinct()
+        known = linked().select(F.col("id_b").alias("id"), F.lit(True).alias("known"))
+        among = self._kept(among.join(known.distinct(), "id", "left"), "shared")
+        rows = among.count()
+        if rows > self.together:
+            self._in_rounds(among, links)
+        elif rows:
+            _gone_through(among).write.parquet(f"{links}/batch")
         gone = linked().select(F.col("id_b").alias("id"))
-        fresh = self._kept(among.join(gone, "id", "left_anti").select(*among.columns), "open")
-        contested = not fresh.isEmpty()
+        self.add(new.join(gone, "id", "left_anti").select(*new.columns))
+        return linked()
+
+    def _in_rounds(self, among: DataFrame, links: str) -> None:
+        """Writes the links inside a batch: in each round the records of least id among those that are alike are accepted."""
+        gone = self._kept(among.filter("known").select("id").distinct(), "gone")
+        columns = [c for c in among.columns if c != "known"]
+        fresh = self._kept(among.filter("known IS NULL").select(*columns), "open")
         while not fresh.isEmpty():
             classes = fresh.groupBy("kind", "key", "name", "words").agg(F.min("id").alias("id"), F.first("slots").alias("slots"), F.first("probes").alias("probes"))
             least = _met(classes, _in_slots(classes)).groupBy("b.kind", "b.key", "b.name").agg(F.min("a.id").alias("least"))
             first = fresh.join(least, ["kind", "key", "name"]).groupBy("id").agg(F.min("least").alias("least"))
-            ranked = self._kept(fresh.join(first, "id").select(*fresh.columns, "least"), "ranked")
+            ranked = self._kept(fresh.join(first, "id").select(*columns, "least"), "ranked")
             later = ranked.filter("least < id").drop("least")
             dropped = self._kept(_met(later, _in_slots(ranked.filter("least = id").drop("least"))).filter(F.col("a.id") < F.col("b.id")).select(F.col("b.id").alias("id")).distinct(), "dropped")
             gone = gone.unionByName(dropped)
-            fresh = self._kept(later.join(dropped, "id", "left_anti").select(*fresh.columns), "open")
-        if contested:
-            # what was accepted now meets every record of the batch that was not
-            gone = self._kept(gone.distinct(), "gone")
-            taken, late = among.join(gone, "id", "left_anti").select(*among.columns), among.join(gone, "id", "left_semi").select(*among.columns)
-            met = _met(late, _in_slots(taken)).filter(F.col("a.id") < F.col("b.id"))
-            met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct().write.parquet(f"{links}/batch")
-        self.add(new.join(gone, "id", "left_anti").select("kind", "key", "name", "words", "id"))
-        return linked()
+            fresh = self._kept(later.join(dropped, "id", "left_anti").select(*columns), "open")
+        # what was accepted now meets every record of the batch that was not
+        gone = self._kept(gone.distinct(), "gone")
+        taken, late = among.join(gone, "id", "left_anti").select(*columns), among.join(gone, "id", "left_semi").select(*columns)
+        met = _met(late, _in_slots(taken)).filter(F.col("a.id") < F.col("b.id"))
+        met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct().write.parquet(f"{links}/batch")
 
     def links(self) -> DataFrame:
         """(id_a, id_b) of all batches taken so far."""
@@ -385,16 +448,16 @@ class History:
         return self.spark.read.schema("id_a bigint, id_b bigint").option("recursiveFileLookup", True).parquet(f"{self.root}/links")
 
 
-def repeats(records: DataFrame, batch: str = "batch_no", history: int = 0, root: str | None = None) -> DataFrame:
+def repeats(records: DataFrame, batch: str = "batch_no", history: int = 0, root: str | None = None, together: int = ROWS_TOGETHER) -> DataFrame:
     """(id_a, id_b) of all batches after the history, taken one by one in their order; root: the history's folder, one that exists is carried on."""
     spark = records.sparkSession
-    store = History(spark, root)
+    store = History(spark, root, together)
     # one pass over the records; each batch then reads its own entries only
     path = store._path("entries")
     number = F.coalesce(F.col(batch).cast("bigint"), F.lit((1 << 63) - 1))
     cols = ["id", "document_type", "company", "invoice_number", "file_hash"]
-    entries(records.select(*cols, F.greatest(number, F.lit(history)).alias("_batch"))).write.partitionBy("_batch").parquet(path)
-    kept = spark.read.schema("kind string, key string, name string, words int, id bigint, _batch bigint").parquet(path)
+    slotted(entries(records.select(*cols, F.greatest(number, F.lit(history)).alias("_batch")))).write.partitionBy("_batch").parquet(path)
+    kept = spark.read.schema("kind string, key string, name string, words int, id bigint, slots array<string>, probes array<string>, _batch bigint").parquet(path)
     for n in sorted(r[0] for r in kept.select("_batch").distinct().collect()):  # a row for each batch
         now = kept.filter(F.col("_batch") == n).drop("_batch")
         store.add(now) if n <= history else store.take_entries(now)

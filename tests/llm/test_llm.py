@@ -155,6 +155,13 @@ def test_batches_match_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "id long, batch_no int, document_type string, company string, invoice_number string, file_hash string")
     want = greedy(rows, lambda a, b: (a[5] and a[5] == b[5]) or (a[4] == b[4] and edits(a[3].replace(" ", ""), b[3].replace(" ", "")) <= 2))
     assert {tuple(r) for r in history.repeats(df).collect()} == want
+    assert {tuple(r) for r in history.repeats(df, together=0).collect()} == want  # in rounds
+
+
+def test_close_names_are_those_within_two_edits():
+    rng = random.Random(6)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(60)]
+    assert all(history.close(a, b) == (edits(a, b) <= 2) for a in names for b in names)
 
 
 # ---- leakage
@@ -346,14 +353,15 @@ def test_a_history_is_reopened_and_carried_on(spark, tmp_path):
 def test_only_files_in_the_range_of_the_batch_are_read(spark, tmp_path):
     store = history.History(spark, str(tmp_path / "h"))
     schema = "kind string, key string, name string, words int, id long"
+    slotted = lambda rows: history.slotted(spark.createDataFrame(rows, schema))
     for k in range(3):
-        store.add(spark.createDataFrame([("digest", f"{i:08d}", "", 0, i) for i in range(k * 4000, k * 4000 + 4000)], schema))
+        store.add(slotted([("digest", f"{i:08d}", "", 0, i) for i in range(k * 4000, k * 4000 + 4000)]))
     files = store.files()
     windows = history.Windows(files)
     places = [f"d\t{i:08d}\t" for i in range(5000, 5010)]
     rows = sum(t.filter(history.pc.is_in(t["place"], value_set=history.pa.array(places))).num_rows for t in windows.of(places))
     assert rows == 10 and len(windows.opened) <= 2 < len(files)
-    new = spark.createDataFrame([("digest", f"{i:08d}", "", 0, 20000 + i) for i in (7, 4100, 11999, 12000)], schema)
+    new = slotted([("digest", f"{i:08d}", "", 0, 20000 + i) for i in (7, 4100, 11999, 12000)])
     assert {tuple(r) for r in store.repeated(new).collect()} == {(7, 20007), (4100, 24100), (11999, 31999)}
     assert "Exchange rangepartitioning" in store.repeated(new)._jdf.queryExecution().toString()
 
