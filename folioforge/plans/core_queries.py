@@ -535,7 +535,28 @@ def other_fields(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("id", extraction.contract_date(t).alias("effective_date"), extraction.other_date(t).alias("iso_date"), extraction.other_subject(t).alias("subject"))
 
 
-@query("extracted_values")
+_FIELDS_SQL = {
+    "category = 'Invoice'": {
+        "invoice_number": f"trim(coalesce({_NUMBERS_SQL}))", "date": f"coalesce({', '.join(_group_sql('text', p) for p in extraction.INVOICE_DATE)})", "company": _COMPANY_SQL,
+        "subtotal": _after_sql("text", extraction.SUBTOTAL), "tax": _after_sql("text", extraction.TAX), "total_amount": _TOTAL_SQL,
+    },
+    "category = 'Resume'": {
+        "name": _NAME_SQL, "email": _group_sql("text", extraction.EMAIL), "phone": f"coalesce({_PHONE_SQL})",
+        "skills": f"nullif(array_to_string(list_sort(list_filter([{_SKILLS_SQL}], lambda x: x IS NOT NULL)), ', '), '')",
+    },
+    "coalesce(category, '') NOT IN ('Invoice', 'Resume', 'Contract')": {
+        "document_title": f"coalesce(left({_LINES_SQL}[1], 60), 'General Document')", "date": _group_sql("text", extraction.ISO_DATE),
+        "subject": f"coalesce({_group_sql('text', extraction.SUBJECT_LINE)}, 'General Correspondence')",
+    },
+}
+
+
+@query(
+    "extracted_values",
+    " UNION ALL ".join(
+        f"SELECT id, '{name}' AS field, coalesce({value}, 'Not Found') AS value FROM documents_corpus WHERE {kind}" for kind, fields in _FIELDS_SQL.items() for name, value in fields.items()
+    ),
+)
 def extracted_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every field of every labelled document as a row."""
     df = table(spark, sf, "documents_corpus").select("id", F.explode(extraction.extract(F.col("text"), F.col("category"))).alias("field", "value"))
