@@ -17,6 +17,7 @@ from folioforge.functions.textops import excerpt, sentences, word_set
 from folioforge.session import stored
 
 LEAST_SCORE, GROUNDED, TOP = 0.001, 0.15, 4
+ASKED_TO_SEND = 500_000  # terms of questions, so many at most are sent to every task
 FEATURES = 10_000  # terms that the reference's vocabulary is limited to
 NO_QUESTION = "Please provide a valid question."
 NO_ANSWER = "The documents hold no sufficient information on this question."
@@ -100,7 +101,9 @@ def retrieve(
     inverse = stored(idf(counts, chunks), "idf")
     squares = counts.join(inverse, "term").groupBy(ckey).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     qw = weights(q, inverse, qkey)
-    asked = qw.join(inverse, "term").select(qkey, "term", (F.col("w") * F.col("idf")).alias("qw"))
+    asked = stored(qw.join(inverse, "term").select(qkey, "term", (F.col("w") * F.col("idf")).alias("qw")), "asked")
+    if asked.count() <= ASKED_TO_SEND:  # else both sides are shuffled
+        asked = F.broadcast(asked)
     dots = counts.join(asked, "term").groupBy(qkey, ckey).agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
     if scope is not None:
         dots = dots.join(chunks.select(ckey, F.col(scope).alias("_has")), ckey).join(questions.select(qkey, F.col(scope).alias("_wants")), qkey)
