@@ -20,6 +20,7 @@ special tokens are ordinary text; repeated rows are encoded alike and kept.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ CACHE_SLICES = 1 << 20  # slices cached in a Python worker before the cache star
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _classes: np.ndarray | None = None
-_merger: dict[int, Merger] = {}
+_merger: dict[bytes, Merger] = {}
 
 
 def default_tokenizer_dir() -> str:
@@ -151,10 +152,11 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _merger.get(0)
-        if merger is None or merger.source != len(ranks.value):
-            _merger[0] = merger = Merger(ranks.value)
-            merger.source = len(ranks.value)
+        source = hashlib.sha256(ranks.value).digest()
+        merger = _merger.get(source)
+        if merger is None:
+            _merger.clear()
+            _merger[source] = merger = Merger(ranks.value)
         for b in batches:
             keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             i = 0

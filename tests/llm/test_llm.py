@@ -477,3 +477,16 @@ def test_the_join_gives_what_the_set_of_terms_gives_on_whole_tables(spark, sf):
 
     texts = _pii_texts(spark, sf)
     assert {tuple(r) for r in privacy.mentions(texts, 0).collect()} == {tuple(r) for r in privacy.mentions(texts).collect()}
+
+
+def test_vocabularies_of_equal_length_do_not_mix(spark, tmp_path):
+    import base64
+
+    def ranks(order):
+        rows = [bytes([i]) for i in range(256)] + [x.encode() for x in order]
+        return b"\n".join(base64.b64encode(x) + b" " + str(i).encode() for i, x in enumerate(rows))
+
+    (tmp_path / "a.tiktoken").write_bytes(ranks(["ab", "cd"]))
+    (tmp_path / "b.tiktoken").write_bytes(ranks(["cd", "ab"]))
+    df = spark.createDataFrame([(1, "abcd")], "doc_id long, text string").coalesce(1)
+    assert [tokens.encode(df, tokenizer=t, directory=str(tmp_path)).first().ids for t in "abab"] == [[256, 257], [257, 256]] * 2
