@@ -16,8 +16,8 @@ element named like one that encloses it is the same element, so undeclared
 recursion ends; an object with MAP_FROM names or more is a map.
 
 Defined results: a null, blank, ``null`` or ``{}`` column gives no rows; a
-column that is not valid JSON (RFC 8259) gives one row of the table
-``unparseable``; a JSON string that itself holds an object or array counts as
+column that is not valid JSON (RFC 8259) or nested beyond what the decoder
+takes gives one row of the table ``unparseable``; a JSON string that itself holds an object or array counts as
 that value; null elements give no row but count as array positions; a single
 element where an array is expected is its position 0; repeated input rows give
 repeated output rows; further columns of the input are ignored.
@@ -26,6 +26,7 @@ repeated output rows; further columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -94,6 +95,7 @@ def _components(nodes: Iterable[str], out: dict[str, list[Edge]]) -> dict[str, i
 
 def analyse(edges: list[Edge], root: str) -> TablePlan:
     """The inlining plan of a schema graph: which nodes become tables and what each table inlines."""
+    _deep()
     out: dict[str, list[Edge]] = {}
     indegree: dict[str, int] = {}
     for e in edges:
@@ -208,6 +210,7 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
                     walk(x, child, below, into, source)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         seen: set[tuple[str, str, str, str, str]] = set()
         for b in batches:
             for i, source in enumerate(names):
@@ -240,6 +243,11 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
     return out
 
 
+def _deep() -> None:
+    """Lets walks go as deep as what the JSON decoder accepts (some ten thousand levels; deeper texts are unparseable)."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
@@ -360,6 +368,7 @@ def shred(
                     rows_of(x, c, at, k, (*keys, _pointer(k)), emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         for b in batches:
             ids, src, path, parent, child, above, full, values = [], [], [], [], [], [], [], []
             take = b.column(0).to_pylist()

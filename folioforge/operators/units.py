@@ -315,14 +315,14 @@ def unit_solutions(df: DataFrame, source: str, quantities: list[Quantity], ident
 def to_common_units(df: DataFrame, source: str, quantities: list[Quantity], identities: list[dict[str, float]], fits: float = 0.05) -> DataFrame:
     """df with <column>_common of each quantity, null where the source's units aren't unique, and units_unique."""
     found = unit_solutions(df, source, quantities, identities, fits)
-    solved = found.select(F.col(source).alias("__source"), *(F.col(f"unit_{q.column}") for q in quantities), F.col("unique").alias("units_unique"))
+    solved = found.select(F.col(source).alias("__source"), *(F.col(f"unit_{q.column}").alias(f"__unit_{q.column}") for q in quantities), F.col("unique").alias("units_unique"))
     out = df.join(solved, F.col(source).eqNullSafe(F.col("__source")), "left")
     for q in quantities:
         factor = F.lit(None).cast("double")
         for u, f in q.units.items():
-            factor = F.when(F.col(f"unit_{q.column}") == u, F.lit(float(f))).otherwise(factor)
+            factor = F.when(F.col(f"__unit_{q.column}") == u, F.lit(float(f))).otherwise(factor)
         out = out.withColumn(f"{q.column}_common", F.when(F.col("units_unique"), F.col(q.column).cast("double") * factor))
-    return out.drop("__source", *(f"unit_{q.column}" for q in quantities))
+    return out.drop("__source", *(f"__unit_{q.column}" for q in quantities))
 
 
 def reading_of(text: Column) -> Column:

@@ -143,3 +143,14 @@ def test_one_table_alone_equals_its_part_of_all(spark, sf):
         want = every.filter((every.source_column == source) & (every.child_path == path)).select(*cols).collect()
         got = n.table_elements(docs, source, path).select(*cols).collect()
         assert sorted(map(str, got)) == sorted(map(str, want)) and got
+
+
+def test_very_deep_records_do_not_crash(spark):
+    same = '{"a":' * 3000 + "1" + "}" * 3000
+    lists = '{"fields": {"x": {"candidates": ' + "[" * 3000 + "]" * 3000 + "}}}"
+    named = "".join(f'{{"n{i}":' for i in range(400)) + "1" + "}" * 400
+    beyond = '{"a":' * 50_000 + "1" + "}" * 50_000
+    df = spark.createDataFrame([(i, e, None, None, "", "") for i, e in enumerate((same, lists, named, beyond))], SCHEMA)
+    rows = n.record_elements(df, observed=True, with_root=True).collect()
+    assert {(r.id, r.child_path) for r in rows if r.id != 0} == {(1, ""), (1, "fields"), (1, "fields.candidates"), (2, ""), (3, "unparseable")}
+    assert sum(r.id == 0 for r in rows) == 3001  # the root, and a recursive element is a table with a row for each level
