@@ -61,6 +61,8 @@ FORM_WORDS = set(
 )
 
 _AT = re.compile(r"\s?[@＠]\s?|&#64;|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({]\s*dot))", re.I)
+_AT_SIGN = re.compile(r"\s?[@＠]\s?|&#64;")
+_AT_IN_BRACKETS = re.compile(r"[\[({<]\s*(?:at|@)")
 _LOCAL_CHARS = re.compile(r"[\w.+%-]")
 _DOMAIN = re.compile(r"[a-z0-9-]+(?:(?:[.．](?=[a-z0-9-]+)|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[a-z0-9-]+)+", re.I)
 _PHONE = re.compile(
@@ -171,9 +173,11 @@ def shaped(text: str) -> list[tuple[str, int, int]]:
             ends.insert(k, b)
             out.append((kind, a, b))
 
-    low = "@" in text or "＠" in text or "&#64;" in text or "at]" in text.lower() or "at)" in text.lower() or " dot " in text.lower()
-    if low:
-        for m in _AT.finditer(text):
+    low = text.lower()
+    if "@" in text or "＠" in text or "&#64;" in text or "at]" in low or "at)" in low or " dot " in low:
+        # the signs spelt out need a bracket or the word dot
+        at = _AT if "dot" in low or _AT_IN_BRACKETS.search(low) else _AT_SIGN
+        for m in at.finditer(text):
             domain = _DOMAIN.match(text, m.end())
             local = _local_start(text, m.start()) if domain else None
             if local is not None:

@@ -99,4 +99,4 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @registry.query("p6_repaired")
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     texts = _scan_texts(spark, sf)
-    return repaired(texts, Findings(texts)).select("table_name", "row_key", "text_repaired").distinct()
+    return repaired(texts, Findings(texts))

@@ -68,6 +68,7 @@ _L = "a-zà-öø-ÿ"
 _WORDS = re.compile(rf"(?<![\w@.€!|$])[{_L}]{{2,}}(?![\w@€|$])")
 _ODD_WORD = re.compile(rf"(?<![^\s(\[“„«\"'])[{_L}{re.escape(_ODD)}]*[{re.escape(_ODD)}][{_L}{re.escape(_ODD)}]*(?=[\s.,;:)\]”“»\"'?-‐­]|$)")
 _DIVIDED = re.compile(rf"([{_L}{re.escape(_ODD)}]{{2,}})([-‐­])([ \t]*\r?\n\s*|[ \t ]+)([{_L}{re.escape(_ODD)}]{{2,}})")
+_ANY_WORD = re.compile(rf"[\w{re.escape(_ODD)}]+")
 _NUMBER_WORD = r"(?:page|p\.|p|seite|s\.|página|pagina|pág\.|pag\.|blatt|sheet)"
 _PAGE_LINE = re.compile(rf"[–—\-\[(·•*|]*\s*(?:{_NUMBER_WORD}\s*)?\d{{1,5}}(?:\s*(?:of|von|de|sur|di|/)\s*\d{{1,5}})?\s*[–—\-\])·•*|]*", re.I)
 _PAGE_SURE = re.compile(
@@ -618,31 +619,38 @@ class Findings:
 
 
 def repaired(texts: DataFrame, found: Findings) -> DataFrame:
-    """texts with text_repaired: continuous paragraphs without the noise."""
+    """(table_name, row_key, text_repaired) of each different row of texts: continuous paragraphs without the noise."""
     key = ["table_name", "row_key"]
     none = F.lit(None).cast("string")
+
+    def part(df: DataFrame, **named: str) -> DataFrame:
+        return df.select(*key, *((F.lit(True) if c == "placed" and c in named else F.col(named[c]) if c in named else none.cast("boolean") if c == "placed" else none).alias(c) for c in ("token", "correction", "head", "whole", "placed")))
+
     all_found = (
-        found.confusions.select(*key, "token", "correction", none.alias("head"), none.alias("whole"))
-        .unionByName(found.headers.select(*key, none.alias("token"), none.alias("correction"), F.col("token").alias("head"), none.alias("whole")))
-        .unionByName(found.divided.select(*key, none.alias("token"), none.alias("correction"), none.alias("head"), F.col("token").alias("whole")))
+        part(found.confusions, token="token", correction="correction")
+        .unionByName(part(found.headers, head="token"))
+        .unionByName(part(found.divided, whole="token"))
+        .unionByName(part(found.direct, placed="kind"))
     )
     fixes = F.map_from_entries(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "correction"))))
-    df = texts.join(all_found.groupBy(*key).agg(fixes.alias("fixes"), F.collect_set("head").alias("heads"), F.collect_set("whole").alias("wholes")), key, "left")
+    sides = all_found.groupBy(*key).agg(fixes.alias("fixes"), F.collect_set("head").alias("heads"), F.collect_set("whole").alias("wholes"), F.max("placed").alias("placed"))
+    # texts move once: repeated rows are dropped where the join needs them
+    df = texts.repartition(*key).distinct().join(sides, key, "left")
     sent = texts.sparkSession.sparkContext.broadcast(found.furniture)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, paged, fix, head, whole in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
-                out.append(None if t is None else repair(t, bool(paged), dict(fix or ()), set(head or ()), set(whole or ()), sent.value))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string())], [*key, "text", "text_repaired"])
+            for t, paged, fix, head, whole, placed in zip(*(b.column(k).to_pylist() for k in range(2, 8))):
+                out.append(None if t is None else repair(t, bool(paged), dict(fix or ()), set(head or ()), set(whole or ()), sent.value, bool(placed)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [*key, "text_repaired"])
 
-    return df.select(*key, "text", "paged", "fixes", "heads", "wholes").mapInArrow(run, "table_name string, row_key string, text string, text_repaired string")
+    return df.select(*key, "text", "paged", "fixes", "heads", "wholes", "placed").mapInArrow(run, "table_name string, row_key string, text_repaired string")
 
 
-def repair(text: str, paged: bool, fixes: dict[str, str], heads: set[str], wholes: set[str], furniture: Furniture | None = None) -> str:
-    """One text without the noise that was found in it."""
-    drop = page_lines(text, furniture if paged else None) + ([] if paged else page_marks(text) + repeated_header(text))
+def repair(text: str, paged: bool, fixes: dict[str, str], heads: set[str], wholes: set[str], furniture: Furniture | None = None, placed: bool = True) -> str:
+    """One text without the noise that was found in it; placed: page numbers or repeated headers were."""
+    drop = page_lines(text, furniture if paged else None) + ([] if paged else page_marks(text) + repeated_header(text)) if placed else []
     if paged and heads:
         at = 0
         for line in text.split("\n"):
@@ -660,13 +668,23 @@ def repair(text: str, paged: bool, fixes: dict[str, str], heads: set[str], whole
         left, _, _, right = m.groups()
         return left + right if (left + right).lower() in wholes else m.group()
 
-    body = _DIVIDED.sub(join, body)
+    if wholes:
+        body = _DIVIDED.sub(join, body)
 
     def fix(m: re.Match) -> str:
         w = m.group()
         good = fixes.get(w.lower())
         return w if good is None else good.capitalize() if w[0].isupper() else good
 
-    body = re.sub(rf"[\w{re.escape(_ODD)}]+", fix, body)
-    blocks = re.split(r"\n[ \t]*\n\s*", body.strip())
-    return "\n\n".join(re.sub(r"\s*\n\s*", " ", x) if not re.search(r"\|.*\n", x) else x for x in blocks if x.strip())
+    if fixes:
+        body = _ANY_WORD.sub(fix, body)
+    body = body.strip()
+    if "\n" not in body:
+        return body
+    blocks = re.split(r"\n[ \t]*\n\s*", body)
+    return "\n\n".join(_one_line(x) if not re.search(r"\|.*\n", x) else x for x in blocks if x.strip())
+
+
+def _one_line(block: str) -> str:
+    lines = block.split("\n")
+    return " ".join(x for x in (lines[0].rstrip(), *(x.strip() for x in lines[1:])) if x)
