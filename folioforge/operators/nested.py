@@ -176,6 +176,7 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
     maps: dict[str, set[str]] = {name: {e.child for e in edges if e.how == KEYED} for name, (_, edges, _) in declared.items()}
     known = {name: {(e.parent, e.name): e for e in edges} for name, (_, edges, _) in declared.items()}
     inside = {name: {e.parent for e in edges} | {root} for name, (_, edges, root) in declared.items()}
+    said = {name: {e.child for e in edges} for name, (_, edges, _) in declared.items()}  # no record changes what is declared
     names = list(declared)
     columns = df.select(*(F.col(declared[n][0]).cast("string").alias(f"_{i}") for i, n in enumerate(names)))
 
@@ -197,7 +198,7 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
                 if e is not None:
                     child, how = e.child, e.how
                 elif nested:
-                    child = next((n for step, n in above if step == name), f"{node}.{name}")
+                    child = next((n for step, n in above if step == name and n not in said[source]), f"{node}.{name}")
                     how = MANY if isinstance(x, list) else ONE
                     into.add((source, node, name, child, how))
                 if not nested:

@@ -154,3 +154,12 @@ def test_very_deep_records_do_not_crash(spark):
     rows = n.record_elements(df, observed=True, with_root=True).collect()
     assert {(r.id, r.child_path) for r in rows if r.id != 0} == {(1, ""), (1, "fields"), (1, "fields.candidates"), (2, ""), (3, "unparseable")}
     assert sum(r.id == 0 for r in rows) == 3001  # the root, and a recursive element is a table with a row for each level
+
+
+def test_odd_records_do_not_change_the_declared_tables(spark):
+    good = {"anomalies": [{"code": "A", "details": {"evidence": [{"page": 1}]}}]}
+    odd = {"anomalies": [{"code": "B", "details": {"details": {"anomalies": [1]}, "evidence": {"page": 2}}}]}
+    df = spark.createDataFrame([(i, None, None, json.dumps(a), "", "") for i, a in enumerate((good, odd))], SCHEMA)
+    rows = {(r.id, r.child_path, r.parent_key, r.child_key) for r in n.record_elements(df, observed=True).collect()}
+    declared = {(r.id, r.child_path, r.parent_key, r.child_key) for r in n.record_elements(df).collect()}
+    assert rows - declared == {(1, "anomalies.details.details.anomalies", "0", "0")} and declared <= rows
