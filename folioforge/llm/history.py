@@ -40,7 +40,7 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,8 +194,14 @@ class Windows:
     """The stretches of some runs' files in which given places stand."""
 
     def __init__(self, files: list[tuple[str, str, str]]) -> None:
-        """files: (path, least place, greatest place)."""
-        self.files = files
+        """files: (path, least place, greatest place), run by run in the order of their places."""
+        # chains of files whose ranges follow each other
+        self.chains: list[tuple[list[str], list[str], list[str]]] = []
+        for path, least, most in files:
+            if not self.chains or least < self.chains[-1][2][-1]:
+                self.chains.append(([], [], []))
+            for part, x in zip(self.chains[-1], (path, least, most)):
+                part.append(x)
         self.opened: dict[str, tuple[pq.ParquetFile, list[tuple[str, str]]]] = {}
         self.held: dict[str, tuple[int, pa.Table]] = {}
         self.groups_read = 0
@@ -214,18 +220,22 @@ class Windows:
             at = bisect_left(places, least)
             return at < len(places) and places[at] <= most
 
-        for path, least, most in self.files:
-            if not met(least, most):
-                if path in self.opened and most < places[0]:
-                    self.held.pop(path, None)
-                continue
-            f, bounds = self._open(path)
-            for g, (x, y) in enumerate(bounds):
-                if met(x, y):
-                    if self.held.get(path, (-1, None))[0] != g:
-                        self.groups_read += 1
-                        self.held[path] = g, f.read_row_group(g, columns=["place", "name", "words", "id"], use_threads=False)
-                    yield self.held[path][1]
+        for paths, leasts, mosts in self.chains:
+            first, last = bisect_left(mosts, places[0]), bisect_right(leasts, places[-1])
+            for k in range(first - 1, -1, -1):  # what the sorted places have passed
+                if self.opened.pop(paths[k], None) is None:
+                    break
+                self.held.pop(paths[k], None)
+            for path, least, most in zip(paths[first:last], leasts[first:last], mosts[first:last]):
+                if not met(least, most):
+                    continue
+                f, bounds = self._open(path)
+                for g, (x, y) in enumerate(bounds):
+                    if met(x, y):
+                        if self.held.get(path, (-1, None))[0] != g:
+                            self.groups_read += 1
+                            self.held[path] = g, f.read_row_group(g, columns=["place", "name", "words", "id"], use_threads=False)
+                        yield self.held[path][1]
 
 
 def _bounds(group) -> tuple[str, str]:

@@ -21,7 +21,8 @@ page and its shape, trained on a sample of pages; a running header also has to
 stand on several pages: in several chunks of a document or several times in a
 preview, which has no lines.
 
-The perceptrons learn from TRAIN_WORDS words and TRAIN_PAGES pages at most;
+The perceptrons learn from TRAIN_WORDS words and TRAIN_PAGES pages (of up to
+PAGE_CHARS characters, so the sample has a bounded size) at most;
 counts, candidates and decisions cover all texts. Nothing that grows with the
 corpus is collected.
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from folioforge.session import stored
 
-TRAIN_WORDS, TRAIN_PAGES, ROUNDS, SEED = 1200, 2000, 3, 7
+TRAIN_WORDS, TRAIN_PAGES, PAGE_CHARS, ROUNDS, SEED = 1200, 2000, 20_000, 3, 7
 LEAST_KNOWN = 3  # a correction must be a word that occurs so often
 RARER = 4  # in training, spoilt words are so many times rarer than what they were
 EVIDENCE = 4.0  # value of a feature on how often words occur, beside 1 of one on characters
@@ -557,7 +558,7 @@ class Findings:
     def __init__(self, texts: DataFrame) -> None:
         spark = texts.sparkSession
         # the sample of pages that tells furniture, whole documents where they fit
-        pages = texts.filter("paged AND text IS NOT NULL").orderBy(F.xxhash64("doc_key"), "row_key").select("doc_key", "row_key", "text").limit(TRAIN_PAGES).collect()
+        pages = texts.filter(f"paged AND length(text) <= {PAGE_CHARS}").orderBy(F.xxhash64("doc_key"), "row_key").select("doc_key", "row_key", "text").limit(TRAIN_PAGES).collect()
         self.furniture = Furniture().train([tuple(r) for r in pages])
         seen = stored(notes(texts, self.furniture), "scan-notes")
         self.counts = stored(seen.filter("kind = 'count'").groupBy("token").agg(F.sum("n").alias("n")), "scan-words")
