@@ -10,7 +10,7 @@ from folioforge.llm.leakage import leaks
 from folioforge.llm.privacy import labelled, mentions, redacted
 from folioforge.llm.scans import Findings, repaired
 from folioforge.llm.sentences import sentence_units
-from folioforge.llm.splitting import filled_pages, oversized, split_oversized
+from folioforge.llm.splitting import WHITE_SPACE, filled_pages, oversized, split_oversized
 from folioforge.llm.tokens import encode
 from folioforge.plans.registry import Registry
 from folioforge.session import table
@@ -24,7 +24,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeats(table(spark, sf, "doc_records").select(*cols))
 
 
-@registry.query("p5_found")
+_WHITE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+
+
+@registry.query("p5_found", f"SELECT DISTINCT id FROM rag_chunks WHERE length(trim(chunk_text, {_WHITE})) > 350")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     chunks = oversized(table(spark, sf, "rag_chunks").select("id", "chunk_text"))
     return split_oversized(chunks).filter("piece_count > 1 AND piece_index = 0").select("id").distinct()
