@@ -218,9 +218,14 @@ def flat_values(docs: DataFrame, column: str = "extracted_json") -> Column:
     return F.when(valid, F.from_json(F.get_json_object(column, "$.flat_values"), "map<string,string>"))
 
 
+def with_values(docs: DataFrame, name: str = "values") -> DataFrame:
+    """docs with its flat values in a column of their own, so that the JSON is read once for all that uses them."""
+    return docs.withColumn(name, flat_values(docs))
+
+
 def arithmetic_checks(docs: DataFrame) -> DataFrame:
     """(id, subtotal, tax, total, expected, discrepancy, mismatch) of the invoices that state all three numbers."""
-    checked = docs.filter("document_type = 'Invoice'").select("id", arithmetic(flat_values(docs)).alias("a"))
+    checked = with_values(docs.filter("document_type = 'Invoice'").select("id", "extracted_json")).select("id", arithmetic(F.col("values")).alias("a"))
     return checked.filter("a IS NOT NULL").select("id", "a.*")
 
 

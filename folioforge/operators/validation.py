@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What stands for a missing value, and headers that are no values.
@@ -142,16 +142,18 @@ def validate(kind: Column, values: Column, rules: dict | None = None) -> Column:
     return F.when(kind == "Invoice", of("Invoice")).when(kind == "Resume", of("Resume")).when(kind == "Contract", of("Contract")).otherwise(of("Other"))
 
 
-def detailed(kind: Column, values: Column) -> Column:
-    """The earlier stage's report: also field_results, a row for each checked field, and a summary in words."""
-    r = validate(kind, values, DETAILED)
+def detailed(df: DataFrame, kind: str, values: str, name: str = "validation") -> DataFrame:
+    """df with the earlier stage's report: also field_results, a row for each checked field, and a summary in words."""
+    df = df.withColumn(name, validate(F.col(kind), F.col(values), DETAILED))
+    r = F.col(name)
 
     def row(n: Column) -> Column:
         e = F.try_element_at(r["field_errors"], n)
-        return F.struct(n.alias("field"), F.try_element_at(values, n).alias("value"), e.isNull().alias("valid"), F.coalesce(e, F.lit("valid")).alias("reason"))
+        return F.struct(n.alias("field"), F.try_element_at(F.col(values), n).alias("value"), e.isNull().alias("valid"), F.coalesce(e, F.lit("valid")).alias("reason"))
 
     bad = F.size(r["failed_fields"])
     summary = F.when(bad == 0, F.format_string("All %d required fields successfully validated.", F.size(r["passed_fields"]))).otherwise(
         F.format_string("Validation failed for %d field(s): %s.", bad, F.array_join(r["failed_fields"], ", "))
     )
-    return r.withField("field_results", F.transform(F.concat(r["passed_fields"], r["failed_fields"]), row)).withField("summary", summary)
+    results = F.transform(F.concat(r["passed_fields"], r["failed_fields"]), row)
+    return df.withColumns({"_results": results, "_summary": summary}).withColumn(name, r.withField("field_results", F.col("_results")).withField("summary", F.col("_summary"))).drop("_results", "_summary")

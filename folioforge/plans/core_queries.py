@@ -644,16 +644,32 @@ def _failed_sql(kind: str) -> str:
 def validation_report(spark: SparkSession, sf: str) -> DataFrame:
     """Every document but resumes, whose checks need patterns that the other engine lacks, by the rules of its type."""
     docs = table(spark, sf, "doc_records").filter("document_type <> 'Resume'")
-    r = validation.validate(F.col("document_type"), repository.flat_values(docs))
-    report = docs.select("id", r.alias("r"))
+    docs = repository.with_values(docs.select("id", "document_type", "extracted_json"))
+    report = docs.select("id", validation.validate(F.col("document_type"), F.col("values")).alias("r"))
     return report.select("id", "r.is_valid", F.array_join("r.failed_fields", ",").alias("failed"), "r.passed_count", F.col("r.total_fields_checked").alias("checked"), "r.parsed_amount")
 
 
-@query("validation_resumes")
+_RESUME_CHECKS = {
+    "name": f"{_missing_sql('n')} OR length(trim(n)) < 2 OR length(trim(n)) > 60 OR lower(trim(n)) IN {_in(validation.NOT_NAMES)} OR NOT regexp_matches(n, '[A-Za-z]')",
+    "email": f"""{_missing_sql("e")} OR NOT regexp_full_match(trim(e), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+')
+    OR length(regexp_extract(split_part(trim(e), '@', 2), '\\.([^.]*)$', 1)) < 2""",
+    "skills": _missing_sql("k"),
+    "phone": f"""NOT {_missing_sql("f")} AND (NOT length(regexp_replace(trim(f), '[^0-9]', '', 'g')) BETWEEN 7 AND 16
+    OR NOT regexp_matches(trim(f), '^(\\+?[0-9]{{1,4}}[\\s.-]?)?(\\(?\\d{{2,4}}\\)?[\\s.-]?)?[\\d\\s.-]{{5,16}}$'))""",
+}
+
+
+@query(
+    "validation_resumes",
+    f"""WITH v AS (SELECT id, {", ".join(f"{_JSON.format(n)} AS {a}" for n, a in (("name", "n"), ("email", "e"), ("phone", "f"), ("skills", "k")))} FROM doc_records WHERE document_type = 'Resume'),
+    r AS (SELECT id, list_filter([{", ".join(f"CASE WHEN {bad} THEN '{name}' END" for name, bad in _RESUME_CHECKS.items())}], lambda x: x IS NOT NULL) AS bad, CASE WHEN {_missing_sql("f")} THEN 3 ELSE 4 END AS checked FROM v)
+    SELECT id, len(bad) = 0 AS is_valid, array_to_string(bad, ',') AS failed, CAST(checked AS INTEGER) AS checked,
+    CASE WHEN len(bad) = 0 THEN 'All ' || checked || ' required fields successfully validated.' ELSE 'Validation failed for ' || len(bad) || ' field(s): ' || array_to_string(bad, ', ') || '.' END AS summary FROM r""",
+)
 def validation_resumes(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "doc_records").filter("document_type = 'Resume'")
-    r = validation.detailed(F.col("document_type"), repository.flat_values(docs))
-    return docs.select("id", r.alias("r")).select("id", "r.is_valid", F.array_join("r.failed_fields", ",").alias("failed"), F.size("r.field_results").alias("checked"), "r.summary")
+    docs = repository.with_values(docs.select("id", "document_type", "extracted_json"))
+    return validation.detailed(docs, "document_type", "values", "r").select("id", "r.is_valid", F.array_join("r.failed_fields", ",").alias("failed"), F.size("r.field_results").alias("checked"), "r.summary")
 
 
 # ---- chunks, retrieval, answers ----------------------------------------------------------------
@@ -866,8 +882,8 @@ _SKILLS_SHORT = f"CASE WHEN length({_kept_sql('skills', 'Not Found')}) > 28 THEN
     ELSE {_kept_sql("date", "N/A")} END AS total_amount FROM doc_records""",
 )
 def register_columns(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "doc_records")
-    return docs.select("id", repository.register_columns(F.col("document_type"), repository.flat_values(docs)).alias("k")).select("id", "k.*")
+    docs = repository.with_values(table(spark, sf, "doc_records").select("id", "document_type", "extracted_json"))
+    return docs.select("id", repository.register_columns(F.col("document_type"), F.col("values")).alias("k")).select("id", "k.*")
 
 
 def _number_sql(k: str) -> str:
@@ -975,8 +991,8 @@ def edited_values(spark: SparkSession, sf: str) -> DataFrame:
     """The values of reviewed invoices after an edit of two of them."""
     docs = table(spark, sf, "doc_records").filter("document_type = 'Invoice' AND status = 'Needs Review'")
     change = F.create_map(F.lit("company"), F.lit("Reviewed Ltd"), F.lit("total_amount"), F.lit("12.00"))
-    v = extraction.edited(repository.flat_values(docs), change)
-    return docs.select("id", *(F.try_element_at(v, F.lit(c)).alias(c) for c in ("company", "invoice_number", "total_amount")))
+    docs = repository.with_values(docs).withColumn("edited", extraction.edited(F.col("values"), change))
+    return docs.select("id", *(F.try_element_at("edited", F.lit(c)).alias(c) for c in ("company", "invoice_number", "total_amount")))
 
 
 @query(
@@ -1024,7 +1040,18 @@ def classify_overall(spark: SparkSession, sf: str) -> DataFrame:
     return classification.overall(classification.classify(corpus, "text"), "category", "predicted_type")
 
 
-@query("rules_against_keywords")
+def _rule_sql(kind: str) -> str:
+    marks = " OR ".join(f"contains(t, '{m}')" for m in classification.MARKS[kind])
+    return f"{_times_sql('t', classification.RULES[kind])} + CASE WHEN {marks} THEN {classification.MARK_HITS} ELSE 0 END"
+
+
+@query(
+    "rules_against_keywords",
+    f"""WITH k AS ({_classify_sql("documents_corpus", "id", "text", "category, text,")}),
+    r AS (SELECT category, predicted_type AS baseline, {_rule_sql("Invoice")} AS inv, {_rule_sql("Resume")} AS res FROM (SELECT *, lower(coalesce(text, '')) AS t FROM k WHERE category IN ('Invoice', 'Resume', 'Other')))
+    SELECT model, baseline, count(*) AS n, count(*) FILTER (WHERE category = model) AS model_right, count(*) FILTER (WHERE category = baseline) AS baseline_right
+    FROM (SELECT *, CASE WHEN inv + res < 2 THEN 'Other' WHEN inv > res THEN 'Invoice' WHEN res > inv THEN 'Resume' ELSE 'Other' END AS model FROM r) GROUP BY model, baseline""",
+)
 def rules_against_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """How the first stage's rules and the keywords go together on the labelled corpus."""
     corpus = table(spark, sf, "documents_corpus").filter(F.col("category").isin("Invoice", "Resume", "Other")).select("id", "category", "text")
@@ -1032,7 +1059,19 @@ def rules_against_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return classification.against_baseline(classification.classify_rules(told, "text"), "predicted_type", "keywords", "category")
 
 
-@query("corpus_audit")
+def _missing_fields_sql(kind: str) -> str:
+    fields = _FIELDS_SQL[f"category = '{kind}'"]
+    required = [n for n, _, _, r in extraction.PROFILES[kind] if r]
+    return "list_filter([" + ", ".join(f"CASE WHEN {fields[n]} IS NULL THEN '{n}' END" for n in required) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "corpus_audit",
+    f"""WITH k AS ({_classify_sql("documents_corpus", "id", "text", "text,")}),
+    m AS (SELECT *, CASE predicted_type WHEN 'Invoice' THEN {_missing_fields_sql("Invoice")} WHEN 'Resume' THEN {_missing_fields_sql("Resume")} ELSE [] END AS bad FROM k WHERE text IS NOT NULL)
+    SELECT id AS name, predicted_type, confidence_predicted, CASE WHEN len(bad) = 0 THEN 'None' ELSE array_to_string(bad, ', ') END AS missing_fields,
+    CASE predicted_type WHEN 'Invoice' THEN round_even(100.0 * (4 - len(bad)) / 4, 1) WHEN 'Resume' THEN round_even(100.0 * (3 - len(bad)) / 3, 1) ELSE 100.0 END AS completeness FROM m""",
+)
 def corpus_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Type, confidence, missing fields and completeness of each text of the corpus."""
     texts = table(spark, sf, "documents_corpus").filter("text IS NOT NULL").select(F.col("id").alias("name"), F.col("text").alias("clean_text"))
@@ -1079,7 +1118,16 @@ def money_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "doc_records").filter(t.isNotNull() & (F.abs(t * 100 - F.round(t * 100)) < 1e-6)).select("id", tx.money(t).alias("money"))
 
 
-@query("packed_pages")
+@query(
+    "packed_pages",
+    f"""WITH RECURSIVE g AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS page FROM (SELECT doc_id, string_split_regex(text, '\\n{{3,}}|\\f') AS ps FROM documents WHERE text IS NOT NULL)),
+    p AS (SELECT doc_id, page, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS ps FROM g),
+    w AS (SELECT doc_id, page, ps, 1 AS i, '' AS cur, NULL::VARCHAR AS done FROM p WHERE len(ps) > 0 UNION ALL
+    SELECT doc_id, page, ps, i + 1, CASE WHEN length(cur) + length(ps[i]) + 1 <= 350 THEN {STRIP.format("cur || chr(10) || ps[i]")} WHEN length(cur) > 60 THEN right(cur, 60) || ' ' || ps[i] ELSE ps[i] END,
+    CASE WHEN length(cur) + length(ps[i]) + 1 <= 350 OR cur = '' THEN NULL ELSE cur END FROM w WHERE i <= len(ps)),
+    c AS (SELECT doc_id, page, i, done AS t FROM w WHERE done IS NOT NULL UNION ALL SELECT doc_id, page, i + 1, cur FROM w WHERE i = len(ps) + 1 AND cur <> '')
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS INTEGER) AS chunk_index, CAST(page AS INTEGER) AS page_number, t AS chunk_text, CAST({_WORDS.format("t")} AS INTEGER) AS token_count FROM c""",
+)
 def packed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of each page of a document packed into chunks; the counter runs on over the pages."""
     pages = F.split("text", r"\n{3,}|\f")

@@ -288,7 +288,7 @@ def test_reports_by_type(spark):
     got = [r.r for r in df.select(validation.validate(F.col("k"), F.col("v")).alias("r")).collect()]
     assert [(r.is_valid, r.total_fields_checked, r.passed_count) for r in got] == [(True, 3, 3), (False, 4, 3), (True, 2, 2), (True, 1, 1), (True, 4, 4), (False, 4, 0)]
     assert got[4].parsed_amount == 1200.5 and got[3].passed_fields == ["document_title"] and got[1].field_errors == {"phone": "short"}
-    told = [r.r for r in df.select(validation.detailed(F.col("k"), F.col("v")).alias("r")).collect()]
+    told = [r.r for r in validation.detailed(df, "k", "v", "r").collect()]
     assert told[0].summary == "All 3 required fields successfully validated." and told[3].summary == "Validation failed for 1 field(s): document_title."
     assert [(x.field, x.valid) for x in told[1].field_results] == [("name", True), ("email", True), ("skills", True), ("phone", False)]
 
