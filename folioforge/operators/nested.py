@@ -13,7 +13,9 @@ nesting that occurs to the declared edges, which say what the data alone can't
 (where an array is expected though single elements stand there, which objects
 are maps whose names are data, what a shared or recursive element is called). An
 element named like one that encloses it is the same element, so undeclared
-recursion ends; an object with MAP_FROM names or more is a map.
+recursion ends; an object with MAP_FROM names of nested members or more is a map
+(of a root or an element of a map with so many, the first 2 x MAP_FROM become
+tables, the others stay JSON).
 
 Defined results: a null, blank, ``null`` or ``{}`` column gives no rows; a
 column that is not valid JSON (RFC 8259) or nested beyond what the decoder
@@ -175,7 +177,6 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
     """
     maps: dict[str, set[str]] = {name: {e.child for e in edges if e.how == KEYED} for name, (_, edges, _) in declared.items()}
     known = {name: {(e.parent, e.name): e for e in edges} for name, (_, edges, _) in declared.items()}
-    inside = {name: {e.parent for e in edges} | {root} for name, (_, edges, root) in declared.items()}
     said = {name: {e.child for e in edges} for name, (_, edges, _) in declared.items()}  # no record changes what is declared
     names = list(declared)
     columns = df.select(*(F.col(declared[n][0]).cast("string").alias(f"_{i}") for i, n in enumerate(names)))
@@ -189,11 +190,6 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
             for name, x in value.items():
                 x = opened(x)
                 nested = isinstance(x, (dict, list))
-                if node in maps[source] and node not in inside[source]:
-                    # an undeclared map: its elements are one node
-                    if nested:
-                        walk(x, f"{node}.*", above, into, source)
-                    continue
                 e = known[source].get((node, name))
                 if e is not None:
                     child, how = e.child, e.how
@@ -204,7 +200,8 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
                 if not nested:
                     continue
                 below = (*above, (name, child))
-                if e is not None and e.how == KEYED and isinstance(x, dict):
+                if child in maps[source] and isinstance(x, dict):
+                    # the elements of a map are one node
                     for y in x.values():
                         walk(y, child, below, into, source)
                 else:
@@ -226,7 +223,7 @@ def schema_graph(df: DataFrame, declared: Declared) -> Declared:
         edges = columns.mapInArrow(scan, "source string, parent string, name string, child string, how string").distinct()
         # names of one object beyond MAP_FROM stay on the executors
         few = edges.groupBy("source", "parent").agg(F.slice(F.array_sort(F.collect_set(F.struct("name", "child", "how"))), 1, 2 * MAP_FROM).alias("e"), F.count_distinct("name").alias("n")).collect()
-        found = {(r["source"], r["parent"]) for r in few if r["n"] >= MAP_FROM}
+        found = {(r["source"], r["parent"]) for r in few if r["n"] >= MAP_FROM and r["parent"] not in maps[r["source"]]}
         if not found:
             break
         for source, node in found:

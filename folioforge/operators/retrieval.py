@@ -18,7 +18,7 @@ from folioforge.session import stored
 
 LEAST_SCORE, GROUNDED, TOP = 0.001, 0.15, 4
 ASKED_TO_SEND = 500_000  # terms of questions, so many at most are sent to every task
-FEATURES = 10_000  # terms that the reference's vocabulary is limited to
+FEATURES = 10_000  # most frequent terms that count in the assistant's retrieval
 NO_QUESTION = "Please provide a valid question."
 NO_ANSWER = "The documents hold no sufficient information on this question."
 # A short list of English words that carry no subject; the long list comes from Spark.

@@ -129,10 +129,11 @@ def test_a_new_array_becomes_a_table_without_a_change_of_code(spark, tmp_path):
 
 
 def test_an_object_with_many_names_is_a_map(spark):
-    e = json.dumps({"prices": {f"item {i}": {"low": i} for i in range(400)}})
+    e = json.dumps({"prices": {f"item {i}": {"low": i, "past": [1, 2]} for i in range(400)}})
     df = spark.createDataFrame([(1, e, None, None, "", "")], SCHEMA)
     rows = n.record_elements(df, observed=True).collect()
-    assert len(rows) == 400 and {r.child_path for r in rows} == {"prices"}
+    assert sorted((r.child_path, r.parent_key, r.child_key) for r in rows if r.parent_key in ("", "item 7"))[-3:] == [("prices", "", "item 99"), ("prices.past", "item 7", "0"), ("prices.past", "item 7", "1")]
+    assert len(rows) == 1200
 
 
 def test_one_table_alone_equals_its_part_of_all(spark, sf):
