@@ -490,3 +490,29 @@ def test_vocabularies_of_equal_length_do_not_mix(spark, tmp_path):
     (tmp_path / "b.tiktoken").write_bytes(ranks(["cd", "ab"]))
     df = spark.createDataFrame([(1, "abcd")], "doc_id long, text string").coalesce(1)
     assert [tokens.encode(df, tokenizer=t, directory=str(tmp_path)).first().ids for t in "abab"] == [[256, 257], [257, 256]] * 2
+
+
+def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(25))) for k in range(20)]
+    docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(10)) + " " + " ".join(w for w in items[d % 20][1].split() if rng.random() < 0.92)) for d in range(60)]
+    i, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    once = {tuple(r) for r in leakage.leaks(d, i).collect()}
+    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 6)
+    assert {tuple(r) for r in leakage.leaks(d, i).collect()} == once and len(once) > 20
+
+
+def test_repeated_rows_are_redacted_and_repaired_once(spark, tmp_path):
+    from folioforge.llm import queries
+
+    chunk = (1, 5, 0, 1, "Attn: Talitha Holmgren wrote to a.b@c.test on the ware-\nhouse.", 9)
+    schema = "id long, document_id long, chunk_index int, page_number int, chunk_text string, token_count int"
+    spark.createDataFrame([chunk] * 3 + [(2, 5, 1, 1, None, 0), (3, 5, 2, 1, "", 0)], schema).write.parquet(str(tmp_path / "rag_chunks.parquet"))
+    spark.createDataFrame([], "id long, text_preview string").write.parquet(str(tmp_path / "doc_records.parquet"))
+    spark.createDataFrame([], "id string, text string").write.parquet(str(tmp_path / "documents_corpus.parquet"))
+    got = {r.row_key: r.text_redacted for r in queries.p3_redacted(spark, str(tmp_path)).collect()}
+    assert got["1"].startswith("Attn: [NAME] wrote to [EMAIL] on") and got["2"] is None and got["3"] == ""
+    assert queries.p3_redacted(spark, str(tmp_path)).count() == 3
+    rows = queries.p6_repaired(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and {r.row_key: r.text_repaired for r in rows}["2"] is None
