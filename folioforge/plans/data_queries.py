@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators.nested import inventory, observed_edges, observed_table, record_elements, record_plans, table_elements
-from folioforge.operators.units import normalise_amounts
+from folioforge.operators.units import Quantity, normalise_amounts, unit_solutions
 from folioforge.plans.registry import Registry
 from folioforge.session import table
 
@@ -112,3 +112,28 @@ def p4_unstated(spark: SparkSession, sf: str) -> DataFrame:
     return df.filter("amount_value IS NOT NULL AND (NOT amount_stated OR NOT amount_unique)").select(
         "id", "total_amount", F.col("amount_value").cast("double").alias("amount_value"), "amount_currency", "amount_power", F.bround("amount_residual", 6).alias("amount_residual"), "amount_unique", "amount_usd_cents"
     )
+
+
+_PRICE_UNITS = {"dollar": 1.0, "cent": 0.01}
+_COUNT_UNITS = {"piece": 1.0, "dozen": 12.0}
+
+
+@registry.query(
+    "p4_units",
+    f"""WITH l AS (SELECT l_returnflag, l_extendedprice AS e, l_quantity AS q, p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_extendedprice > 0 AND l_quantity > 0 AND p_retailprice > 0),
+    u AS (SELECT * FROM (VALUES {", ".join(f"('{a}', CAST({x} AS DOUBLE))" for a, x in _PRICE_UNITS.items())}) a(eu, ef), (VALUES {", ".join(f"('{a}', CAST({x} AS DOUBLE))" for a, x in _COUNT_UNITS.items())}) b(qu, qf),
+    (VALUES {", ".join(f"('{a}', CAST({x} AS DOUBLE))" for a, x in _PRICE_UNITS.items())}) c(pu, pf)),
+    s AS (SELECT l_returnflag, eu, qu, pu, round(avg(abs(ln(e) - ln(q) - ln(p) + ln(ef) - ln(qf) - ln(pf))), 9) AS cost FROM l, u GROUP BY l_returnflag, eu, qu, pu),
+    r AS (SELECT *, row_number() OVER w AS place, lead(cost) OVER w AS second FROM s WINDOW w AS (PARTITION BY l_returnflag ORDER BY cost, eu, qu, pu))
+    SELECT l_returnflag, eu AS price_unit, qu AS quantity_unit, pu AS retail_unit, round(cost, 5) AS residual, round(second, 5) AS runner_up, cost <= 0.05 AND second - cost > 0.05 AS is_unique FROM r WHERE place = 1""",
+)
+def p4_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of prices and quantities of each kind of line, by price = quantity x retail price."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_partkey", "l_extendedprice", "l_quantity").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    quantities = [Quantity("l_extendedprice", _PRICE_UNITS), Quantity("l_quantity", _COUNT_UNITS), Quantity("p_retailprice", _PRICE_UNITS)]
+    found = unit_solutions(lines, "l_returnflag", quantities, [{"l_extendedprice": 1, "l_quantity": -1, "p_retailprice": -1}])
+    return found.select(
+        "l_returnflag", F.col("unit_l_extendedprice").alias("price_unit"), F.col("unit_l_quantity").alias("quantity_unit"), F.col("unit_p_retailprice").alias("retail_unit"),
+        F.round("residual", 5).alias("residual"), F.round("runner_up", 5).alias("runner_up"), F.col("unique").alias("is_unique"),
+    )
