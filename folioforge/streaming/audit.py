@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
-from folioforge.session import scratch
+from folioforge.session import file_system, scratch
 
 EVENTS = "id bigint, document_id bigint, action string, previous_status string, new_status string, logged_at timestamp_ntz, reason string, performed_by string"
 
 
 def read_events(spark: SparkSession, path: str, glob: str, files_at_once: int = 8) -> DataFrame:
-    """Files of events as they arrive in a folder."""
-    df = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(path)
+    """Files of events as they arrive in a folder: files of that name at any depth, and all files in folders of that name right in it, as a table written in parts has them."""
+
+    def arriving() -> DataStreamReader:
+        return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True)
+
+    named = arriving().option("pathGlobFilter", glob).parquet(path)
+    # a file of that name in a folder of that name is read once
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    parts = arriving().parquet(f"{path}/{glob}/[^_.]*").filter(~F.col("_metadata.file_name").rlike(f"^(?:{name})$"))
+    df = named.unionByName(parts)
     return df.withColumn("logged_at", F.col("logged_at").cast("timestamp"))
 
 
@@ -27,17 +37,24 @@ def hourly_actions(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its table; mode: complete or append."""
+    """Runs a stream over what is there and gives its table, without rows where nothing is there; mode: complete or append."""
     if mode not in ("complete", "append"):
         raise ValueError(mode)
     spark = stream.sparkSession
     path = scratch(spark, f"stream-{name}")
+
+    def table() -> DataFrame:
+        system, at = file_system(f"{path}/out")
+        if system.get_file_info(at).type == fs.FileType.NotFound:  # no batch ran
+            return spark.createDataFrame([], stream.schema)
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
     if mode == "append":
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+        return table()
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return table()

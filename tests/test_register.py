@@ -159,6 +159,22 @@ def test_stream_counts_by_hour(spark, sf):
     assert n.count() > 0
 
 
+def test_stream_reads_tables_in_parts_files_and_nothing(spark, tmp_path, sf):
+    log = spark.read.parquet(f"{sf}/audit_log.parquet")
+    want = {tuple(r) for r in log.groupBy("document_id").agg(F.max_by("new_status", "id"), F.max("id")).collect()}
+    log.repartition(5).write.parquet(str(tmp_path / "parts/audit_log.parquet"))  # a folder of parts
+    log.coalesce(1).write.parquet(str(tmp_path / "mixed/audit_log.parquet/deep"))
+    (part,) = (tmp_path / "mixed/audit_log.parquet/deep").glob("part-*.parquet")
+    part.rename(part.with_name("audit_log.parquet"))  # found by its folder and by its name
+    for folder in ("parts", "mixed"):
+        events = audit.read_events(spark, str(tmp_path / folder), "audit_log.parquet", 2)
+        assert {tuple(r) for r in audit.run_once(audit.latest_state(events), folder).collect()} == want
+        assert audit.run_once(events, folder, "append").count() == log.count()
+    (tmp_path / "empty").mkdir()
+    none = audit.read_events(spark, str(tmp_path / "empty"), "audit_log.parquet")
+    assert audit.run_once(audit.latest_state(none), "none").collect() == [] and audit.run_once(none, "none", "append").collect() == []
+
+
 def test_forest_and_classifier(spark, tmp_path, sf):
     df = spark.createDataFrame([(float(i), float(i % 7), float(i > 20)) for i in range(40)], "a double, b double, label double")
     _, weights = learning.forest(df, ["a", "b"], "label", 5)
