@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import files as ff
 from folioforge.functions import textops as tx
 from folioforge.operators import chunking, classification, extraction, learning, repository, retrieval, validation
+from folioforge.session import stored
 from folioforge.sources import files as src
 from folioforge.streaming import audit
 
@@ -344,6 +345,42 @@ def test_pages_are_packed_with_one_counter(spark):
     assert [(r.chunk_index, r.page_number, r.chunk_text) for r in got] == want and len(want) > 2
 
 
+def odd_texts(spark):
+    """Chunks and questions with repeated words, ties, blank and null texts, rows of one key, keys and scopes that are null."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["the", "Über", "x_1"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    chunks = [(f"c{i:03}", i % 40, text(rng.randint(0, 30))) for i in range(300)] + [("c999", 1, "w1 w2 w3"), ("c998", 1, "w1 w2 w3"), ("c000", 0, "w1 w1"), (None, 1, "w1 w2 w3"), ("d0", 2, None), ("d1", None, "w1 w9"), ("d2", 3, " ! ")]
+    asked = [(q, q, text(8)) for q in range(30)] + [(100, None, "w1 w2 w3"), (101, 1, "w1 w2 w3 w3"), (102, None, None), (103, 7, "unknown"), (104, 77, "w1"), (100, None, "w9"), (None, None, "w1")]
+    return spark.createDataFrame(chunks, "id string, document_id int, t string"), spark.createDataFrame(asked, "q int, document_id int, text string")
+
+
+def test_retrieval_keeps_no_table_of_all_terms_of_all_chunks(spark, monkeypatch):
+    chunks, asked = odd_texts(spark)
+    kept = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: kept.append((name, stored(df, name))) or kept[-1][1])
+
+    def found(longest, **options):
+        r = retrieval.retrieve(asked, chunks, "q", "text", "id", "t", longest=longest, **options)
+        assert dict(r.dtypes) == {"q": "int", "id": "string", "score": "double", "place": "int"}
+        return sorted(tuple(x) for x in r.collect())
+
+    for longest in (1, 3):
+        for options in ({}, {"scope": "document_id"}, {"k": 1}):
+            kept.clear()
+            monkeypatch.setattr(retrieval, "TERMS_TO_HOLD", 10**6, raising=False)
+            whole = found(longest, **options)
+            pairs = retrieval.term_counts(chunks, "id", "t", retrieval.stop_words(chunks), longest).count()
+            assert len(whole) > 30 and all(df.count() < pairs for _, df in kept)
+            monkeypatch.setattr(retrieval, "TERMS_TO_HOLD", 1, raising=False)
+            assert found(longest, **options) == whole  # by joins
+    monkeypatch.setattr(retrieval, "TERMS_TO_HOLD", 10**6, raising=False)
+    assert retrieval.retrieve(asked.limit(0), chunks, "q", "text", "id", "t").count() == 0
+    assert retrieval.retrieve(asked, chunks.limit(0), "q", "text", "id", "t").count() == 0
+
+
 def test_scope_and_vocabulary_of_retrieval(spark):
     chunks = spark.createDataFrame([(1, "red pump failed", 10), (2, "red pump red pump", 11), (3, "blue valve", 10)], "id long, chunk_text string, document_id long")
     asked = spark.createDataFrame([(1, "red pump", None), (2, "red pump", 10), (3, "red pump", 12)], "q long, text string, document_id long")
