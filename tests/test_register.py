@@ -381,6 +381,28 @@ def test_retrieval_keeps_no_table_of_all_terms_of_all_chunks(spark, monkeypatch)
     assert retrieval.retrieve(asked, chunks.limit(0), "q", "text", "id", "t").count() == 0
 
 
+def rows_of_joins(df):
+    """The most rows that a join of an executed plan gave."""
+    df.collect()
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if "Join" in p.nodeName():
+            most = max(most, p.metrics().get("numOutputRows").get().value())
+        inner = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan() if "QueryStage" in p.nodeName() else None
+        plans += [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("features", [None, 1000])
+def test_questions_of_a_document_meet_its_chunks_only(spark, features):
+    chunks = spark.createDataFrame([(i, i // 2, f"total due item{i}") for i in range(400)], "id int, document_id int, t string")
+    asked = spark.createDataFrame([(d, d, "total due") for d in range(200)], "q int, document_id int, text string")
+    r = retrieval.retrieve(asked, chunks, "q", "text", "id", "t", longest=1, features=features, scope="document_id")
+    assert rows_of_joins(r) <= 3 * 400  # all with all are 160,000
+    assert sorted((x.q, x.id) for x in r.collect()) == [(i // 2, i) for i in range(400)]
+
+
 def test_scope_and_vocabulary_of_retrieval(spark):
     chunks = spark.createDataFrame([(1, "red pump failed", 10), (2, "red pump red pump", 11), (3, "blue valve", 10)], "id long, chunk_text string, document_id long")
     asked = spark.createDataFrame([(1, "red pump", None), (2, "red pump", 10), (3, "red pump", 12)], "q long, text string, document_id long")
