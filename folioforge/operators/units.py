@@ -10,7 +10,10 @@ currency that the writing leaves open, the identity is total = subtotal + tax,
 and the cost of a combination is its log residual and, for each thing stated
 that it breaks, `trust`. So a statement is a strong prior: with the default no
 residual of a rounding error or a thousandfold outweighs it, but the amount is
-flagged as not unique; with a small `trust` the residual chooses.
+flagged as not unique; with a small `trust` the residual chooses. What isn't
+stated costs nothing where the identity then holds: a scale that only subtotal
+or tax have, and the notation of amounts without any stated currency (of those
+with one, a lone point is decimal and a comma before three digits groups).
 
 Solutions are flagged as not unique where another combination of a different
 value fits as well, where the best fits badly, or where a number that can be
@@ -211,7 +214,8 @@ def normalise_amounts(
         F.lit(10.0), F.coalesce(F.col("__x.power"), F.when(F.col("__x.currency").isNull(), F.col("__s.power")), F.lit(0))
     )
     other = F.coalesce("__s.currency", "__x.currency")
-    df = df.withColumns({"__total": F.when(base > 0, least), "__stated": stated, "__power": power, "__own": F.coalesce(own_scale, F.lit(False)), "__other": other})
+    unscaled = F.col("__a.power").isNull() & F.col("__ctx.power").isNull()
+    df = df.withColumns({"__total": F.when(base > 0, least), "__stated": stated, "__power": power, "__unscaled": unscaled, "__own": F.coalesce(own_scale, F.lit(False)), "__other": other})
     currencies = F.when(F.col("__stated").isNotNull(), F.array("__stated")).otherwise(F.array(F.when(F.col("__total").isNotNull(), F.col("__other"))))
     powers = F.when(F.col("__own"), F.array_distinct(F.array(F.col("__power"), *(F.lit(p) for p in POWERS)))).otherwise(F.array("__power"))
 
@@ -220,7 +224,8 @@ def normalise_amounts(
         # amounts in two currencies meet in the common one
         rate = F.when(c != F.col("__other"), F.try_divide(F.try_element_at("__rates", c), F.try_element_at("__rates", F.col("__other")))).otherwise(1.0)
         residual = F.abs(F.ln(F.try_divide(shown * F.coalesce(rate, F.lit(1.0)), F.col("__total"))))
-        broken = (n > 0).cast("int") + (p != F.col("__power")).cast("int")
+        fit = F.coalesce(residual <= FITS, F.lit(False))
+        broken = ((n > 0) & ~(fit & F.col("__stated").isNull())).cast("int") + ((p != F.col("__power")) & ~(fit & F.col("__unscaled"))).cast("int")
         cost = F.coalesce(residual, F.lit(0.0)) + broken * F.lit(trust)
         return F.struct(cost.alias("cost"), broken.alias("broken"), residual.alias("residual"), value.alias("value"), p.alias("power"), c.alias("currency"))
 
@@ -250,7 +255,7 @@ def normalise_amounts(
     hundredfold = F.expr("CAST(pow(10, amount_power + 2) AS DECIMAL(14,0))")
     cents = F.round(F.col("amount_value") * hundredfold * micro / F.lit(1000000).cast("decimal(7,0)"), 0)
     df = df.withColumn("amount_usd_cents", cents.cast("long"))
-    return df.drop("__a", "__ctx", "__s", "__x", "__rates", "__total", "__stated", "__power", "__own", "__other", "__all", "__best")
+    return df.drop("__a", "__ctx", "__s", "__x", "__rates", "__total", "__stated", "__power", "__unscaled", "__own", "__other", "__all", "__best")
 
 
 @dataclass(frozen=True)

@@ -66,6 +66,18 @@ def test_currency_and_scale_come_from_the_parts_where_nothing_is_stated(spark):
     assert [r.amount_usd_cents for r in got] == [133694, 152055720, None, 120000, 10834]
 
 
+def test_identities_choose_what_is_not_stated(spark):
+    rows = [
+        ("USD 1.2", "", ("USD 1.2 thousand", "0")), ("1.2", "", ("GBP 1.2 million", "0")), ("1.234", "", ("EUR 1,200.00", "EUR 34.00")), ("1,234", "", ("EUR 1.20", "EUR 0.034")),  # open
+        ("USD 1.2 million", "", ("USD 1.2 thousand", "0")), ("USD 1.2", "(figures in USD '000)", ("USD 1.2 million", "0")), ("USD 1.234", "", ("1,200.00", "34.00")),  # stated
+        ("USD 5", "", ("USD 9 thousand", "0")), ("1.234", "", ("EUR 7.00", "0")), ("USD 1,200", "", ("USD 1.2 thousand", "0")),  # nothing fits, or what is written does
+    ]
+    got = solved(spark, rows)
+    assert [r.amount_usd_cents for r in got] == [120000, 152055720, 133694, 134, 120000000, 120000, 123, 500, 134, 120000]
+    assert [r.amount_power for r in got] == [3, 6, 0, 0, 6, 3, 0, 0, 0, 0]
+    assert [r.amount_unique for r in got] == [True] * 4 + [False] * 5 + [True]
+
+
 UNITS = {
     "mass": {"kg": 1.0, "g": 0.001, "lb": 0.45359237},
     "density": {"kg/m3": 1.0, "g/cm3": 1000.0},
